@@ -15,7 +15,7 @@ SLOTS = 512
 #: Target weights are the sources' shares to this power: 1 keeps the corpus as it is, 0 makes all sources equal.
 TEMPERATURE = 0.5
 #: Rows of a source that are ranked together.
-RANKED = 10_000
+RANKED = 2_000
 #: The schedule is a table of sources and slots; more sources than this are refused.
 MOST_SOURCES = 5_000
 

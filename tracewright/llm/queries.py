@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup, mixing
+from tracewright.llm import exact_dedup, mixing, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_packing": packing.op3_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
