@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup, mixing, packing
+from tracewright.llm import exact_dedup, langid, mixing, order_minhash, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op5_near_duplicates": order_minhash.op5_near_duplicates,
+    "op8_language_id": langid.op8_language_id,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
