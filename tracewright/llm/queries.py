@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup, langid, mixing, order_minhash, packing
+from tracewright.llm import exact_dedup, langid, mixing, order_minhash, packing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op5_near_duplicates": order_minhash.op5_near_duplicates,
+    "op6_quality": quality.op6_quality,
     "op8_language_id": langid.op8_language_id,
     "op10_mixing": mixing.op10_mixing,
 }
