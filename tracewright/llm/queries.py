@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup, langid, mixing, order_minhash, packing, quality
+from tracewright.llm import exact_dedup, langid, licenses, mixing, order_minhash, packing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,8 +10,10 @@ QUERIES = {
     "op5_near_duplicates": order_minhash.op5_near_duplicates,
     "op6_quality": quality.op6_quality,
     "op8_language_id": langid.op8_language_id,
+    "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op9_licenses": licenses.OP9_SQL,
 }
