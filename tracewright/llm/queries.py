@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup, langid, licenses, mixing, order_minhash, packing, quality
+from tracewright.llm import exact_dedup, langid, licenses, mixing, order_minhash, packing, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
     "op5_near_duplicates": order_minhash.op5_near_duplicates,
     "op6_quality": quality.op6_quality,
