@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup, langid, licenses, mixing, order_minhash, packing, pii, quality
+from tracewright.llm import exact_dedup, langid, licenses, mixing, order_minhash, packing, pii, quality, vector_graph, wordpiece
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
+    "op4_token_counts": wordpiece.op4_token_counts,
     "op5_near_duplicates": order_minhash.op5_near_duplicates,
     "op6_quality": quality.op6_quality,
+    "op7_vector_links": vector_graph.op7_vector_links,
     "op8_language_id": langid.op8_language_id,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
