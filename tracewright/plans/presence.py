@@ -1 +1,161 @@
-"""Placeholder; filled with the time plans."""
+"""Presence: visits of subjects, their rhythm, and what departs from it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tracewright.functions.timeq import DAY, HOUR, MINUTE, hour_of_day, hour_of_week, weekday_monday
+from tracewright.operators.intervals import coverage, flag_gaps, number_runs, overlap_join, prefixed, visits_of_intervals, visits_of_points
+from tracewright.registry import query
+from tracewright.sources.driver_tables import SIGHTINGS_SQL, sightings
+
+GAP = 6 * HOUR
+
+
+def presence_summary(points: DataFrame, subject: str, at: str, gap: int, offset_s: int = 0) -> DataFrame:
+    """For each subject: visits, raw sightings, first and last visit start, and its three busiest hours of the day.
+
+    Peaks are hours with at least one visit start, the most first, ties to the earlier hour."""
+    visits = visits_of_points(points, [subject], at, gap)
+    totals = visits.groupBy(subject).agg(F.count(F.lit(1)).alias("visits"), F.sum("n").alias("sightings"), F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"))
+    hours = visits.groupBy(subject, hour_of_day(F.col("start_ns"), offset_s).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    top = hours.withColumn("k", F.row_number().over(W.partitionBy(subject).orderBy(F.desc("n"), "hour"))).where("k <= 3")
+    peaks = top.groupBy(subject).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "hour"))), lambda x: x["hour"].cast("string")), ",").alias("peak_hours"))
+    return totals.join(peaks, subject)
+
+
+@query(
+    "presence_rollup",
+    f"""WITH {SIGHTINGS_SQL}, d AS (SELECT DISTINCT subject, start_ns FROM s),
+f AS (SELECT *, CASE WHEN start_ns - lag(start_ns) OVER (PARTITION BY subject ORDER BY start_ns) <= {GAP} THEN 0 ELSE 1 END AS isn FROM d),
+r AS (SELECT *, sum(isn) OVER (PARTITION BY subject ORDER BY start_ns ROWS UNBOUNDED PRECEDING) AS visit FROM f),
+v AS (SELECT subject, visit, min(start_ns) AS a, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT subject, (a // {HOUR}) % 24 AS hour, count(*) AS n FROM v GROUP BY ALL),
+p AS (SELECT subject, string_agg(CAST(hour AS VARCHAR), ',' ORDER BY k) AS peak_hours FROM
+  (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, hour) AS k FROM h) WHERE k <= 3 GROUP BY subject)
+SELECT v.subject, count(*) AS visits, CAST(sum(n) AS BIGINT) AS sightings, min(a) AS first_ns, max(a) AS last_ns, any_value(peak_hours) AS peak_hours
+FROM v JOIN p ON v.subject = p.subject GROUP BY v.subject""",
+)
+def presence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence_summary(sightings(spark, sf_dir).select("subject", "start_ns").distinct(), "subject", "start_ns", GAP)
+
+
+_VISITS_SQL = f"""{SIGHTINGS_SQL},
+m AS (SELECT *, CASE WHEN lag(device) OVER (PARTITION BY subject ORDER BY start_ns, event_id) = device THEN 0 ELSE 1 END AS moved FROM s),
+st AS (SELECT *, sum(moved) OVER (PARTITION BY subject ORDER BY start_ns, event_id ROWS UNBOUNDED PRECEDING) AS stay FROM m),
+fl AS (SELECT *, CASE WHEN start_ns - max(end_ns) OVER (PARTITION BY subject, stay ORDER BY start_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {GAP} THEN 0 ELSE 1 END AS isn FROM st),
+nu AS (SELECT *, sum(isn) OVER (PARTITION BY subject ORDER BY start_ns, event_id ROWS UNBOUNDED PRECEDING) AS visit FROM fl),
+vi AS (SELECT subject, CAST(visit AS BIGINT) AS visit, any_value(device) AS device, min(start_ns) AS start_ns, max(end_ns) AS end_ns, count(*) AS n FROM nu GROUP BY subject, visit)"""
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visits_of_intervals(sightings(spark, sf_dir), "subject", "device", GAP, "event_id")
+
+
+@query("visits_by_subject", f"WITH {_VISITS_SQL} SELECT * FROM vi")
+def visits_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visits(spark, sf_dir)
+
+
+@query("visits_place", f"WITH {_VISITS_SQL} SELECT subject, device, count(*) AS observation_count, min(start_ns) AS first_seen, max(end_ns) AS last_seen FROM vi GROUP BY subject, device")
+def visits_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visits(spark, sf_dir).groupBy("subject", "device").agg(F.count(F.lit(1)).alias("observation_count"), F.min("start_ns").alias("first_seen"), F.max("end_ns").alias("last_seen"))
+
+
+@query(
+    "gap_flags",
+    f"""WITH {SIGHTINGS_SQL}, f AS (SELECT *, CASE WHEN start_ns - lag(end_ns) OVER (PARTITION BY device ORDER BY start_ns, event_id) <= {10 * MINUTE} THEN 0 ELSE 1 END AS is_new FROM s)
+SELECT event_id, CAST(is_new AS BIGINT) AS is_new, CAST(sum(is_new) OVER (PARTITION BY device ORDER BY start_ns, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM f""",
+)
+def gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of the row before counts, not the latest end so far."""
+    flagged = flag_gaps(sightings(spark, sf_dir), ["device"], "start_ns", "end_ns", 10 * MINUTE, "event_id")
+    return number_runs(flagged, ["device"], "start_ns", "event_id").select("event_id", "is_new", "run")
+
+
+@query(
+    "sessionized_sighting_count",
+    f"""WITH {SIGHTINGS_SQL}, f AS (SELECT subject, start_ns - lag(start_ns) OVER (PARTITION BY subject ORDER BY start_ns, event_id) AS gap FROM s)
+SELECT subject, count(*) FILTER (WHERE gap IS NULL OR gap > {HOUR}) AS sessions, count(*) AS sightings FROM f GROUP BY subject""",
+)
+def sessionized_sighting_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.col("start_ns") - F.lag("start_ns").over(W.partitionBy("subject").orderBy("start_ns", "event_id"))
+    return sightings(spark, sf_dir).withColumn("gap", gap).groupBy("subject").agg(F.count_if(F.col("gap").isNull() | (F.col("gap") > HOUR)).alias("sessions"), F.count(F.lit(1)).alias("sightings"))
+
+
+@query(
+    "coverage_union",
+    f"""WITH {SIGHTINGS_SQL}, f AS (SELECT *, CASE WHEN start_ns <= max(end_ns) OVER (PARTITION BY device ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS isn FROM s WHERE end_ns > start_ns),
+r AS (SELECT *, sum(isn) OVER (PARTITION BY device ORDER BY start_ns, end_ns ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT device, min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM r GROUP BY device, run""",
+)
+def coverage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage(sightings(spark, sf_dir), ["device"])
+
+
+@query(
+    "rhythm_histograms",
+    f"""WITH {SIGHTINGS_SQL}, h AS (SELECT 'hour' AS kind, (start_ns // {HOUR}) % 24 AS bucket, count(*) AS n FROM s GROUP BY 2 UNION ALL
+SELECT 'weekday', ((start_ns // {DAY}) + 3) % 7, count(*) FROM s GROUP BY 2),
+b AS (SELECT 'hour' AS kind, range AS bucket FROM range(24) UNION ALL SELECT 'weekday', range FROM range(7))
+SELECT b.kind, b.bucket, coalesce(n, 0) AS n FROM b LEFT JOIN h ON b.kind = h.kind AND b.bucket = h.bucket""",
+)
+def rhythm_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense: buckets without a sighting count 0; weekday 0 is Monday."""
+    s = sightings(spark, sf_dir)
+    found = s.groupBy(F.lit("hour").alias("kind"), hour_of_day(F.col("start_ns")).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = found.unionByName(s.groupBy(F.lit("weekday").alias("kind"), weekday_monday(F.col("start_ns")).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    dense = spark.range(24).select(F.lit("hour").alias("kind"), F.col("id").alias("bucket")).unionByName(spark.range(7).select(F.lit("weekday").alias("kind"), F.col("id").alias("bucket")))
+    return dense.join(found, ["kind", "bucket"], "left").fillna(0, ["n"])
+
+
+@query(
+    "off_schedule",
+    f"""WITH {_VISITS_SQL}, b AS (SELECT *, (((start_ns // {DAY}) + 4) % 7) * 24 + (start_ns // {HOUR}) % 24 AS bucket FROM vi),
+p AS (SELECT *, count(*) OVER (PARTITION BY subject ORDER BY start_ns, visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
+  count(*) OVER (PARTITION BY subject, bucket ORDER BY start_ns, visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_here FROM b)
+SELECT subject, visit, bucket, prior, prior_here FROM p WHERE prior >= 5 AND prior_here < 0.05 * prior""",
+)
+def off_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits in an hour of the week that held less than 5 % of at least five strictly earlier visits."""
+    v = visits(spark, sf_dir).withColumn("bucket", hour_of_week(F.col("start_ns")).cast("long"))
+    before = lambda *keys: F.count(F.lit(1)).over(W.partitionBy(*keys).orderBy("start_ns", "visit").rowsBetween(W.unboundedPreceding, -1))
+    v = v.withColumns({"prior": before("subject"), "prior_here": before("subject", "bucket")})
+    return v.where("prior >= 5 and prior_here < 0.05 * prior").select("subject", "visit", "bucket", "prior", "prior_here")
+
+
+@query(
+    "baseline",
+    f"""WITH {_VISITS_SQL}, w AS (SELECT *, max(end_ns) OVER (PARTITION BY subject) AS latest FROM vi),
+k AS (SELECT * FROM w WHERE end_ns >= latest - {14 * DAY})
+SELECT subject, count(*) AS visits, quantile_disc((end_ns - start_ns) // 1000000000, 0.5) AS dwell_p50_s, quantile_disc((end_ns - start_ns) // 1000000000, 0.9) AS dwell_p90_s,
+  count(DISTINCT device) AS devices, count(DISTINCT (((start_ns // {DAY}) + 4) % 7) * 24 + (start_ns // {HOUR}) % 24) AS busy_hours FROM k GROUP BY subject""",
+)
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the trailing two weeks that end with the subject's latest visit; percentiles are nearest-rank."""
+    v = visits(spark, sf_dir).withColumn("latest", F.max("end_ns").over(W.partitionBy("subject"))).where(F.col("end_ns") >= F.col("latest") - 14 * DAY)
+    dwell = "(end_ns - start_ns) div 1000000000"
+    return v.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("visits"), F.expr(f"percentile_disc(0.5) within group (order by {dwell})").cast("long").alias("dwell_p50_s"),
+        F.expr(f"percentile_disc(0.9) within group (order by {dwell})").cast("long").alias("dwell_p90_s"),
+        F.countDistinct("device").alias("devices"), F.countDistinct(hour_of_week(F.col("start_ns"))).alias("busy_hours"),
+    )
+
+
+def _pairs(spark: SparkSession, sf_dir: str, slack: int) -> DataFrame:
+    v = visits(spark, sf_dir).select("subject", "visit", "device", "start_ns", "end_ns")
+    both = overlap_join(prefixed(v, "a", ["device"]), prefixed(v, "b", ["device"]), ["device"], slack, 4 * HOUR)
+    return both.where("a_subject < b_subject")
+
+
+_PAIRS_SQL = f"""{_VISITS_SQL}, pr AS (SELECT a.device, a.subject AS a_subject, b.subject AS b_subject, greatest(a.start_ns, b.start_ns) AS moment
+FROM vi a JOIN vi b ON a.device = b.device AND a.subject < b.subject AND a.start_ns - b.end_ns < {MINUTE} AND b.start_ns - a.end_ns < {MINUTE})"""
+
+
+@query("co_present", f"WITH {_PAIRS_SQL} SELECT a_subject, b_subject, count(DISTINCT device) AS observation_count, min(moment) AS first_seen, max(moment) AS last_seen FROM pr GROUP BY ALL")
+def co_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of subjects present together at a device, once for each device, over one full fold of the visits."""
+    pairs = _pairs(spark, sf_dir, MINUTE).withColumn("moment", F.greatest("a_start", "b_start"))
+    return pairs.groupBy("a_subject", "b_subject").agg(F.countDistinct("device").alias("observation_count"), F.min("moment").alias("first_seen"), F.max("moment").alias("last_seen"))
