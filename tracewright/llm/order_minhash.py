@@ -22,6 +22,8 @@ WORDS, SIMILAR = 5, 0.8
 SKETCHES, KEPT = 24, 4
 #: In buckets up to this size all pairs are candidates; a larger one is first linked to its most central text.
 SMALL = 16
+#: Shingles that are known as frequent when the rarest of a text are sought.
+FREQUENT = 65_536
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -185,6 +187,38 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint").distinct())
 
 
+def _tokens(text: str | None) -> np.ndarray:
+    return labelled(shingles(words(text or ""))).view(np.int64)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that several texts of a batch hold, and how many of them."""
+    for batch in batches:
+        found, times = np.unique(np.concatenate([np.zeros(0, np.int64), *map(_tokens, batch.column(2).to_pylist())]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found[times > 1]), pa.array(times[times > 1], pa.int64())], names=["two", "times"])
+
+
+def _rarest(own: DataFrame) -> DataFrame:
+    """For each text of ``own(id, class, text)`` the rarest of its n shingles, so many that two texts which share 0.8 of
+    theirs share one: ``two, id, n, class``.
+
+    Any order common to all texts is right; this one puts the FREQUENT most repeated shingles last."""
+    counts = own.mapInArrow(_repeated, "two bigint, times bigint").groupBy("two").agg(F.sum("times").alias("times"))
+    frequent = {r["two"]: r["times"] for r in counts.orderBy(F.desc("times"), "two").limit(FREQUENT).collect()}
+    held = own.sparkSession.sparkContext.broadcast(frequent)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                tokens = sorted(_tokens(text).tolist(), key=lambda t: (held.value.get(t, 0), t))
+                n = len(tokens)
+                out += [(t, i, n, c) for t in tokens[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["two", "id", "n", "class"])
+
+    return own.mapInArrow(rows, "two bigint, id bigint, n bigint, class bigint")
+
+
 def _close_lengths(a: str, b: str):
     return F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
@@ -202,8 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with the same words are one vertex, so copies make no pairs. Texts that agree on a sketch share a bucket. In
     a bucket of up to SMALL texts all pairs are candidates. In a larger one every text is compared with the most
     central one (the text whose buckets hold most), so a group of near copies costs in proportion to its size; what that
-    leaves outside its class is compared with every text of another class that agrees on a second sketch as well, which
-    at J = 0.8 all but 5e-5 of the similar pairs do. Nothing is capped.
+    leaves outside its class is compared with the texts of other classes that agree on a second sketch, as at J = 0.8 all
+    but 5e-5 of the similar pairs do, and share one of its rarest shingles, as all of them do. Nothing is capped.
 
     Null texts, empty texts and texts without a word link with nothing and are kept. Rows with a null id get null ids
     and are kept. Repeated rows share a class; only ids tell rows apart, so all copies of a kept row are kept. A null
@@ -229,15 +263,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _verify(pairs, texts)
     linked = components(edges)
 
-    # What a large bucket's central text has left outside its class meets the bucket's texts of other classes, if they
-    # agree on a second sketch too: similar texts agree on many, those that share a passage seldom on two.
-    classed = large.join(linked, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("class"))
+    # What a large bucket's central text has left outside its class meets texts of other classes that agree on a second
+    # sketch of an unsettled bucket as well, by its rarest shingles.
+    classed = large.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
     middles = middle.select("key", F.col("a").alias("id")).join(linked, "id", "left").select("key", F.coalesce("component", "id").alias("middle"))
     classed = written(classed.join(middles, "key"))
     unsettled = classed.where(F.col("class") != F.col("middle")).select("key").distinct()
-    own = classed.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.array_sort(F.collect_set("key")).alias("k"))
-    twos = F.explode(F.flatten(F.expr("transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> struct(x, y)))")))
-    finer = written(own.where("size(k) > 1").select("id", "n", "class", twos.alias("two")).select(F.xxhash64("two.x", "two.y").alias("two"), "id", "n", "class"))
+    own = classed.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("class").alias("class"), F.array_sort(F.collect_set("key")).alias("k"))
+    twos = F.explode(F.flatten(F.expr("transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y)))")))
+    twice = written(own.where("size(k) > 1").select("id", "class", twos.alias("two")))
+    mixed = twice.groupBy("two").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("two")
+    own = written(twice.join(mixed, "two", "left_semi").select("id", "class").distinct())
+    own = written(texts.join(own, texts["doc_id"] == own["id"]).select("id", "class", "text"))
+    finer = written(_rarest(own))
     held = finer.groupBy("two", "class").agg(F.count(F.lit(1)).alias("held"))
     most = held.groupBy("two").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("held", "class")).alias("most")).where("classes > 1")
     finer = written(finer.join(written(most.select("two", F.col("most.class").alias("most"))), "two"))

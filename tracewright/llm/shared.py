@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables of the whole session first, then those of each open scratch.
+_written: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -28,22 +30,39 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it again, so later failures do not recompute it."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tracewright/{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[-1].append((spark, path))
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         except Exception:  # the session is gone: its folder goes with the cluster
             return
 
 
+@atexit.register
+def _remove_all() -> None:
+    for tables in _written:
+        _remove(tables)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns and remove the tables that were written on the way to it."""
+    _written.append([])
+    try:
+        df = make()
+        out = f"{checkpoint_root(df.sparkSession)}/tracewright/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(out)
+    finally:
+        _remove(_written.pop())
+    _written[-1].append((df.sparkSession, out))
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
