@@ -1,6 +1,6 @@
 """All named queries of the library, gathered from the plans."""
 
-from tracewright.plans import conversations, footage, identities, presence  # noqa: F401  they register their queries
+from tracewright.plans import alerts, conversations, footage, identities, presence, relations  # noqa: F401  they register their queries
 from tracewright.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -44,7 +44,7 @@ def truncated(s: Column, most: int) -> Column:
 
 def sentences(s: Column) -> Column:
     """Sentences with their full stop, question or exclamation mark; the rest of a text is one too."""
-    return F.filter(F.transform(F.regexp_extract_all(s, F.lit("[^.?!]+[.?!]*"), F.lit(0)), F.trim), lambda x: x.rlike("[A-Za-z0-9]"))
+    return F.filter(F.transform(F.regexp_extract_all(s, F.lit("[^.?!]+[.?!]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x.rlike("[A-Za-z0-9]"))
 
 
 def duration_phrase(seconds: Column) -> Column:
