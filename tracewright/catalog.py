@@ -1,6 +1,7 @@
 """All named queries of the library, gathered from the plans."""
 
-from tracewright.plans import alerts, conversations, footage, identities, presence, relations  # noqa: F401  they register their queries
+from tracewright.plans import alerts, conversations, evaluation, footage, identities, presence, relations, texts  # noqa: F401  they register their queries
 from tracewright.registry import ORACLE_SQL, QUERIES
+from tracewright.streaming import jobs  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
