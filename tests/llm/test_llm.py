@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,23 @@ def test_vectors_like_brute_force(spark):
     assert vector_graph.link_vectors(df.where("false")).count() == 0 and vector_graph.link_vectors(df.where("vec_id = 1000")).first().kept
 
 
+def test_vectors_of_large_groups_side_by_side(spark):
+    draw = np.random.default_rng(12)
+    d = 32
+    first, other = np.eye(d)[0], 0.94 * np.eye(d)[0] + np.sqrt(1 - 0.94**2) * np.eye(d)[1]
+    noise = draw.normal(size=(300, d)) * 0.1 / np.sqrt(d)
+    x = np.repeat([first, other], 150, axis=0) + noise
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    assert linked[:150, 150:].mean() > 0.5 and np.sort(unit @ unit.T, axis=1)[:, -97].min() > (unit[:150] @ unit[150:].T).max()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_graph.link_vectors(df).collect()}
+    assert all(got[i].n_links == n and got[i].component_id == 0 for i, n in enumerate(linked.sum(axis=1) - 1))
+    table = pa.table({"id": np.arange(300), "vec": x.tolist(), "neighbours": [[j for j in ((i + 1) % 150 + i // 150 * 150, (i + 150) % 300)] for i in range(300)]})
+    found = vector_graph._search(table)
+    assert any((a < 150) != (b < 150) for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
     rows = [(1, mit), (2, "x\nReleased under the MIT License.\ny"), (3, "Licensed under CC BY-NC 4.0."), (4, "We licence nothing here."), (5, None), (6, "plain"), (7, "SPDX-License-Identifier: ISC")]

@@ -21,7 +21,8 @@ CENTRE_ROWS, CENTRE_ROUNDS = 20_000, 6
 MOST_IN_SHARD, PIVOTS = 3_000, 64
 #: Nearest vectors that pruning chooses from, neighbours that it keeps, and its slack.
 CANDIDATES, DEGREE, SLACK = 48, 20, 1.2
-#: Best nodes that a greedy search holds, at first and at most; it widens while all that it holds are within range.
+#: Best nodes that a greedy search holds, at first and at most; it widens while all that it holds are within range, and
+#: nodes with more in range are compared with their whole region.
 BEAM, WIDEST = 24, 96
 #: Vectors in a block of the exact count.
 BLOCK = 1_024
@@ -71,13 +72,32 @@ def robust_prune(cosines: np.ndarray, candidates: int = CANDIDATES, degree: int
     return [np.union1d(kept[a, : filled[a]], np.array(back[a][: 2 * degree], int)).astype(int) for a in range(n)]
 
 
+def _joined(unit: np.ndarray, queries: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Of all links of the rows ``queries`` with any row, by exact cosines in blocks, those that join parts not joined
+    before. ``label`` names each row's part and is kept up to date."""
+    out = []
+    for k in range(0, len(queries), BLOCK):
+        block = queries[k : k + BLOCK]
+        for q, row in zip(block.tolist(), unit[block] @ unit.T >= COSINE, strict=True):
+            at = np.flatnonzero(row)
+            at = at[label[at] != label[q]]
+            if len(at):
+                parts, first = np.unique(label[at], return_index=True)
+                out += [(q, int(x)) for x in at[first]]
+                label[np.isin(label, parts)] = label[q]
+    return out
+
+
 def _build(group: pa.Table) -> pa.Table:
-    """A shard's graph: ``id, neighbours``."""
+    """A shard's graph: ``id, neighbours``, and in ``links`` links that join all that links within the shard join."""
     ids, unit = np.asarray(group.column("id")), _unit(_matrix(group.column("vec")))
     order = np.argsort(ids)
     ids, unit = ids[order], unit[order]
     near = robust_prune(unit @ unit.T)
-    return pa.table({"id": pa.array(ids), "neighbours": pa.array([ids[x] for x in near], pa.list_(pa.int64()))})
+    links: list[list[int]] = [[] for _ in ids]
+    for a, b in _joined(unit, np.arange(len(ids)), np.arange(len(ids))):
+        links[a].append(int(ids[b]))
+    return pa.table({"id": pa.array(ids), "neighbours": pa.array([ids[x] for x in near], pa.list_(pa.int64())), "links": pa.array(links, pa.list_(pa.int64()))})
 
 
 def greedy_search(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, medoid: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +160,14 @@ def _search(group: pa.Table) -> pa.Table:
     while len(queries):
         nodes, cosines = greedy_search(unit, graph, queries, medoid, beam)
         within = (cosines >= COSINE) & (nodes >= 0)
-        full = within.all(axis=1) & (beam < WIDEST)
+        full = within.all(axis=1)
         at, k = np.nonzero(within & ~full[:, None])
         out.append((ids[queries[at]], ids[nodes[at, k]]))
         queries, beam = queries[full], 2 * beam
+        if beam > WIDEST:
+            pairs = np.array(_joined(unit, queries, np.arange(len(ids))), int).reshape(-1, 2)
+            out.append((ids[pairs[:, 0]], ids[pairs[:, 1]]))
+            break
     a, b = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
     apart = a != b
     return pa.table({"a": pa.array(a[apart], pa.int64()), "b": pa.array(b[apart], pa.int64())})
@@ -182,8 +206,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Equal vectors are one node with a weight. Nodes go to the shards of their nearest centres; in each shard a
     robust-pruned graph is built, and a node's neighbour lists are united over its shards. Each region (the nodes of one
     home shard and their neighbours elsewhere) is searched greedily from its medoid for each of its nodes, widening
-    while all that a search holds are within range. Components of the links found are then counted exactly, block by
-    block, so ``n_links`` misses a link only if the searches join two groups by no link at all.
+    while all that a search holds are within range; a node with more in range than the widest search holds is compared
+    with its whole region, so no group is too large for the range. What links within a shard join is joined by exact
+    cosines as well. Components of the links found are then counted exactly, block by block, so ``n_links`` misses a
+    link only if neither shards nor searches join two groups by a link.
 
     Null, empty and zero vectors and those with a null or non-finite component link with nothing, nor do vectors of
     another length than the most common. A null id gives a null component and is kept. Rows of equal ids count as
@@ -218,17 +244,18 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     mixed = F.xxhash64("id", F.lit(9))
     pivot = (F.col("parts") > 1) & (F.pmod(mixed, F.lit(1 << 20)) < F.lit(PIVOTS << 20) / F.col("held"))
     part = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts"))))
-    built = spread.select("shard", "id", "vec", F.explode(part).alias("part")).groupBy("shard", "part").applyInArrow(_build, "id bigint, neighbours array<bigint>")
-    graph = written(built.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("neighbours")))).alias("neighbours")))
+    built = spread.select("shard", "id", "vec", F.explode(part).alias("part")).groupBy("shard", "part").applyInArrow(_build, "id bigint, neighbours array<bigint>, links array<bigint>")
+    graph = written(built.groupBy("id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("neighbours", "links"))))
 
     # Regions: as a shard beyond MOST_IN_SHARD is dealt into parts, so is its region.
     homes = placed.groupBy("home").agg(F.count(F.lit(1)).alias("held"))
     homes = homes.select("home", F.greatest(F.lit(1), F.ceil(F.col("held") / MOST_IN_SHARD)).cast("long").alias("parts"))
     own = placed.join(F.broadcast(homes), "home").select("id", "vec", "home", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    own = written(own.join(graph, "id"))
+    own = written(own.join(graph.drop("links"), "id"))
     beyond = own.select("home", "part", F.explode("neighbours").alias("id")).distinct().join(own.select("home", "part", "id"), ["home", "part", "id"], "left_anti")
     beyond = beyond.join(placed.select("id", "vec"), "id").select("id", "vec", "home", "part", F.lit(None).cast("array<bigint>").alias("neighbours"))
     found = own.select(beyond.columns).unionByName(beyond).groupBy("home", "part").applyInArrow(_search, "a bigint, b bigint")
+    found = found.unionByName(graph.select(F.col("id").alias("a"), F.explode("links").alias("b")))
     edges = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = components(edges)
 
