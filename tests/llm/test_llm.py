@@ -213,6 +213,17 @@ def test_near_duplicates_keep_every_close_pair(spark, table):
     assert order_minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_scattered_edits_are_no_near_duplicates(spark):
+    draw = random.Random(15)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(100 + i, " ".join(f"x{i}q{k}" if k % 20 == i % 20 else w for k, w in enumerate(base))) for i in range(20)] + [(500, " ".join([*base[:198], "y1", "y2"])), (501, " ".join([*base[:197], "z1"]))]
+    draw.shuffle(rows)
+    words = {i: words_of(t) for i, t in rows}
+    assert alignment(words[100], words[101]) > 0.8
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: 500 if i >= 500 else i for i, _ in rows}
+
+
 def test_components_like_union_find(spark):
     draw = random.Random(1)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(80)]

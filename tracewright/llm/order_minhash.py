@@ -1,4 +1,5 @@
-"""Near-duplicate classes by order MinHash over five-word shingles, each candidate verified by banded alignment."""
+"""Near-duplicate classes by order MinHash over five-word shingles, each candidate verified by its shingles and by banded
+alignment."""
 
 from __future__ import annotations
 
@@ -152,6 +153,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return head + tail + _aligned(a[head : n - tail], b[head : m - tail], band) >= least
 
 
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two texts' words are near-duplicates: SIMILAR by their labelled shingles, common over all, and by the
+    alignment of the words."""
+    x, y = labelled(shingles(a)), labelled(shingles(b))
+    return len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y)) and similar(a, b)
+
+
 SKETCHED = "doc_id bigint, same binary, n bigint, keys array<bigint>"
 
 
@@ -174,7 +182,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for k in range(0, batch.num_rows, TEXTS):
             a, b, x, y = (c.to_pylist() for c in batch.slice(k, TEXTS).columns)
-            out += [(a[i], b[i]) for i in range(len(a)) if similar(words(x[i]), words(y[i]))]
+            out += [(a[i], b[i]) for i in range(len(a)) if near(words(x[i]), words(y[i]))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -227,10 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each row of ``docs``: ``doc_id, copy_id, class_id, kept``.
 
     Texts are sequences of words: lower-cased runs of letters and digits. Order MinHash over their five-word shingles
-    proposes pairs; a banded alignment verifies them. The similarity is c / (n + m - c), c being the longest common
-    subsequence of n and m words; pairs with 0.8 or more are linked, and a class is what links reach. A pair whose
-    shingles agree in order by 0.8 is always this similar, and is proposed with all but 3e-6 of certainty; pairs that
-    only their words' alignment makes similar are found less often the more their edits are spread. ``copy_id`` is the
+    proposes pairs. A pair is linked if its shingles are similar by 0.8 (common ones over all, repeats counted) and its
+    words by 0.8 of c / (n + m - c) in a banded alignment, c being the longest common subsequence of n and m words; a
+    class is what links reach. A pair whose shingles agree in order by 0.8 is always this similar, and is proposed with
+    all but 3e-6 of certainty. ``copy_id`` is the
     smallest id with the same words, ``class_id`` the smallest of the class, and the document of that id is kept.
 
     Texts with the same words are one vertex, so copies make no pairs. Texts that agree on a sketch share a bucket. In
