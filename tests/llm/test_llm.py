@@ -308,6 +308,17 @@ def test_licences(spark):
     assert licenses.scan_licenses(docs(spark, ODD)).count() == len(ODD) and licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_licences_named_without_an_anchor(spark):
+    said = {
+        "Released under the GPL v3": "gpl3Ref", "Distributed under the LGPL": "lgplRef", "Available under GNU GPL version 2.": "gpl2Ref", "Covered under AGPL v3": "agpl3Ref",
+        "Released under CC0": "cc0", "Dedicated to zero": "cc0", "In no event shall the author be liable": "noLiability",
+        "Neither the name of X may be used to endorse or promote products": "bsdNoEndorse", "See licensing": "mention",
+    }
+    rows = [(i, s) for i, s in enumerate(said)] + [(100, "\n".join(["All rights reserved", *said]))]
+    got = {r.doc_id: r.sentences for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == dict(enumerate(said.values())) | {100: ",".join(["allRights", *said.values()])}
+
+
 def test_mixing_stays_within_a_block(spark):
     rows = [(i, "t", "en", "a" if i % 3 else "b") for i in range(900)] + [(5000 + i, "t", "en", f"c{i % 7}") for i in range(350)] + [(None, "t", "en", None), (5000, "t", "en", "c0")]
     got = mixing.mix(docs(spark, rows), block_rows=5, slots=64).collect()

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A text without any of these words has no licence sentence; every sentence pattern holds one of them.
+#: The SQL's filter of texts and sentences. It misses references that name a licence by initials alone.
 ANCHORS = "licen[cs]e|copyright|permission|redistribut|warrant|spdx|public domain|all rights reserved|as is"
 
+#: A text without any of these words has no licence sentence; every sentence that a pattern matches holds one of them.
+FILTER = ANCHORS + "|licensing|gpl|cc0|released under|licensed under|dedicated to|liable|in the hope that|neither the name of|provided by"
+
 #: Known licence sentences, fixed values: identifier and pattern of the whole normalised sentence (lower case, words of
 #: letters and digits with single spaces between). The first pattern that matches names the sentence.
 SENTENCES = [
@@ -110,10 +113,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and zeros. Repeated rows are scanned alike. Other columns are ignored. No rows give no rows; nothing is shuffled.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.lower(text).rlike(ANCHORS), text).otherwise("").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.lower(text).rlike(FILTER.replace(" ", "[^a-z0-9]+")), text).otherwise("").alias("text"))
     lines = F.split(F.regexp_replace("text", r"([.!?])[ \t\r]+", "$1\n"), "\n")
     plain = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    plain = F.filter(plain, lambda s: s.rlike(ANCHORS.replace(" ", "[ ]")))
+    plain = F.filter(plain, lambda s: s.rlike(FILTER.replace(" ", "[ ]")))
 
     def named(s):
         out = F.lit(None).cast("string")
