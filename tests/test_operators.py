@@ -68,6 +68,14 @@ def test_components(spark):
     assert sorted(map(tuple, components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (10, 10), (11, 10)]
 
 
+def test_components_of_a_long_path(spark):
+    rounds = []
+    path = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(20_000, 20_001), (30_000, 30_000), (None, 3)], "a long, b long"))
+    got = components(path, at_once=200, rounds=rounds).collect()
+    assert len(rounds) <= 8 and len(got) == 10_004
+    assert {(r.id, r.component) for r in got} == {(i, 0) for i in range(10_001)} | {(20_000, 20_000), (20_001, 20_000), (30_000, 30_000)}
+
+
 def test_text(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("x")).first().x

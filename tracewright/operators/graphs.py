@@ -2,33 +2,72 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.scratch import written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``id, component`` (the smallest id reached) of ``edges(a, b)`` by min-label propagation with pointer jumping.
-
-    Each round is checkpointed, which cuts lineage; it ends when no label changes."""
-    spark = edges.sparkSession
-    links = both_ways(edges).distinct().persist()
-    labels = links.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    for _ in range(rounds):
-        near = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = low.select(F.col("id").alias("component"), F.col("component").alias("jumped"))
-        low = low.join(jump, "component").select("id", "was", F.least("component", "jumped").alias("component"))
-        low = low.checkpoint() if spark.sparkContext.getCheckpointDir() else low.persist()
-        changed = not low.where("component <> was").isEmpty()
-        labels = low.select("id", "component")
-        if not changed:
-            break
-    links.unpersist()
-    return labels
+#: Edges that one task can settle; more are contracted by rounds first.
+SETTLED_AT_ONCE = 200_000
+
+
+def _settled(group: pd.DataFrame) -> pd.DataFrame:
+    """Roots of at most SETTLED_AT_ONCE edges, by union-find."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(group["a"], group["b"], strict=True):
+        root.setdefault(a, a)
+        root.setdefault(b, b)
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    ids = list(root)
+    return pd.DataFrame({"id": ids, "to": [find(x) for x in ids]})
+
+
+def components(edges: DataFrame, at_once: int = SETTLED_AT_ONCE, rounds: list[int] | None = None) -> DataFrame:
+    """``id, component`` (the smallest id reached) of ``edges(a, b)``; nulls link nothing.
+
+    While more than ``at_once`` edges are left, a round gives every vertex a random rank, points it at its neighbour of
+    the least rank if that is less than its own, follows the pointers a few steps and contracts the edges along them.
+    Ranks are drawn anew in each round, so at least a fixed share of the vertices goes in each on average, whatever the
+    shape: the rounds grow with the logarithm of the vertices. Each round is a written table. The pointers
+    of the rounds are then applied backwards, which reads every vertex once. ``rounds`` takes the edges left at
+    the start of each round."""
+    edges = written(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    kind = edges.schema["a"].dataType.simpleString()
+    left, maps = edges.where("a <> b"), []
+    while (n := left.count()) > at_once:
+        if rounds is not None:
+            rounds.append(n)
+        rank = lambda c, k=len(maps): F.struct(F.xxhash64(c, F.lit(k)), c)
+        near = both_ways(left).groupBy(F.col("a").alias("id")).agg(F.min(rank(F.col("b"))).alias("least"))
+        near = written(near.select("id", F.when(F.col("least") < rank(F.col("id")), F.col("least.b")).otherwise(F.col("id")).alias("to")))
+        for _ in range(2):
+            further = near.select(F.col("id").alias("mid"), F.col("to").alias("far"))
+            near = written(near.join(further, F.col("to") == F.col("mid")).select("id", F.col("far").alias("to")))
+        maps.append(near)
+        ends_a, ends_b = near.select(F.col("id").alias("a"), F.col("to").alias("la")), near.select(F.col("id").alias("b"), F.col("to").alias("lb"))
+        moved = left.join(ends_a, "a").join(ends_b, "b").where("la <> lb")
+        left = written(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    labels = written(left.coalesce(1).groupBy(F.lit(0).alias("one")).applyInPandas(_settled, f"id {kind}, to {kind}"))
+    for near in reversed(maps):
+        onward = labels.select(F.col("id").alias("to"), F.col("to").alias("end"))
+        labels = written(near.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to")))
+    alone = edges.where("a = b").select(F.col("a").alias("id")).join(labels, "id", "left_anti")
+    least = labels.groupBy("to").agg(F.min("id").alias("component"))
+    return labels.join(least, "to").select("id", "component").unionByName(alone.select("id", F.col("id").alias("component")))
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
