@@ -186,6 +186,51 @@ def test_alignment_like_dynamic_programming():
             assert order_minhash.similar(as_hashes(a), as_hashes(b)) == (alignment(a, b) >= 0.8 - 1e-12)
 
 
+def test_deduplicated_rows(spark):
+    hot = [(100 + i, "hot copies of one text" + " " * (i % 3)) for i in range(400)]
+    rows = ODD + hot + [(None, "hot copies of one text  "), (None, "alone"), (None, "alone "), (9, "other"), (9, "another")]
+    for buckets, least in ((16, 4), (4096, 8)):
+        got = exact_dedup.deduplicated(docs(spark, rows), buckets=buckets, least=least)
+        assert got.columns == docs(spark, []).columns
+        want = {}
+        for i, t in rows:
+            norm, rank = re.sub(r"[\x20\x09-\x0D]", "", t or ""), (-len(t or ""), i is None, i or 0)
+            if norm not in want or rank < want[norm][0]:
+                want[norm] = rank, i, t or ""
+        assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter((i, t) for _, i, t in want.values())
+    assert exact_dedup.deduplicated(docs(spark, [])).count() == 0
+
+
+def test_pipeline_stages_choose_rows_not_ids(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, base), (None, base + " end"), (1, base + " other end"), (None, "quite another text"), (2, "the one"), (2, "the other"), (3, "the one ")]
+    table = docs(spark, rows)
+    for name, stage, want in [("exact dedup", corpus_pipeline.exact, [(None, base), (None, base + " end"), (None, "quite another text"), (1, base + " other end"), (2, "the other"), (3, "the one ")]), ("near", corpus_pipeline.near, [(None, "quite another text"), (1, base + " other end"), (2, "the one"), (2, "the other")]), ("mixing", corpus_pipeline.mix, rows)]:
+        got = stage(spark, table, SF)
+        assert got.columns == table.columns, name
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want), name
+        assert stage(spark, table.where("false"), SF).count() == 0
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(i, " ".join(f"w{draw.randrange(900)}" for _ in range(draw.choice([20, 60, 150, 400]))), "en", "abbcccc"[i % 7]) for i in range(4_000)]
+    corpus_pipeline.mix(spark, docs(spark, rows), SF).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    slots = {r.doc_id: r.mix_slot for r in mixing.mix(docs(spark, rows)).select("doc_id", "mix_slot").collect()}
+    got = corpus_pipeline.pack(spark, mixed, SF).collect()
+    first = {}
+    for r in got:
+        first[r.sequence_id] = min(first.get(r.sequence_id, 10**9), slots[r.doc_id])
+    order = [first[k] for k in sorted(first)]
+    assert np.corrcoef(order, range(len(order)))[0, 1] > 0.98
+    source = {r[0]: r[3] for r in rows}
+    half = Counter(source[r.doc_id] for r in got if r.sequence_id < len(first) // 3 for _ in range(r.length))
+    counts = Counter(source.values())
+    want = {s: n**0.5 / sum(m**0.5 for m in counts.values()) for s, n in counts.items()}
+    assert all(abs(half[s] / half.total() - want[s]) < 0.08 for s in want)
+
+
 def test_near_duplicates_keep_every_close_pair(spark, table):
     draw = random.Random(6)
     base = [f"w{draw.randrange(4000)}" for _ in range(220)]
@@ -193,7 +238,10 @@ def test_near_duplicates_keep_every_close_pair(spark, table):
     passage = " ".join(f"p{i}" for i in range(60))
     shared = [(20_000 + i, passage + " " + " ".join(f"q{draw.randrange(10**6)}" for _ in range(70))) for i in range(60)]
     rows = [(r.doc_id, r.text) for r in table.collect()] + group + shared + [(30_000, None), (30_001, ""), (30_002, "!"), (30_003, "one two"), (30_004, "One, two!"), (None, "one two"), (10_000, group[0][1])]
-    got = {r.doc_id: r for r in order_minhash.near_duplicates(docs(spark, rows)).collect() if r.doc_id is not None}
+    every = order_minhash.near_duplicates(docs(spark, rows)).collect()
+    got = {r.doc_id: r for r in every if r.doc_id is not None}
+    assert Counter(r.class_id for r in every if r.kept and r.class_id is not None) == Counter({r.class_id: 1 for r in every if r.class_id is not None})
+    assert [(r.class_id, r.kept) for r in every if r.doc_id is None] == [(30_003, False)]
     sets = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows if i is not None and (w := words_of(t or ""))}
     byshingle = defaultdict(set)
     for i, s in sets.items():
@@ -204,7 +252,7 @@ def test_near_duplicates_keep_every_close_pair(spark, table):
     assert len(close) > 100 and all(got[a].class_id == got[b].class_id for a, b in close)
     texts = dict(rows)
     for i, r in got.items():
-        assert r.kept == (r.class_id == i) and r.class_id <= r.copy_id <= i
+        assert r.class_id <= r.copy_id <= i and (not r.kept or r.class_id == i)
     assert len({got[i].class_id for i, _ in shared}) == 60
     assert got[30_004].class_id == 30_003 and all(got[i].class_id == i for i in (30_000, 30_001, 30_002))
     for i, r in list(got.items())[:40]:
@@ -319,21 +367,39 @@ def test_licences_named_without_an_anchor(spark):
     assert got == dict(enumerate(said.values())) | {100: ",".join(["allRights", *said.values()])}
 
 
-def test_mixing_stays_within_a_block(spark):
+def lags(rows, shares):
+    """The greatest distance of each source's blocks from its share of the slots so far, as long as all sources last."""
+    last = min(max(r.slot for r in rows if r.source == s) for s in shares)
+    done, worst = Counter(), 0.0
+    at = {r.slot: r.source for r in rows}
+    for t in range(last):
+        done[at.get(t)] += 1
+        worst = max(worst, *(abs(done[s] - w * (t + 1)) for s, w in shares.items()))
+    return worst
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9999, "b": 0.0001}, {"a": 3.0, "b": 0.001, "c": 1.0}, {c: float(i + 1) ** 1.7 for i, c in enumerate("abcdefghijk")}])
+def test_schedule_stays_within_a_block_of_the_weights(spark, weights):
+    shares = {s: w / sum(weights.values()) for s, w in weights.items()}
+    rows = spark.createDataFrame([(s, w, int(25_000 * shares[s]) + 1) for s, w in weights.items()], "source string, weight double, blocks long")
+    got = mixing.schedule(rows).collect()
+    assert len({r.slot for r in got}) == len(got) == len({(r.source, r.block) for r in got}) == sum(int(25_000 * w) + 1 for w in shares.values())
+    assert lags(got, shares) < 1
+
+
+def test_mixing_places_every_row(spark):
     rows = [(i, "t", "en", "a" if i % 3 else "b") for i in range(900)] + [(5000 + i, "t", "en", f"c{i % 7}") for i in range(350)] + [(None, "t", "en", None), (5000, "t", "en", "c0")]
-    got = mixing.mix(docs(spark, rows), block_rows=5, slots=64).collect()
-    assert len(got) == len(rows)
-    per = mixing.schedule(spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 0.01), ("d", 2.5)], "source string, weight double"), 32).collect()
-    total = per[0].period
-    assert sorted(r.slot for r in per) == list(range(total))
-    for source in "abcd":
-        quota = next(r.quota for r in per if r.source == source)
-        done = np.cumsum([any(r.slot == t and r.source == source for r in per) for t in range(total)])
-        assert (np.abs(done - quota * np.arange(1, total + 1) / total) < 1).all()
+    table = docs(spark, rows).selectExpr("*", "1 as slot", "2 as period", "3 as released", "4 as due", "5 as mix_part", "6 as doc", "7 as source_", "8 as block", "9 as mix_quota", "10 as rank")
+    got = mixing.mix(table, block_rows=5, slots=64).collect()
+    assert len(got) == len(rows) and {(r.slot, r.period, r.released, r.due, r.mix_part, r.doc, r.block) for r in got} == {(1, 2, 3, 4, 5, 6, 8)}
     blocks = {(r.mix_source, r.mix_block): r.mix_slot for r in got}
     assert len(set(blocks.values())) == len(blocks)
-    assert all(r.mix_released <= r.mix_slot < r.mix_due for r in got)
+    assert all(0 <= r.mix_position < 5 for r in got) and max(Counter((r.mix_source, r.mix_block) for r in got).values()) == 5
+    named = mixing.mix(table, spark.createDataFrame([("a", 2.0), ("b", None), (None, -1.0)], "source string, weight double"), block_rows=5).collect()
+    assert len(named) == len(rows)
     assert mixing.mix(docs(spark, [])).count() == 0
+    many = spark.range(800).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
+    assert mixing.mix(many).select("mix_slot").distinct().count() == 800
 
 
 def test_pipeline_stages(spark, table):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm.shared import tasks_for, written
 
@@ -15,8 +16,10 @@ from tracewright.llm.shared import tasks_for, written
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of the first digit; each further digit ends at FACTOR times the prefix before it.
 FIRST, FACTOR = 16, 4
-#: A bucket with more than this share of all documents is split by its next digit, so at most so many are ever listed.
-BUCKETS = 4096
+#: A bucket with more than 1/BUCKETS of all documents, and more than LEAST of them, is split by its next digit. So at most
+#: BUCKETS prefixes are ever listed, each no longer than the texts it stands for: together at most BUCKETS times the mean
+#: text, whatever the corpus holds.
+BUCKETS, LEAST = 65_536, 64
 
 _CELL = pa.schema([("norm", pa.binary()), ("sha", pa.string()), ("members", pa.list_(pa.int64())), ("size", pa.int64()), ("best_len", pa.int64()), ("best_id", pa.int64())])
 CELL = "norm binary, sha string, members array<bigint>, size bigint, best_len bigint, best_id bigint"
@@ -80,6 +83,12 @@ def _big_buckets(cells: DataFrame, most: int) -> list[set[bytes]]:
         active = written(active.join(F.broadcast(listed), prefix == F.col("prefix"), "left_semi"))
 
 
+def _levels(cells: DataFrame, most: int) -> tuple[list[set[bytes]], dict[bytes, int]]:
+    """The large buckets of each level, and a number for each of those in which texts have ended."""
+    levels = _big_buckets(cells, most)
+    return levels, {p: i for i, p in enumerate(sorted(p for k, big in enumerate(levels) for p in big if len(p) < _digit_end(k)))}
+
+
 def _bucket_of(norm: bytes, levels: list[set[bytes]], ended: dict[bytes, int]) -> tuple[bytes | None, int | None]:
     """The shortest prefix that few share, or the number of the large bucket within which the text has ended."""
     for k, big in enumerate(levels):
@@ -125,7 +134,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are identical after deleting every space and U+0009 to U+000D; of equal texts the one
@@ -143,8 +152,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     cells = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cells, CELL))
     docs_n, nbytes = cells.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()
-    levels = _big_buckets(cells, max(8, docs_n // buckets))
-    ended = {p: i for i, p in enumerate(sorted(p for k, big in enumerate(levels) for p in big if len(p) < _digit_end(k)))}
+    levels, ended = _levels(cells, max(least, docs_n // buckets))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +172,68 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return result.unionByName(hot.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256")))
 
 
+def _firsts(norm_at: int):
+    """Of rows sorted by norm the first of each run, without the norm, which stands last."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            norms = batch.column(norm_at).to_pylist()
+            keep = [x != y for x, y in zip(norms, [last, *norms], strict=False)]
+            last = norms[-1] if norms else last
+            yield batch.select(range(norm_at)).filter(pa.array(keep, pa.bool_()))
+
+    return rows
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with their columns as they are.
+
+    Groups and the choice are those of ``exact_dedup``, but the rows themselves are dealt into the buckets, so each text
+    is shuffled once and nothing is joined back: ids may be null or repeat. Of rows alike in length, those with an id
+    come first, then those of the smallest id; of rows alike in all of this any one stays."""
+    columns, ours = docs.columns, "tracewright_row"
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias(ours), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    kind = rows.schema[ours].dataType
+    cells_kind = T.StructType([T.StructField(ours, kind), T.StructField("text", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType())])
+
+    def collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[bytes, list] = {}
+            for i, (t, doc) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                norm, rank = t.encode("utf-8", "surrogatepass").translate(None, SPACES), (-len(t), doc is None, doc or 0)
+                own = best.setdefault(norm, [rank, i, 0])
+                own[2] += 1
+                if rank < own[0]:
+                    own[:2] = rank, i
+            chosen = batch.take(pa.array([b[1] for b in best.values()], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array([b[2] for b in best.values()], pa.int64())], names=[*batch.schema.names, "size"])
+
+    # The text is not written twice: it is read from the row again.
+    cells = written(rows.mapInArrow(collapsed, cells_kind).drop("text"))
+    cells = cells.withColumn("text", F.coalesce(F.col(f"{ours}.`{text_col}`").cast("string"), F.lit("")))
+    norm = F.encode(F.translate("text", SPACES.decode(), ""), "UTF-8")
+    docs_n, nbytes = cells.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    levels, ended = _levels(cells.select(norm.alias("norm"), "size"), max(least, docs_n // buckets))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = [_bucket_of(x.encode("utf-8", "surrogatepass").translate(None, SPACES), levels, ended) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([w[0] for w in where], pa.binary()), pa.array([w[1] for w in where], pa.int64())], names=[ours, "doc_id", "bucket", "ended"])
+
+    dealt_kind = T.StructType([*cells_kind.fields[:1], cells_kind.fields[2], T.StructField("bucket", T.BinaryType()), T.StructField("ended", T.LongType())])
+    where = cells.select(ours, "doc_id", "text").mapInArrow(dealt, dealt_kind)
+    order = [F.desc(F.length("text")), F.col("doc_id").asc_nulls_last()]
+    few = where.where("ended is null").repartition(tasks_for(cells, nbytes), "bucket").withColumn("text", F.coalesce(F.col(f"{ours}.`{text_col}`").cast("string"), F.lit("")))
+    few = few.withColumn("norm", norm).sortWithinPartitions("norm", *order).select(ours, "norm").mapInArrow(_firsts(1), T.StructType(cells_kind.fields[:1]))
+    if ended:
+        hot = where.where("ended is not null").withColumn("n", F.length(F.coalesce(F.col(f"{ours}.`{text_col}`").cast("string"), F.lit(""))))
+        # The least rank first: longer texts, then rows with an id, then smaller ids.
+        few = few.unionByName(hot.groupBy("ended").agg(F.min_by(ours, F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias(ours)).select(ours))
+    return few.select(*(F.col(f"{ours}.`{c}`").alias(c) for c in columns))
+
+
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

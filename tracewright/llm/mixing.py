@@ -10,107 +10,137 @@ from tracewright.llm.shared import written
 
 #: Documents in a block, the unit that is scheduled.
 BLOCK_ROWS = 16
-#: Weights become whole numbers of slots that sum to about this many: the schedule repeats after them.
-SLOTS = 512
+#: Least slots of a round. A round is long enough for a block of the least weight; weights below LEAST count as LEAST.
+SLOTS, LEAST = 512, 2.0**-16
+#: Weights are whole multiples of one over about this.
+GRAIN = 2**40
 #: Target weights are the sources' shares to this power: 1 keeps the corpus as it is, 0 makes all sources equal.
 TEMPERATURE = 0.5
-#: Rows of a source that are ranked together.
-RANKED = 2_000
-#: The schedule is a table of sources and slots; more sources than this are refused.
-MOST_SOURCES = 5_000
-
-#: One period of the schedule. In slot t the released block with the earliest deadline goes next: block i (from 0) of
-#: a source with q of Q slots is released at floor(i*Q/q) and due at ceil((i+1)*Q/q). With integer times and one slot
-#: at a time this order meets every deadline, so no source is ever a whole block away from its share.
-_PERIOD = """
-aggregate(
-  sequence(0, total - 1),
-  named_struct('done', transform(q, x -> 0L), 'order', cast(array() as array<struct<slot: bigint, k: int, block: bigint, released: bigint, due: bigint>>)),
-  (acc, t) -> transform(
-    array(array_min(filter(
-      transform(q, (x, i) -> named_struct(
-        'due', cast(-((-(acc.done[i] + 1) * total) div x) + if(((acc.done[i] + 1) * total) % x = 0, 0, 1) as bigint),
-        'k', cast(i as int),
-        'released', (acc.done[i] * total) div x,
-        'block', acc.done[i])),
-      s -> s.released <= t))),
-    s -> named_struct(
-      'done', transform(acc.done, (d, i) -> if(i = s.k, d + 1, d)),
-      'order', array_append(acc.order, named_struct('slot', cast(t as bigint), 'k', s.k, 'block', s.block, 'released', s.released, 'due', s.due))))[0]
-)
+#: Rows of a source that are ranked together, and groups of them whose sizes are summed together.
+RANKED, SUMMED = 512, 1_024
+#: Rounds of a source that are listed at a time.
+LISTED = 4_096
+
+#: One round. ``s`` holds for each source its c blocks of the round, the time A (from the round's start, in slots) and the
+#: remainder r at which the first is released, so that block j is released at A + floor((r + j*Q)/q) and due at
+#: A + ceil((r + (j+1)*Q)/q), within the round. Each step takes the released block with the earliest deadline; if none is
+#: released time moves on to the next release, but never so far that the round's blocks no longer fit.
+#: Steps are taken by the hundred, so that the order of a long round is not copied at every step.
+_ROUND = """
+flatten(aggregate(
+  sequence(0, (total - 1) div 100),
+  named_struct('t', 0L, 'done', transform(s, x -> 0L), 'order', cast(array() as array<array<struct<k: int, j: bigint, slot: bigint, released: bigint, due: bigint>>>)),
+  (whole, hundred) -> transform(array(
+    aggregate(
+      sequence(hundred * 100 + 1, least(total, hundred * 100 + 100)),
+      named_struct('t', whole.t, 'done', whole.done, 'order', cast(array() as array<struct<k: int, j: bigint, slot: bigint, released: bigint, due: bigint>>)),
+      (acc, step) -> transform(
+        array(filter(transform(s, (x, i) -> if(acc.done[i] < x.c, named_struct(
+          'due', least(length, x.a + (x.r + (acc.done[i] + 1) * grain) div x.q + if((x.r + (acc.done[i] + 1) * grain) % x.q = 0, 0, 1)),
+          'released', greatest(0L, x.a + (x.r + acc.done[i] * grain) div x.q),
+          'k', cast(i as int)), null)), x -> x is not null)),
+        open -> transform(
+          array(greatest(acc.t, least(array_min(transform(open, x -> x.released)), length - (total - step + 1)))),
+          t -> transform(
+            array(array_min(transform(open, x -> named_struct('late', x.released > t, 'due', if(x.released > t, x.released, x.due), 'k', x.k, 'of', x)))),
+            b -> named_struct(
+              't', t + 1,
+              'done', transform(acc.done, (d, i) -> if(i = b.k, d + 1, d)),
+              'order', array_append(acc.order, named_struct('k', b.k, 'j', acc.done[b.k], 'slot', t, 'released', b.of.released, 'due', b.of.due))))[0])[0])[0])),
+    x -> named_struct('t', x.t, 'done', x.done, 'order', array_append(whole.order, x.order)))[0]).order)
 """
 
 
-def schedule(weights: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One period of the Pfair schedule for ``weights(source, weight)``.
+def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The slots of all blocks of ``sources(source, weight, blocks)``: ``source, block, slot, released, due``.
 
-    Returns ``source, quota, period, block, slot, released, due``: in a period of ``period`` slots a source has ``quota``
-    blocks, numbered from 0. Weights are rounded to at least one slot in about ``slots``; a null or negative weight
-    counts as 0 and so as one slot. The table has as many rows as the period has slots, whatever the corpus holds.
+    Block i (from 0) of a source with the share w of the weights is released at floor(i/w) and due at ceil((i+1)/w), and
+    the released block with the earliest deadline goes first. So that slots can be settled in parallel, time is cut into
+    rounds, long enough for each source to have a block in each. At a round's ends the blocks done of each
+    source are its share of the time rounded up or down, all sources together exactly the time (running sums of the shares are
+    rounded and subtracted); in between the round's blocks are scheduled by their true releases and deadlines. So
+    every source is less than a block away from its weight at all times, however long the run: nothing is repeated from
+    a rounded period.
+
+    A null, negative or tiny weight counts as LEAST of all. A round is one row that holds its sources, so the number of
+    sources has to fit a task; there may be any number of blocks and rounds.
     """
     w = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))
-    total = weights.agg(F.sum(w).alias("sum"))
-    quota = F.greatest(F.lit(1), F.round(F.lit(slots) * w / F.greatest("sum", F.lit(1e-300)))).cast("long")
-    quotas = weights.crossJoin(F.broadcast(total)).select(F.struct(F.col("source"), quota.alias("quota")).alias("s"))
-    plan = quotas.agg(F.array_sort(F.collect_list("s")).alias("s")).where("size(s) > 0")
-    plan = plan.select("s", F.expr("transform(s, x -> x.quota)").alias("q"), F.expr("aggregate(s, 0L, (a, x) -> a + x.quota)").alias("total"))
-    plan = plan.select("s", "total", F.explode(F.expr(_PERIOD + ".order")).alias("o"))
-    return plan.select(F.expr("s[o.k].source").alias("source"), F.expr("s[o.k].quota").alias("quota"), F.col("total").alias("period"), "o.block", "o.slot", "o.released", "o.due")
+    w = F.when(F.isnan(w) | (w == float("inf")), 0.0).otherwise(w)
+    total = F.sum(w).over(W.partitionBy(F.lit(0)))
+    n = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
+    share = F.greatest(F.when(total > 0, w / total).otherwise(1.0 / n), F.least(F.lit(LEAST), 0.25 / n))
+    grains = sources.select("source", "blocks", F.greatest(F.lit(1), F.round(share * GRAIN)).cast("long").alias("q"))
+    everything = W.partitionBy(F.lit(0))
+    grains = grains.withColumns({"grain": F.sum("q").over(everything), "before": F.sum("q").over(everything.orderBy("source")) - F.col("q"), "least": F.min("q").over(everything)})
+    grains = written(grains.withColumn("length", F.greatest(F.lit(slots).cast("long"), F.expr("(grain + least - 1) div least"))))
+
+    # The rounds of each source, listed in steps, and the blocks done at their ends.
+    wide = lambda x: f"cast({x} as decimal(20, 0))"
+    last = f"cast({wide('blocks')} * {wide('grain')} div ({wide('q')} * {wide('length')}) as bigint) + 1"
+    steps = grains.where("blocks > 0").select("*", F.expr(last).alias("last")).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {LISTED}"))))
+    rounds = steps.repartition("source", "step").withColumn("round", F.explode(F.sequence(F.expr(f"step * {LISTED}"), F.least(F.col("last"), F.expr(f"(step + 1) * {LISTED} - 1")))))
+    summed = lambda time, q: f"cast(((2 * {wide(time)} * {wide(q)}) + {wide('grain')}) div (2 * {wide('grain')}) as bigint)"
+    done = lambda time: F.expr(f"least(blocks, {summed(time, '(before + q)')} - {summed(time, 'before')})")
+    rounds = rounds.withColumns({"first": done("round * length"), "next": done("(round + 1) * length")}).where("next > first")
+    at = f"{wide('first')} * {wide('grain')}"
+    own = F.struct("source", "first", (F.col("next") - F.col("first")).alias("c"), F.expr(f"cast({at} div {wide('q')} as bigint) - round * length").alias("a"), F.expr(f"cast({at} % {wide('q')} as bigint)").alias("r"), "q")
+    plan = rounds.groupBy("round", "length", "grain").agg(F.array_sort(F.collect_list(own)).alias("s"), F.sum(F.col("next") - F.col("first")).alias("total"))
+    plan = plan.select("round", "length", "s", F.explode(F.expr(_ROUND)).alias("o"))
+    shift = F.col("round") * F.col("length")
+    return plan.select(F.expr("s[o.k].source").alias("source"), F.expr("s[o.k].first + o.j").alias("block"), *((F.col(f"o.{c}") + shift).alias(c) for c in ("slot", "released", "due")))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, slots: int = SLOTS, temperature: float = TEMPERATURE) -> DataFrame:
     """Interleave the sources of ``docs`` block by block so that every prefix follows the target weights.
 
     Adds ``mix_source, mix_block, mix_slot, mix_released, mix_due, mix_position``: blocks are runs of ``block_rows``
-    documents of one source in the order of their ids, ``mix_slot`` is the slot of the block, and ordering by
+    documents of one source in an order mixed by a hash of their ids, ``mix_slot`` is the slot of the block, and ordering by
     ``(mix_slot, mix_position)`` gives the mixture. As long as a source lasts, it is less than one block away from its
     weight at every slot; when it has run out its slots stay empty and the others keep their proportions, so every
     document is placed and none is repeated. ``weights(source, weight)`` gives the targets; without it they are the
-    sources' row counts to the power ``temperature``. A source that ``weights`` leaves out gets one slot a period.
+    sources' row counts to the power ``temperature``. A source that ``weights`` leaves out has the least weight there is.
 
     A null source is a source of its own, named by the empty string along with it. Rows with null or equal ids are
-    placed too, in the order of all their columns. Columns of ``docs`` stay as they are; one named ``mix_...`` clashes
-    and is replaced. No rows give no rows.
+    placed too, in the order of all their columns. Columns of ``docs`` stay as they are, whatever their names; only those
+    six are replaced. No rows give no rows.
 
-    Ranks within a source come from counts of hashed sub-groups of about RANKED rows, so no task holds a whole source.
+    Ranks within a source come from counts of hashed sub-groups of about RANKED rows, summed in two steps, so no task
+    holds a whole source.
     """
     ours = ["mix_source", "mix_block", "mix_slot", "mix_released", "mix_due", "mix_position"]
     docs = docs.drop(*ours)
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    counts = written(docs.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n")))
-    found, most = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if found > MOST_SOURCES:
-        raise ValueError(f"{found} sources; the schedule takes at most {MOST_SOURCES}")
-    given = counts.select("source", F.pow(F.col("n").cast("double"), F.lit(temperature)).alias("weight"))
+    kinds = {c: k for c, k in docs.dtypes if "map<" not in k and "variant" not in k}
+    hashes = [F.xxhash64(F.col(f"`{c}`")) for c in kinds if c != id_col]
+    key = F.col(f"`{id_col}`")
+    spread = F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*hashes) if hashes else F.lit(0).cast("long"))
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), source.alias("source"), key.alias("id"), F.array(*hashes).cast("array<bigint>").alias("ties"), spread.alias("spread"))
+    counts = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    most = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    targets = counts.select("source", F.expr(f"(n + {block_rows} - 1) div {block_rows}").alias("blocks"), F.pow(F.col("n").cast("double"), F.lit(temperature)).alias("weight"))
     if weights is not None:
         named = weights.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.sum("weight").alias("weight"))
-        given = counts.select("source").join(named, "source", "left")
-    period = schedule(given, slots)
-
-    parts = max(1, -(-most // RANKED))
-    part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("long")
-    keyed = docs.withColumn("mix_source", source).withColumn("mix_part", part)
-    sums = keyed.groupBy("mix_source", "mix_part").agg(F.count(F.lit(1)).alias("mix_n"))
-    before = sums.withColumn("mix_before", F.sum("mix_n").over(W.partitionBy("mix_source").orderBy("mix_part").rowsBetween(W.unboundedPreceding, -1)))
-    before = before.select("mix_source", "mix_part", F.coalesce("mix_before", F.lit(0)).alias("mix_before"))
-    ties = [F.col(id_col), *(F.xxhash64(F.col(f"`{c}`")) for c, kind in docs.dtypes if c != id_col and "map<" not in kind and "variant" not in kind)]
-    ranked = keyed.withColumn("mix_rank", F.row_number().over(W.partitionBy("mix_source", "mix_part").orderBy(*ties)) - 1)
-    ranked = ranked.join(before, ["mix_source", "mix_part"]).withColumn("mix_rank", F.col("mix_rank") + F.col("mix_before"))
-    ranked = ranked.withColumns({"mix_block": F.expr(f"mix_rank div {block_rows}"), "mix_position": F.pmod("mix_rank", F.lit(block_rows))}).drop("mix_part", "mix_before", "mix_rank")
-
-    quotas = period.groupBy(F.col("source").alias("mix_source")).agg(F.first("quota").alias("mix_quota"))
-    ranked = ranked.join(F.broadcast(quotas), "mix_source").withColumns({"mix_round": F.expr("mix_block div mix_quota"), "mix_within": F.pmod("mix_block", F.col("mix_quota"))})
-    placed = period.select(F.col("source").alias("mix_source"), F.col("block").alias("mix_within"), "period", "slot", "released", "due")
-    shift = F.col("mix_round") * F.col("period")
-    out = ranked.join(F.broadcast(placed), ["mix_source", "mix_within"])
-    out = out.withColumns({"mix_slot": F.col("slot") + shift, "mix_released": F.col("released") + shift, "mix_due": F.col("due") + shift})
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *ours)
+        targets = targets.drop("weight").join(named, "source", "left")
+    placed = schedule(targets, slots)
+
+    keyed = rows.withColumn("part", F.pmod("spread", F.lit(max(1, -(-most // RANKED))).cast("long")))
+    sums = keyed.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.expr(f"part div {SUMMED}"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("source", "group").agg(F.sum("n").alias("n")).select("source", "group", earlier(W.partitionBy("source").orderBy("group")).alias("start"))
+    before = sums.join(groups, ["source", "group"]).select("source", "part", (F.col("start") + earlier(W.partitionBy("source", "group").orderBy("part"))).alias("before"))
+    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("source", "part").orderBy("id", "ties")) - 1).join(before, ["source", "part"])
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.select("doc", "source", F.expr(f"rank div {block_rows}").alias("block"), F.expr(f"rank % {block_rows}").cast("long").alias("position"))
+    out = ranked.join(placed, ["source", "block"])
+    return out.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns), *(F.col(c.removeprefix("mix_")).alias(c) for c in ours))
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its own columns, range-partitioned and sorted in the order of the mixture."""
+    """``docs`` with its own columns, range-partitioned and sorted in the order of the mixture: the rows of the files that
+    a writer makes of it follow the mixture in the order of file names and of rows."""
     placed = mix(docs, **options)
-    return placed.repartitionByRange(*(F.col(c) for c in ("mix_slot", "mix_position"))).sortWithinPartitions("mix_slot", "mix_position").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return placed.repartitionByRange(F.col("mix_slot"), F.col("mix_position")).sortWithinPartitions("mix_slot", "mix_position").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

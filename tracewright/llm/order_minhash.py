@@ -4,6 +4,7 @@ alignment."""
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -116,21 +117,32 @@ def needed(n: int, m: int) -> int:
 
 
 def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence whose matches stay within ``band`` of the diagonal, bit-parallel."""
-    places: dict[int, int] = {}
+    """Length of the longest common subsequence whose matches stay within ``band`` of the diagonal.
+
+    Bit-parallel over a window of 2 * band + 1 places of ``a`` that moves along the diagonal: places that it leaves
+    are settled and only counted, so the cost is that of the band, whatever the length."""
+    if not len(a) or not len(b):
+        return 0
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a.tolist()):
-        places[x] = places.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    window = (1 << (2 * band + 1)) - 1
-    rows = full
+        places.setdefault(x, []).append(i)
+    n, base, settled, rows = len(a), 0, 0, (1 << min(len(a), band + 1)) - 1
     for j, x in enumerate(b.tolist()):
-        match = places.get(x)
-        if match:
-            low = j - band
-            match &= window << low if low >= 0 else window >> -low
+        if j > band and base < n:
+            settled += 1 - (rows & 1)
+            rows >>= 1
+            base += 1
+        end = min(n, j + band + 1)
+        if end > base and j + band < n:
+            rows |= 1 << (end - 1 - base)
+        own = places.get(x)
+        if own:
+            match = 0
+            for p in own[bisect_left(own, base) : bisect_left(own, end)]:
+                match |= 1 << (p - base)
             common = rows & match
-            rows = ((rows + common) | (rows - common)) & full
-    return len(a) - rows.bit_count()
+            rows = ((rows + common) | (rows - common)) & ((1 << max(0, end - base)) - 1)
+    return settled + max(0, min(n, len(b) + band) - base) - rows.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -160,21 +172,21 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y)) and similar(a, b)
 
 
-SKETCHED = "doc_id bigint, same binary, n bigint, keys array<bigint>"
+SKETCHED = "row bigint, doc_id bigint, same binary, n bigint, keys array<bigint>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for k in range(0, batch.num_rows, TEXTS):
-            for text in batch.column(1).slice(k, TEXTS).to_pylist():
+            for text in batch.column(2).slice(k, TEXTS).to_pylist():
                 hashed = words(text or "")
                 if not len(hashed):
                     rows.append((None, 0, None))
                     continue
                 found = shingles(hashed)
                 rows.append((hashlib.blake2b(hashed.tobytes(), digest_size=16).digest(), len(hashed), sketch(found).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "same", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["row", "doc_id", "same", "n", "keys"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +199,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose texts are similar; ``texts(doc_id, text)`` holds at least all that are named."""
-    named = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    own = texts.join(named, "doc_id", "left_semi")
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    """Of ``pairs(a, b)`` those whose texts are similar; ``texts(row, text)`` holds at least all that are named."""
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    own = texts.join(named, "row", "left_semi")
+    both = pairs.join(own.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(own.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint").distinct())
 
 
@@ -231,31 +243,35 @@ def _close_lengths(a: str, b: str):
     return F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, copy_id, class_id, kept``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: ``row, doc_id, copy_id, class_id, kept``.
 
     Texts are sequences of words: lower-cased runs of letters and digits. Order MinHash over their five-word shingles
     proposes pairs. A pair is linked if its shingles are similar by 0.8 (common ones over all, repeats counted) and its
     words by 0.8 of c / (n + m - c) in a banded alignment, c being the longest common subsequence of n and m words; a
     class is what links reach. A pair whose shingles agree in order by 0.8 is always this similar, and is proposed with
-    all but 3e-6 of certainty. ``copy_id`` is the
-    smallest id with the same words, ``class_id`` the smallest of the class, and the document of that id is kept.
+    all but 3e-6 of certainty. ``copy_id`` is the smallest id with the same words, ``class_id`` the smallest of the class,
+    and exactly one row of a class is kept: one of that id.
 
     Texts with the same words are one vertex, so copies make no pairs. Texts that agree on a sketch share a bucket. In
     a bucket of up to SMALL texts all pairs are candidates. In a larger one every text is compared with the most
     central one (the text whose buckets hold most), so a group of near copies costs in proportion to its size; what that
-    leaves outside its class is compared with the texts of other classes that agree on a second sketch, as at J = 0.8 all
-    but 5e-5 of the similar pairs do, and share one of its rarest shingles, as all of them do. Nothing is capped.
-
-    Null texts, empty texts and texts without a word link with nothing and are kept. Rows with a null id get null ids
-    and are kept. Repeated rows share a class; only ids tell rows apart, so all copies of a kept row are kept. A null
-    in other columns does not matter; they are ignored. No rows give no rows.
+    leaves outside its class meets all texts of other classes in such buckets with which it shares one of its rarest
+    shingles, as every pair that is similar by 0.8 does. So the size of a bucket decides how a similar pair is found, not
+    whether it is. Nothing is capped.
+
+    Null texts, empty texts and texts without a word link with nothing and are kept. Rows are told apart by
+    ``row_col`` (a unique long that no failure changes, such as one that was written) or, without it, by a number that is
+    written with them; so null and repeated ids are rows like others, and a null id comes after all ids. A null in other
+    columns does not matter; they are ignored. No rows give no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")
+    texts = docs.select(number.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = written(texts) if row_col is None else texts
     found = written(texts.mapInArrow(_sketches, SKETCHED))
-    usable = found.where("same is not null and doc_id is not null")
-    copies = written(usable.groupBy("same").agg(F.min("doc_id").alias("copy_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    rows = copies.select(F.col("copy_id").alias("id"), "n", F.explode("keys").alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    copies = written(found.where("same is not null").groupBy("same").agg(F.min("row").alias("id"), first, F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = copies.select("id", "n", F.explode("keys").alias("key"))
     shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     members = written(rows.join(shared, "key"))
 
@@ -271,18 +287,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _verify(pairs, texts)
     linked = components(edges)
 
-    # What a large bucket's central text has left outside its class meets texts of other classes that agree on a second
-    # sketch of an unsettled bucket as well, by its rarest shingles.
+    # What a large bucket's central text has left outside its class meets texts of other classes in unsettled buckets
+    # by its rarest shingles.
     classed = large.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
     middles = middle.select("key", F.col("a").alias("id")).join(linked, "id", "left").select("key", F.coalesce("component", "id").alias("middle"))
     classed = written(classed.join(middles, "key"))
     unsettled = classed.where(F.col("class") != F.col("middle")).select("key").distinct()
-    own = classed.join(unsettled, "key", "left_semi").groupBy("id").agg(F.first("class").alias("class"), F.array_sort(F.collect_set("key")).alias("k"))
-    twos = F.explode(F.flatten(F.expr("transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y)))")))
-    twice = written(own.where("size(k) > 1").select("id", "class", twos.alias("two")))
-    mixed = twice.groupBy("two").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("two")
-    own = written(twice.join(mixed, "two", "left_semi").select("id", "class").distinct())
-    own = written(texts.join(own, texts["doc_id"] == own["id"]).select("id", "class", "text"))
+    own = written(classed.join(unsettled, "key", "left_semi").select("id", "class").distinct())
+    own = written(texts.select(F.col("row").alias("id"), "text").join(own, "id").select("id", "class", "text"))
     finer = written(_rarest(own))
     held = finer.groupBy("two", "class").agg(F.count(F.lit(1)).alias("held"))
     most = held.groupBy("two").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("held", "class")).alias("most")).where("classes > 1")
@@ -294,12 +306,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         linked = components(edges.unionByName(_verify(rest, texts)))
 
-    classes = copies.select("same", "copy_id").join(linked.withColumnRenamed("id", "copy_id"), "copy_id", "left")
-    classes = written(classes.select("same", "copy_id", F.coalesce("component", "copy_id").alias("class_id")))
-    out = found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes, "same", "left")
-    own = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classed = copies.select("same", "id", "first").join(linked, "id", "left").select("same", "first", F.coalesce("component", "id").alias("class"))
+    classed = classed.join(classed.groupBy("class").agg(F.min("first").alias("kept")), "class")
+    classes = written(classed.select("same", F.col("first.doc_id").alias("copy_id"), F.col("kept.doc_id").alias("class_id"), F.col("kept.row").alias("kept_row")))
+    out = found.select("row", "doc_id", "same").join(classes, "same", "left")
+    alone = F.col("same").isNull()
+    return out.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("kept_row") == F.col("row"))).alias("kept"))
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")

@@ -25,11 +25,13 @@ CLASSES = 256
 GAP = 2e-3
 #: How far pricing is drawn towards the multipliers of the best bound, and patterns that may enter at a pricing.
 PULL, COLUMNS = 0.7, 20
+#: Parts of the plan in each of which every pattern has its share, so that sequences follow the order of the documents.
+TURNS = 256
 #: Texts that are encoded at a time.
 TEXTS = 256
 
-PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, part int, in_part bigint"
-_PIECE = pa.schema([(n, pa.int32() if n in ("class", "part") else pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "in_part")])
+PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, part string, in_part bigint"
+_PIECE = pa.schema([(n, {"class": pa.int32(), "part": pa.string()}.get(n, pa.int64())) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "in_part")])
 
 
 def default_tokenizer() -> str:
@@ -39,20 +41,26 @@ def default_tokenizer() -> str:
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, classes: int = CLASSES) -> DataFrame:
-    """Pieces of ``docs(doc_id, text)``: full sequences first, then what remains of a document.
+    """Pieces of ``docs(doc_id, text[, file, row])``: full sequences first, then what remains of a document.
 
-    ``class`` is the length in units, rounded up; ``in_part`` counts the pieces of a class within a task's partition."""
+    ``class`` is the length in units, rounded up; ``in_part`` counts the pieces of a class within a part, which is a run of
+    rows of one file or, if these are not told, a task's partition. Names of parts sort in the order of the documents."""
     unit = sequence // classes
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        part, seen = TaskContext.get().partitionId(), np.zeros(classes + 1, np.int64)
+        part, seen, last = f"{TaskContext.get().partitionId():010d}", np.zeros(classes + 1, np.int64), (None, -1)
         for batch in batches:
             rows = []
             for k in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(k, TEXTS)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.of([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                places = zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True) if some.num_columns > 2 else [None] * some.num_rows
+                for doc, ids, place in zip(some.column(0).to_pylist(), encoder.of([t or "" for t in some.column(1).to_pylist()]), places, strict=True):
+                    if place is not None:
+                        if place[0] != last[0] or place[1] < last[1]:
+                            part, seen = f"{place[0]}#{place[1]:020d}", np.zeros(classes + 1, np.int64)
+                        last = place
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, sequence):
@@ -179,6 +187,15 @@ def cutting_plan(demand: np.ndarray, gap: float = GAP) -> list[tuple[np.ndarray,
     return plan
 
 
+def _in_turns(plan: list[tuple[np.ndarray, int]], turns: int) -> list[tuple[np.ndarray, int]]:
+    """The plan dealt over ``turns``: each pattern as often as before, evenly, rare ones at different turns."""
+    times = np.array([t for _, t in plan], np.int64)
+    phase = np.arange(len(plan)) * turns // max(1, len(plan))
+    # A count times a turn stays far below the range of 64 bits.
+    ends = (np.arange(turns + 1)[:, None] * times + phase) // turns
+    return [(plan[k][0], int(n)) for turn in np.diff(ends, axis=0) for k, n in enumerate(turn) if n]
+
+
 def _slots(plan: list[tuple[np.ndarray, int]], classes: int) -> dict[int, tuple[np.ndarray, ...]]:
     """For each class: first rank, pieces a sequence and first sequence of the runs that its ranked pieces fill."""
     runs: dict[int, list] = {}
@@ -191,14 +208,15 @@ def _slots(plan: list[tuple[np.ndarray, int]], classes: int) -> dict[int, tuple[
     return {c: tuple(np.array(x, np.int64) for x in zip(*own, strict=True)) for c, own in runs.items()}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, classes: int = CLASSES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, classes: int = CLASSES, place: tuple[str, str] | None = None) -> DataFrame:
     """Pieces of documents and their places in sequences of at most ``sequence`` tokens.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. A document's tokens are the
     tokenizer's ids of its whole text (special tokens are not added) and ``end_id``. It is cut into full sequences and
     a rest. A linear program over the histogram of rests, its columns generated by a knapsack, says how many sequences
-    of which pattern to make, and the pieces of a class fill the patterns' places in the order in which they stand in
-    the input. ``sequence_id`` runs from 0 without gaps, and offsets within a sequence from 0 without gaps.
+    of which pattern to make. The patterns take turns, and the pieces of a class fill their places in the order of the
+    documents, so sequences follow that order too. It is that of the input's partitions or, if ``place`` names a column
+    with the name of a row's file and one with its number in it, that of file names and numbers. ``sequence_id`` runs from 0 without gaps, and offsets within a sequence from 0 without gaps.
 
     A null text counts as empty and gives one piece with ``end_id`` alone, as does an empty one. Every row of the input
     is packed, equal ids and null ids too. Other columns are ignored. No rows give no rows.
@@ -207,12 +225,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     whole class.
     """
     tokenizer = tokenizer or default_tokenizer()
-    pieces = written(cut(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tokenizer, end_id, sequence, classes))
+    where = [F.col(place[0]).cast("string"), F.col(place[1]).cast("long")] if place else []
+    pieces = written(cut(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *where), tokenizer, end_id, sequence, classes))
     counts = pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     demand = np.zeros(classes + 1, np.int64)
     for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():
         demand[r["class"]] = r["n"]
-    slots = _slots(cutting_plan(demand), classes)
+    slots = _slots(_in_turns(cutting_plan(demand), TURNS), classes)
 
     before = F.coalesce(F.sum("n").over(W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = pieces.join(counts.select("class", "part", before.alias("before")), ["class", "part"]).withColumn("rank", F.col("before") + F.col("in_part"))

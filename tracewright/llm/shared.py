@@ -1,66 +1,13 @@
-"""Helpers shared by the operators: written tables that cut lineage, and connected components."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Tables of the whole session first, then those of each open scratch.
-_written: list[list[tuple[SparkSession, str]]] = [[]]
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only for a local master that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it again, so later failures do not recompute it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tracewright/{uuid.uuid4().hex}"
-    _written[-1].append((spark, path))
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
-def _remove(tables: list[tuple[SparkSession, str]]) -> None:
-    for spark, path in tables:
-        try:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session is gone: its folder goes with the cluster
-            return
+from tracewright.operators.graphs import components
+from tracewright.operators.scratch import checkpoint_root, settled, written
 
-
-@atexit.register
-def _remove_all() -> None:
-    for tables in _written:
-        _remove(tables)
-
-
-def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """Write what ``make`` returns and remove the tables that were written on the way to it."""
-    _written.append([])
-    try:
-        df = make()
-        out = f"{checkpoint_root(df.sparkSession)}/tracewright/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(out)
-    finally:
-        _remove(_written.pop())
-    _written[-1].append((df.sparkSession, out))
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+__all__ = ["checkpoint_root", "components", "settled", "table", "tasks_for", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,34 +17,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tasks_for(df: DataFrame, nbytes: int, per_task: int = 32 << 20) -> int:
     """Partitions so that each holds about ``per_task`` bytes, and no fewer than the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // per_task))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges ``(a, b)`` (longs): one row ``(id, component)`` for each end of an
-    edge, the component being its smallest id.
-
-    Each round maps every vertex to its smallest neighbour (twice, by pointer jumping), contracts the edges along
-    that map and goes on with the distinct ones left, so that the edges shrink geometrically. Rounds are written
-    tables; nothing comes to the driver but the question whether edges are left.
-    """
-    edges = written(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    left = edges.where("a <> b")
-    while True:
-        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        near = written(near)
-        jump = near.select(F.col("id").alias("mid"), F.col("to").alias("far"))
-        near = written(near.join(jump, F.col("to") == F.col("mid"), "left").select("id", F.coalesce("far", "to").alias("to")))
-        if labels is None:
-            labels = near.select("id", F.col("to").alias("component"))
-            labels = labels.unionByName(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(near, "id", "left_anti").select("id", F.col("id").alias("component")))
-        else:
-            step = near.select(F.col("id").alias("component"), "to")
-            labels = labels.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = written(labels)
-        ends_a, ends_b = near.select(F.col("id").alias("a"), F.col("to").alias("la")), near.select(F.col("id").alias("b"), F.col("to").alias("lb"))
-        moved = left.join(ends_a, "a").join(ends_b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        left = written(moved)
-        if left.isEmpty():
-            return labels
