@@ -1,7 +1,11 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and reread as the next one's input.
+
+Rows with null or repeated ids are documents like others in every stage: the stages choose rows, not ids.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +23,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the longest (then smallest id) stays."""
-    kept = settled(lambda: exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of documents with equal texts, the longest (then smallest id, a null id last) stays."""
+    return exact_dedup.deduplicated(docs)
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row, since ids may be null or repeat, and the number's name."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that of the smallest id."""
-    kept = settled(lambda: order_minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each class of near-duplicates stays, that of the smallest id (a null id last)."""
+    rows, name = _numbered(docs)
+    kept = settled(lambda: order_minhash.near_duplicates(rows, row_col=name).where("kept").select(F.col("row").alias(name)))
+    # The kept rows grow with the corpus, so they are shuffled, never broadcast.
+    return rows.join(kept.hint("shuffle_hash"), name, "left_semi").drop(name)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +49,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
-    return packing.pack(docs)
+    """Pieces of the documents in sequences, in the order in which the files of the stage before hold the documents, so
+    that sequences follow the mixture. A table that is no file is taken in the order of its partitions."""
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return packing.pack(docs)
+    return packing.pack(placed, place=("file", "row"))
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mix), ("packing", pack)]
