@@ -24,6 +24,8 @@ WORDS, SIMILAR = 5, 0.8
 SKETCHES, KEPT = 24, 4
 #: In buckets up to this size all pairs are candidates; a larger one is first linked to its most central text.
 SMALL = 16
+#: Words and shingles of texts that a verifying task remembers.
+REMEMBERED = 4_000_000
 #: Shingles that are known as frequent when the rarest of a text are sought.
 FREQUENT = 65_536
 
@@ -165,11 +167,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return head + tail + _aligned(a[head : n - tail], b[head : m - tail], band) >= least
 
 
-def near(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two texts' words are near-duplicates: SIMILAR by their labelled shingles, common over all, and by the
-    alignment of the words."""
-    x, y = labelled(shingles(a)), labelled(shingles(b))
-    return len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y)) and similar(a, b)
+def near(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two texts' words are near-duplicates: SIMILAR by their sorted labelled shingles x and y, common over all,
+    and by the alignment of the words."""
+    least = needed(len(x), len(y))
+    if min(len(x), len(y)) < least or not len(x):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum()) >= least and similar(a, b)
 
 
 SKETCHED = "row bigint, doc_id bigint, same binary, n bigint, keys array<bigint>"
@@ -190,11 +195,28 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    held = 0
+
+    def read(row: int, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal held
+        own = seen.get(row)
+        if own is None:
+            if held > REMEMBERED:
+                seen.clear()
+                held = 0
+            hashed = words(text or "")
+            own = seen[row] = hashed, np.sort(labelled(shingles(hashed)))
+            held += 2 * len(hashed)
+        return own
+
     for batch in batches:
         out = []
         for k in range(0, batch.num_rows, TEXTS):
-            a, b, x, y = (c.to_pylist() for c in batch.slice(k, TEXTS).columns)
-            out += [(a[i], b[i]) for i in range(len(a)) if near(words(x[i]), words(y[i]))]
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(k, TEXTS).columns), strict=True):
+                (wa, sa), (wb, sb) = read(a, x), read(b, y)
+                if near(wa, wb, sa, sb):
+                    out.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -220,7 +242,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rarest(own: DataFrame) -> DataFrame:
     """For each text of ``own(id, class, text)`` the rarest of its n shingles, so many that two texts which share 0.8 of
-    theirs share one: ``two, id, n, class``.
+    theirs share one: ``two, id, n, class, at``, the last being the shingle's place in the order, from 1.
 
     Any order common to all texts is right; this one puts the FREQUENT most repeated shingles last."""
     counts = own.mapInArrow(_repeated, "two bigint, times bigint").groupBy("two").agg(F.sum("times").alias("times"))
@@ -233,10 +255,10 @@ def _rarest(own: DataFrame) -> DataFrame:
             for i, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 tokens = sorted(_tokens(text).tolist(), key=lambda t: (held.value.get(t, 0), t))
                 n = len(tokens)
-                out += [(t, i, n, c) for t in tokens[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["two", "id", "n", "class"])
+                out += [(t, i, n, c, k + 1) for k, t in enumerate(tokens[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["two", "id", "n", "class", "at"])
 
-    return own.mapInArrow(rows, "two bigint, id bigint, n bigint, class bigint")
+    return own.mapInArrow(rows, "two bigint, id bigint, n bigint, class bigint, at bigint")
 
 
 def _close_lengths(a: str, b: str):
@@ -299,9 +321,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = finer.groupBy("two", "class").agg(F.count(F.lit(1)).alias("held"))
     most = held.groupBy("two").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("held", "class")).alias("most")).where("classes > 1")
     finer = written(finer.join(written(most.select("two", F.col("most.class").alias("most"))), "two"))
-    outside = finer.where(F.col("class") != F.col("most")).select("two", F.col("id").alias("a"), F.col("n").alias("an"), F.col("class").alias("ac"))
-    rest = outside.join(finer, "two").where((F.col("ac") != F.col("class")) & _close_lengths("an", "n"))
-    rest = written(rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+    outside = finer.where(F.col("class") != F.col("most")).select("two", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "class", "at")))
+    rest = outside.join(finer, "two").where((F.col("a_class") != F.col("class")) & ((F.col("class") == F.col("most")) | (F.col("a_id") < F.col("id"))) & _close_lengths("a_n", "n"))
+    # What two texts can share at most: what their rarest shingles share, and all that comes after the last of these.
+    rest = rest.groupBy("a_id", "id").agg(F.count(F.lit(1)).alias("c"), F.max("a_at").alias("a_at"), F.max("at").alias("at"), F.first("a_n").alias("a_n"), F.first("n").alias("n"))
+    rest = rest.where(F.col("c") + F.least(F.col("a_n") - F.col("a_at"), F.col("n") - F.col("at")) >= (F.col("a_n") + F.col("n")) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    rest = written(rest.select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b")).distinct())
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         linked = components(edges.unionByName(_verify(rest, texts)))
