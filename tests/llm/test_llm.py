@@ -331,6 +331,24 @@ def test_vectors_like_brute_force(spark):
     assert vector_graph.link_vectors(df.where("false")).count() == 0 and vector_graph.link_vectors(df.where("vec_id = 1000")).first().kept
 
 
+def test_vectors_of_shards_over_the_limit(spark, monkeypatch):
+    """Shards far over their limits are split by similarity, and large components are counted block by block."""
+    for name, value in {"MOST_SHARDS": 2, "SHARD": 60, "MOST_IN_SHARD": 150, "BLOCK": 64, "DEALT": 500, "SPLIT_ROWS": 200}.items():
+        monkeypatch.setattr(vector_graph, name, value)
+    draw = np.random.default_rng(21)
+    base = draw.normal(size=(1_000, 24))
+    line = np.cumsum(draw.normal(size=(150, 24)) * 0.08, axis=0) + 3 * draw.normal(size=24)
+    ball = draw.normal(size=24) + 0.02 * draw.normal(size=(300, 24))
+    x = np.concatenate([base, base[:700] + 0.04 * draw.normal(size=(700, 24)), line, ball, np.outer(np.arange(1.0, 201.0), base[0]), [base[1] * 1e200, base[2] * 1e-200]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_graph.link_vectors(df).collect()}
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    there = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= there).all() and found.sum() >= 0.97 * there.sum() and (found == there).mean() > 0.97
+
+
 def test_vectors_of_large_groups_side_by_side(spark):
     draw = np.random.default_rng(12)
     d = 32

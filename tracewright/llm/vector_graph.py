@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.shared import components, written
+from tracewright.operators.vectors import dot
 
 #: Linked from this cosine on.
 COSINE = 0.9
@@ -17,8 +18,13 @@ COSINE = 0.9
 SHARD, OVERLAP, MOST_SHARDS = 1_000, 3, 4_096
 #: Expected number of vectors that the shards' centres are fitted on, chosen by a hash of the id.
 CENTRE_ROWS, CENTRE_ROUNDS = 20_000, 6
-#: A shard beyond this many vectors is dealt into parts that share about PIVOTS of its vectors.
-MOST_IN_SHARD, PIVOTS = 3_000, 64
+#: A shard beyond this many vectors is split by centres of its own, fitted on about SPLIT_ROWS of its vectors, at most
+#: SPLIT of them, and so on; DEALT of its vectors are assigned at a time.
+MOST_IN_SHARD, SPLIT_ROWS, SPLIT, DEALT, LEVELS = 3_000, 2_048, 32, 20_000, 20
+#: Vectors this close to the same centre are linked: their angle is at most twice theirs to it.
+SURE = float(np.cos(np.arccos(COSINE) / 2)) + 1e-8
+#: Neighbours from other regions are searched through if they are at least this close: two links reach no further.
+WAY = 0.62
 #: Nearest vectors that pruning chooses from, neighbours that it keeps, and its slack.
 CANDIDATES, DEGREE, SLACK = 48, 20, 1.2
 #: Best nodes that a greedy search holds, at first and at most; it widens while all that it holds are within range, and
@@ -29,6 +35,10 @@ BLOCK = 1_024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; scaled first, so that no square of a large or tiny component is lost."""
+    if not x.size:
+        return x
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -89,15 +99,17 @@ def _joined(unit: np.ndarray, queries: np.ndarray, label: np.ndarray) -> list[tu
 
 
 def _build(group: pa.Table) -> pa.Table:
-    """A shard's graph: ``id, neighbours``, and in ``links`` links that join all that links within the shard join."""
+    """A shard's graph: ``id, neighbours``, those of them within WAY, and in ``links`` links that join all that links within the shard join."""
     ids, unit = np.asarray(group.column("id")), _unit(_matrix(group.column("vec")))
     order = np.argsort(ids)
     ids, unit = ids[order], unit[order]
-    near = robust_prune(unit @ unit.T)
+    cosines = unit @ unit.T
+    near = robust_prune(cosines)
     links: list[list[int]] = [[] for _ in ids]
     for a, b in _joined(unit, np.arange(len(ids)), np.arange(len(ids))):
         links[a].append(int(ids[b]))
-    return pa.table({"id": pa.array(ids), "neighbours": pa.array([ids[x] for x in near], pa.list_(pa.int64())), "links": pa.array(links, pa.list_(pa.int64()))})
+    way = [ids[x[cosines[i, x] >= WAY]] for i, x in enumerate(near)]
+    return pa.table({"id": pa.array(ids), "neighbours": pa.array([ids[x] for x in near], pa.list_(pa.int64())), "way": pa.array(way, pa.list_(pa.int64())), "links": pa.array(links, pa.list_(pa.int64()))})
 
 
 def greedy_search(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, medoid: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +204,98 @@ def _count(group: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(np.concatenate(out_ids), pa.int64()), "n": pa.array(np.concatenate(out_n), pa.int64())})
 
 
+def _fitted(group: pa.Table) -> pa.Table:
+    """Centres of one shard, from a sample of it."""
+    unit = _unit(_matrix(group.column("vec")))[np.argsort(np.asarray(group.column("id")))]
+    k = min(SPLIT, max(2, -(-group.column("held")[0].as_py() // SHARD)))
+    return pa.table({"shard": group.column("shard")[:1], "centres": pa.array([_centres(unit, k).tolist()], pa.list_(pa.list_(pa.float64())))})
+
+
+def _dealt(group: pa.Table, fitted: pa.Table) -> pa.Table:
+    """Vectors of one shard with the parts of it that they go to: the nearest OVERLAP in the home shard, else the nearest.
+
+    Centres that are equally near are told apart by the id, so that a shard of equal directions is split as well."""
+    ids, at_home = np.asarray(group.column("id")), np.asarray(group.column("at_home"))
+    centres = np.asarray(fitted.column("centres")[0].as_py())
+    cosines = np.round(_unit(_matrix(group.column("vec"))) @ centres.T, 9)
+    mixed = (ids[:, None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, len(centres) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.lexsort((mixed, -cosines), axis=1)[:, :OVERLAP]
+    rank = np.broadcast_to(np.arange(order.shape[1]), order.shape)
+    row, column = np.nonzero((rank == 0) | at_home[:, None])
+    return pa.table({"id": pa.array(ids[row]), "vec": group.column("vec").take(pa.array(row)), "shard": group.column("shard").take(pa.array(row)), "part": pa.array(order[row, column], pa.int64()), "at_home": pa.array(at_home[row] & (column == 0)), "sure": pa.array(cosines[row, order[row, column]] >= SURE)})
+
+
+def _split(spread: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``spread(id, vec, shard, at_home)`` with every shard of more than MOST_IN_SHARD vectors split by similarity, and
+    links ``a, b`` that the centres prove, so that no dense shard falls apart.
+
+    What a level fits and assigns is bounded for each task, however large a shard; a vector's copies grow by two a level."""
+    whole, proved = None, []
+    for _ in range(LEVELS):
+        sizes = spread.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
+        big = written(sizes.where(F.col("held") > MOST_IN_SHARD))
+        if big.isEmpty():
+            break
+        rows = spread.join(big, "shard").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("held") / DEALT)))
+        sample = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.lit(float(SPLIT_ROWS << 30)) / F.col("held"))
+        fitted = written(sample.groupBy("shard").applyInArrow(_fitted, "shard bigint, centres array<array<double>>"))
+        fitted = fitted.join(big, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / DEALT) - 1)))
+        dealt = rows.select("id", "vec", "shard", "at_home", "salt").groupBy("shard", "salt").cogroup(fitted.select("shard", "salt", "centres").groupBy("shard", "salt"))
+        parts = dealt.applyInArrow(_dealt, "id bigint, vec array<double>, shard bigint, part bigint, at_home boolean, sure boolean").withColumn("shard", F.xxhash64("shard", "part"))
+        done = spread.join(big, "shard", "left_anti").select("id", "vec", "shard", "at_home")
+        whole = done if whole is None else whole.unionByName(done)
+        parts = written(parts.select("id", "vec", "shard", "at_home", "sure"))
+        sure = parts.where("sure").select("shard", "id")
+        first = sure.groupBy("shard").agg(F.min("id").alias("a"))
+        proved.append(written(sure.join(first, "shard").where("id <> a").select("a", F.col("id").alias("b"))))
+        spread = parts.drop("sure")
+    return (spread if whole is None else written(whole.unionByName(spread))), proved
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """A block's centre, the greatest angle to it, and its weight."""
+    unit = _unit(_matrix(group.column("vec")))
+    centre = unit.mean(axis=0)
+    length = np.linalg.norm(centre)
+    centre = centre / length if length > 1e-9 else unit[0]
+    angle = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+    return pa.table({"component": group.column("component")[:1], "block": group.column("block")[:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "angle": pa.array([angle]), "weight": pa.array([int(np.asarray(group.column("weight")).sum())], pa.int64())})
+
+
+def _counted(members: DataFrame, n: int) -> DataFrame:
+    """Links ``id, n`` of each of ``members(component, id, vec, weight, home)`` with other members of its component, exactly.
+
+    A component of up to BLOCK vectors is multiplied out. A larger one is cut into blocks of one region each; two blocks
+    whose centres and widest angles show that all or none of their vectors link are not multiplied out."""
+    counted = "id bigint, n bigint"
+    sizes = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("held")))
+    members = members.join(sizes, "component")
+    small = members.where(F.col("held") <= BLOCK).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(max(1, n // 500)).cast("long")))
+    out = small.withColumns({"in_left": F.lit(True), "in_right": F.lit(True)}).groupBy("bucket").applyInArrow(_count, counted)
+    if sizes.where(F.col("held") > BLOCK).isEmpty():
+        return out
+    large = members.where(F.col("held") > BLOCK).drop("held")
+    homes = large.groupBy("component", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    large = large.join(homes, ["component", "home"]).withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    large = written(large.select("component", "block", "id", "vec", "weight"))
+    blocks = written(large.groupBy("component", "block").applyInArrow(_summed, "component bigint, block bigint, centre array<double>, angle double, weight bigint"))
+    other = blocks.select("component", *(F.col(c).alias(f"o_{c}") for c in ("block", "centre", "angle", "weight")))
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("centre"), F.col("o_centre")))))
+    width, most = F.col("angle") + F.col("o_angle"), float(np.arccos(COSINE))
+    pairs = blocks.join(other, "component").where(F.col("block") <= F.col("o_block")).withColumn("between", between).where(F.col("between") - width <= most + 1e-6)
+    pairs = written(pairs.select("component", "block", "o_block", "weight", "o_weight", (F.col("between") + width <= most - 1e-6).alias("all")))
+    sure = pairs.where("all")
+    sure = sure.select("component", "block", F.col("o_weight").alias("n")).unionByName(sure.where("block <> o_block").select("component", F.col("o_block").alias("block"), F.col("weight").alias("n")))
+    sure = sure.groupBy("component", "block").agg(F.sum("n").alias("n"))
+    # A block's own weight is in the sum if it is sure of itself; a vector does not link with itself.
+    own = pairs.where("all and block = o_block").select("component", "block", F.lit(1).alias("own"))
+    plain = large.join(sure, ["component", "block"]).join(own, ["component", "block"], "left").select("id", (F.col("n") - F.when(F.col("own").isNotNull(), F.col("weight")).otherwise(0)).alias("n"))
+    unsure = pairs.where("not all").select("component", F.col("block").alias("x"), F.col("o_block").alias("y"))
+    sides = unsure.select("component", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    met = large.join(sides, ["component", "block"]).withColumns({"in_left": F.col("block") == F.col("x"), "in_right": F.col("block") == F.col("y")})
+    return out.unionByName(plain).unionByName(met.groupBy("component", "x", "y").applyInArrow(_count, counted))
+
+
 def _usable(vec):
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vec.isNotNull() & (F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0)
@@ -203,7 +307,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors link when their cosine, in double precision, is at least 0.9. ``n_links`` counts the other rows that a vector
     links with, ``component_id`` is the smallest id that links reach, and the vector of that id is kept.
 
-    Equal vectors are one node with a weight. Nodes go to the shards of their nearest centres; in each shard a
+    Equal vectors are one node with a weight. Nodes go to the shards of their nearest centres, and a shard that is too large
+    is split by centres of its own until none is; in each shard a
     robust-pruned graph is built, and a node's neighbour lists are united over its shards. Each region (the nodes of one
     home shard and their neighbours elsewhere) is searched greedily from its medoid for each of its nodes, widening
     while all that a search holds are within range; a node with more in range than the widest search holds is compared
@@ -236,36 +341,24 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 order = np.argsort(-cosines, axis=1, kind="stable")[:, :OVERLAP]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.astype(np.int64).tolist(), pa.list_(pa.int64()))], names=["id", "vec", "shards"])
 
-    placed = written(nodes.select("id", "vec").mapInArrow(assign, "id bigint, vec array<double>, shards array<bigint>").withColumn("home", F.element_at("shards", 1)))
-    spread = placed.select("id", "vec", F.explode("shards").alias("shard"))
-    sizes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
-    parts = F.when(F.col("held") <= MOST_IN_SHARD, 1).otherwise(F.ceil(F.col("held") / (MOST_IN_SHARD // 2))).cast("long")
-    spread = spread.join(F.broadcast(sizes.withColumn("parts", parts)), "shard")
-    mixed = F.xxhash64("id", F.lit(9))
-    pivot = (F.col("parts") > 1) & (F.pmod(mixed, F.lit(1 << 20)) < F.lit(PIVOTS << 20) / F.col("held"))
-    part = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts"))))
-    built = spread.select("shard", "id", "vec", F.explode(part).alias("part")).groupBy("shard", "part").applyInArrow(_build, "id bigint, neighbours array<bigint>, links array<bigint>")
-    graph = written(built.groupBy("id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("neighbours", "links"))))
-
-    # Regions: as a shard beyond MOST_IN_SHARD is dealt into parts, so is its region.
-    homes = placed.groupBy("home").agg(F.count(F.lit(1)).alias("held"))
-    homes = homes.select("home", F.greatest(F.lit(1), F.ceil(F.col("held") / MOST_IN_SHARD)).cast("long").alias("parts"))
-    own = placed.join(F.broadcast(homes), "home").select("id", "vec", "home", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    own = written(own.join(graph.drop("links"), "id"))
-    beyond = own.select("home", "part", F.explode("neighbours").alias("id")).distinct().join(own.select("home", "part", "id"), ["home", "part", "id"], "left_anti")
-    beyond = beyond.join(placed.select("id", "vec"), "id").select("id", "vec", "home", "part", F.lit(None).cast("array<bigint>").alias("neighbours"))
-    found = own.select(beyond.columns).unionByName(beyond).groupBy("home", "part").applyInArrow(_search, "a bigint, b bigint")
+    placed = nodes.select("id", "vec").mapInArrow(assign, "id bigint, vec array<double>, shards array<bigint>")
+    spread = written(placed.select("id", "vec", F.posexplode("shards").alias("k", "shard")).select("id", "vec", "shard", (F.col("k") == 0).alias("at_home")))
+    spread, proved = _split(spread)
+    built = spread.groupBy("shard").applyInArrow(_build, "id bigint, neighbours array<bigint>, way array<bigint>, links array<bigint>")
+    graph = written(built.groupBy("id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("neighbours", "way", "links"))))
+
+    # Regions: the vectors of a home shard, and their close neighbours elsewhere.
+    own = written(spread.where("at_home").select("id", "vec", F.col("shard").alias("home")).join(graph.drop("links"), "id"))
+    beyond = own.select("home", F.explode("way").alias("id")).distinct().join(own.select("home", "id"), ["home", "id"], "left_anti")
+    beyond = beyond.join(nodes.select("id", "vec"), "id").select("id", "vec", "home", F.lit(None).cast("array<bigint>").alias("neighbours"))
+    found = own.select(beyond.columns).unionByName(beyond).groupBy("home").applyInArrow(_search, "a bigint, b bigint")
     found = found.unionByName(graph.select(F.col("id").alias("a"), F.explode("links").alias("b")))
+    for links in proved:
+        found = found.unionByName(links)
     edges = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    linked = components(edges)
-
-    blocks = linked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    members = linked.join(nodes, "id").join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    small, large = F.least("block", "other"), F.greatest("block", "other")
-    bucket = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, n // 500)).cast("long"))).otherwise(-F.col("component") - 1)
-    members = members.select("component", "id", "vec", "weight", bucket.alias("bucket"), small.alias("small"), large.alias("large"), (F.col("block") == small).alias("in_left"), (F.col("block") == large).alias("in_right"))
-    counted = members.groupBy("bucket", "small", "large").applyInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    linked = written(components(edges))
+    members = linked.join(own.select("id", "vec", "home"), "id").join(nodes.select("id", "weight"), "id")
+    counted = _counted(members, n).groupBy("id").agg(F.sum("n").alias("n"))
     result = nodes.select("id", "vec", "weight").join(counted, "id", "left").join(linked, "id", "left")
     result = written(result.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     out = rows.join(result, "vec", "left")
