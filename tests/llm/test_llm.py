@@ -370,10 +370,41 @@ def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
     rows = [(1, mit), (2, "x\nReleased under the MIT License.\ny"), (3, "Licensed under CC BY-NC 4.0."), (4, "We licence nothing here."), (5, None), (6, "plain"), (7, "SPDX-License-Identifier: ISC")]
     got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
-    assert got == {1: ("MIT", 0), 2: ("MIT", 0), 3: ("CC-BY-NC", 0), 4: ("", 1), 5: ("", 0), 6: ("", 0), 7: ("SPDX", 0)}
+    assert got == {1: ("MIT", 0), 2: ("MIT", 0), 3: ("CC-BY-NC", 0), 4: ("", 1), 5: ("", 0), 6: ("", 0), 7: ("ISC", 0)}
     assert licenses.scan_licenses(docs(spark, ODD)).count() == len(ODD) and licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+MIT = """// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction, including without limitation the rights
+// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+// copies of the Software, and to permit persons to whom the Software is
+// furnished to do so, subject to the following conditions:
+//
+// The above copyright notice and this permission notice shall be included in all
+// copies or substantial portions of the Software.
+//
+// THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+// IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+// FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+// AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+// LIABILITY."""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_wrapped_licences_and_tags(spark):
+    rows = [(1, MIT), (2, GPL.format("")), (3, GPL.format("Affero ")), (4, "# SPDX-License-Identifier: Apache-2.0 OR MIT\ncode"), (5, "code\r\nSPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\r\n"), (6, "A long line of prose that goes on without any stop\nReleased under the MIT License\nand more of that prose in a line that goes on")]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {1: ("MIT", 0), 2: ("GPL-3.0", 0), 3: ("AGPL-3.0", 0), 4: ("Apache-2.0 OR MIT", 0), 5: ("GPL-2.0-only WITH Classpath-exception-2.0", 0), 6: ("MIT", 0)}
+
+
 def test_licences_named_without_an_anchor(spark):
     said = {
         "Released under the GPL v3": "gpl3Ref", "Distributed under the LGPL": "lgplRef", "Available under GNU GPL version 2.": "gpl2Ref", "Covered under AGPL v3": "agpl3Ref",
