@@ -90,6 +90,16 @@ def test_pii_base_spans_like_the_patterns(spark, table):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_pii_of_a_megabyte_of_digits(spark):
+    import time
+
+    rows = [(1, "7" * 1_000_000), (2, "a@b.c " * 60_000), (3, "x=" + "Ab1+" * 200_000)]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, rows)).collect()}
+    assert time.perf_counter() - began < 120 and got[2].n_email == 60_000 and got[1].n_card == got[1].n_ip == 0
+    assert got[2].spans.endswith(f"email:{6 * 59_999}:{6 * 59_999 + 5}")
+
+
 def check_packed(spark, rows):
     got = packing.pack(docs(spark, rows)).collect()
     encoder = WordIds(packing.default_tokenizer()).tokenizer
