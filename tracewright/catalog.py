@@ -1,6 +1,6 @@
 """All named queries of the library, gathered from the plans."""
 
-from tracewright.plans import alerts, attachments, conversations, detections, entities, evaluation, footage, identities, presence, relations, retrieval, sentiment, texts  # noqa: F401  they register their queries
+from tracewright.plans import alerts, attachments, conversations, detections, entities, evaluation, footage, identities, intake, matching, presence, questions, relations, retrieval, sentiment, texts  # noqa: F401  they register their queries
 from tracewright.registry import ORACLE_SQL, QUERIES
 from tracewright.streaming import jobs  # noqa: F401
 
