@@ -1,7 +1,8 @@
 """Timeline and status spans: sequential folds over the segments of one stream and session.
 
 A step backwards or a marked gap opens a span whose end may lie before earlier ones, so these are not windows over a
-running maximum. A stream's session is a small group, and each is folded on its own.
+running maximum. But where a gap is marked, or a row starts further than its length behind all that went before, a span
+ends for certain: streams are cut there by windows, and only what was recorded without such a break is folded as one group.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 SPAN = "start_ns long, end_ns long, segments long"
 
@@ -33,14 +36,24 @@ def _ends(span: list) -> tuple[int, int, int]:
     return span[0].start_ns, max(r.start_ns + r.duration_ns for r in span), len(span)
 
 
+def _runs(kept: DataFrame, stream: str, session: str, sequence: str, changes: Column | None = None) -> DataFrame:
+    """Adds ``run``: rows between two certain breaks of a stream's session."""
+    w = W.partitionBy(stream, session).orderBy(sequence, "start_ns")
+    behind = F.max(F.col("start_ns") + F.col("duration_ns")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    sure = F.col("gap_before") | behind.isNull() | (F.col("start_ns") - behind > F.col("duration_ns"))
+    if changes is not None:
+        sure = sure | F.coalesce(changes, F.lit(False))
+    return kept.withColumn("sure", sure.cast("long")).withColumn("run", F.sum("sure").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("sure")
+
+
 def timeline_spans(segments: DataFrame, stream: str, session: str, sequence: str) -> DataFrame:
     """Spans of contiguous segments: ``stream, session, start_ns, end_ns, segments``."""
 
     def spans(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *_ends(s)) for s in _fold(rows, sequence, lambda a, b: False)], columns=["stream", "session", "start_ns", "end_ns", "segments"])
+        return pd.DataFrame([(*key[:2], *_ends(s)) for s in _fold(rows, sequence, lambda a, b: False)], columns=["stream", "session", "start_ns", "end_ns", "segments"])
 
     kept = segments.select(stream, session, sequence, "start_ns", "duration_ns", "gap_before")
-    return kept.groupBy(stream, session).applyInPandas(spans, f"stream long, session long, {SPAN}")
+    return _runs(kept, stream, session, sequence).groupBy(stream, session, "run").applyInPandas(spans, f"stream long, session long, {SPAN}")
 
 
 def status_intervals(segments: DataFrame, stream: str, session: str, sequence: str) -> DataFrame:
@@ -48,8 +61,9 @@ def status_intervals(segments: DataFrame, stream: str, session: str, sequence: s
 
     def spans(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         made = _fold(rows, sequence, lambda a, b: a.status != b.status)
-        out = [(*key, *_ends(s), s[0].status, next((r.last_error for r in reversed(s) if isinstance(r.last_error, str)), None)) for s in made]
+        out = [(*key[:2], *_ends(s), s[0].status, next((r.last_error for r in reversed(s) if isinstance(r.last_error, str)), None)) for s in made]
         return pd.DataFrame(out, columns=["stream", "session", "start_ns", "end_ns", "segments", "status", "last_error"])
 
     kept = segments.select(stream, session, sequence, "start_ns", "duration_ns", "gap_before", "status", "last_error")
-    return kept.groupBy(stream, session).applyInPandas(spans, f"stream long, session long, {SPAN}, status string, last_error string")
+    changes = ~F.col("status").eqNullSafe(F.lag("status").over(W.partitionBy(stream, session).orderBy(sequence, "start_ns")))
+    return _runs(kept, stream, session, sequence, changes).groupBy(stream, session, "run").applyInPandas(spans, f"stream long, session long, {SPAN}, status string, last_error string")

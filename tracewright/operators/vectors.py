@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,19 +43,45 @@ def kept_within_margin(df: DataFrame, margin: float) -> DataFrame:
     """Rows at most ``margin`` further away than the nearest; a margin of 0 or less keeps all."""
     if margin <= 0:
         return df
-    return df.withColumn("nearest", F.min("distance").over(W.partitionBy())).where(F.col("distance") <= F.col("nearest") + margin).drop("nearest")
-
-
-def knn(queries: DataFrame, rows: DataFrame, k: int, parts: int = 16) -> DataFrame:
-    """The k nearest ``rows(b, y)`` for each of ``queries(a, x)`` by unit vectors' cosine distance: ``a, b, distance``.
-
-    Rows are dealt into parts and queries are copied to each; every part keeps its own k, and the parts' are merged, so no
-    task meets all pairs of one query's rows."""
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
-    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = asked.join(dealt, "part").where("a <> b").select("part", "a", "b", (1 - dot(F.col("x"), F.col("y"))).alias("distance"))
-    first = pairs.withColumn("k", F.row_number().over(W.partitionBy("a", "part").orderBy("distance", "b"))).where(F.col("k") <= k)
-    return first.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("k") <= k).select("a", "b", "distance", "k")
+    nearest = df.agg(F.min("distance").alias("nearest"))  # one row
+    return df.join(F.broadcast(nearest), F.col("distance") <= F.col("nearest") + margin).drop("nearest")
+
+
+#: Vectors in a block of the products of all queries and rows.
+BLOCK = 4_096
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k nearest ``rows(b, y)`` for each of ``queries(a, x)`` by unit vectors' cosine distance: ``a, b, distance, k``.
+
+    Exact: queries and rows are dealt into blocks, whose number grows with them, and each task multiplies one block of
+    queries with one of rows as matrices and keeps k for each query. So a task's memory is that of two blocks, and
+    only k rows of each query and block of rows are shuffled to be merged; ties go by ``b``."""
+    parts = max(1, -(-rows.count() // block))
+    asked_parts = max(1, -(-queries.count() // block))
+    dealt = rows.select(F.pmod(F.xxhash64("b"), F.lit(parts).cast("long")).alias("part"), "b", "y")
+    dealt = dealt.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked_parts - 1).cast("long"))))
+    asked = queries.select(F.pmod(F.xxhash64("a"), F.lit(asked_parts).cast("long")).alias("asked"), "a", "x")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = np.asarray(left.column("a")), np.asarray(right.column("b"))
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        matrix = lambda t, c: np.asarray(t.column(c).combine_chunks().flatten(), float).reshape(len(t), -1)
+        far = 1 - matrix(left, "x") @ matrix(right, "y").T
+        far[a[:, None] == b[None, :]] = np.inf
+        limit = np.partition(far, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+        row, column = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
+        order = np.lexsort((b[column], far[row, column], row))
+        row, column = row[order], column[order]
+        first = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - first < k
+        row, column = row[kept], column[kept]
+        return pa.table({"a": pa.array(a[row], pa.int64()), "b": pa.array(b[column], pa.int64()), "distance": pa.array(far[row, column])})
+
+    found = asked.groupBy("asked", "part").cogroup(dealt.groupBy("asked", "part")).applyInArrow(nearest, "a long, b long, distance double")
+    return found.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("k") <= k).select("a", "b", "distance", "k")
 
 
 def centroids(df: DataFrame, key: str, vec: str, weight: Column | None = None) -> DataFrame:

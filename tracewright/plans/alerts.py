@@ -84,17 +84,21 @@ def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alert_cooldown")
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries after the cooldown of each rule and subject: a fold, since each delivery restarts the clock."""
+    """Deliveries after the cooldown of each rule and subject: a fold, since each delivery restarts the clock. After a
+    silence of the cooldown's length the next match is sent for certain, so matches are cut there and folded between."""
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sent, last = [], None
         for r in rows.sort_values(["start_ns", "event_id"]).itertuples(index=False):
             if last is None or r.start_ns - last >= r.cooldown * SECOND:
-                sent.append((*key, r.event_id))
+                sent.append((*key[:2], r.event_id))
                 last = r.start_ns
         return pd.DataFrame(sent, columns=["rule", "subject", "event_id"])
 
-    return matches(events(spark, sf_dir), rules(spark)).groupBy("rule", "subject").applyInPandas(fold, "rule int, subject long, event_id long")
+    w = W.partitionBy("rule", "subject").orderBy("start_ns", "event_id")
+    quiet = F.coalesce(F.col("start_ns") - F.lag("start_ns").over(w) >= F.col("cooldown").cast("long") * SECOND, F.lit(True)).cast("long")
+    cut = matches(events(spark, sf_dir), rules(spark)).withColumn("quiet", quiet).withColumn("run", F.sum("quiet").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return cut.groupBy("rule", "subject", "run").applyInPandas(fold, "rule int, subject long, event_id long")
 
 
 @query("alert_first_of_day", f"WITH {_MATCH_SQL} SELECT rule, subject, start_ns // {24 * HOUR} AS day, arg_min(event_id, (start_ns, event_id)) AS event_id FROM h GROUP BY 1, 2, 3")

@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import plate_key
+from tracewright.plans.matching import _variants
 from tracewright.registry import query
-from tracewright.sources.driver_tables import VECTORS_SQL, read, vectors
+from tracewright.sources.driver_tables import SIGHTINGS_SQL, VECTORS_SQL, read, sightings, vectors
 
 
 def word_errors(pairs: DataFrame, reference: str, found: str) -> DataFrame:
-    """Adds ``errors`` and ``words``: word edit distance and the reference's words. Arrow batches, a row of the table of
-    distances at a time."""
-
-    @F.pandas_udf("long")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = (x or "").split(), (y or "").split()
-            row = list(range(len(y) + 1))
-            for i, w in enumerate(x, 1):
-                new = [i]
-                for j, v in enumerate(y, 1):
-                    new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != v)))
-                row = new
-            out.append(row[-1])
-        return pd.Series(out, dtype="int64")
-
-    return pairs.withColumns({"errors": distance(F.col(reference), F.col(found)), "words": F.size(F.split(F.col(reference), " "))})
+    """Adds ``errors`` and ``words``: word edit distance and the reference's words.
+
+    Each word of a pair becomes one sign, so that the built-in distance of strings counts words."""
+    words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda w: w != "")
+    every = F.array_distinct(F.concat("ref_words", "found_words"))
+    # Signs from U+0100 on; a pair has far fewer different words than there are before the surrogates.
+    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position("every_word", w) + 255), 4, "0")), "UTF-16BE")
+    coded = lambda c: F.array_join(F.transform(c, sign), "")
+    told = pairs.withColumns({"ref_words": words(reference), "found_words": words(found)}).withColumn("every_word", every)
+    told = told.withColumns({"errors": F.levenshtein(coded("ref_words"), coded("found_words")).cast("long"), "words": F.size("ref_words")})
+    return told.drop("ref_words", "found_words", "every_word")
 
 
 def pairwise_scores(df: DataFrame, key: str, truth: str, found: str) -> DataFrame:
@@ -116,3 +114,67 @@ def load_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "events").groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("x")).agg(F.count(F.lit(1)).alias("y"))
     slope = F.coalesce(F.regr_slope("y", "x"), F.lit(0.0))
     return d.groupBy("event_type").agg(F.round(slope, 6).alias("slope"), F.round(F.avg("y"), 6).alias("mean"), (slope <= 0.05).alias("keeps_up"))
+
+
+_CONTINGENCY = f"{SIGHTINGS_SQL}, c AS (SELECT device AS truth, subject % 6 AS found, CAST(sum(end_ns - start_ns) AS BIGINT) AS shared FROM s GROUP BY ALL)"
+
+
+def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each true speaker and each found one speak together."""
+    return sightings(spark, sf_dir).groupBy(F.col("device").alias("truth"), (F.col("subject") % 6).alias("found")).agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("shared"))
+
+
+@query("diarization_purity", f"WITH {_CONTINGENCY}, m AS (SELECT found, max(shared) AS best, sum(shared) AS total FROM c GROUP BY found) SELECT round(sum(best) / sum(total), 6) AS purity, count(*) AS clusters FROM m")
+def diarization_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = contingency(spark, sf_dir).groupBy("found").agg(F.max("shared").alias("best"), F.sum("shared").alias("total"))
+    return m.agg(F.round(F.sum("best") / F.sum("total"), 6).alias("purity"), F.count(F.lit(1)).alias("clusters"))
+
+
+def _assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for cells in batch["cells"]:
+            shared = {(r["truth"], r["found"]): r["shared"] for r in cells}
+            truths, founds = (sorted({k[i] for k in shared}) for i in (0, 1))
+            few, many = (truths, founds) if len(truths) <= len(founds) else (founds, truths)
+            of = lambda a, b: shared.get((a, b) if few is truths else (b, a), 0)  # noqa: B023, E731
+            best = max(itertools.permutations(many, len(few)), key=lambda p: sum(of(a, b) for a, b in zip(few, p, strict=True)))  # noqa: B023
+            pairs = [(a, b) if few is truths else (b, a) for a, b in zip(few, best, strict=True)]
+            yield pd.DataFrame([(t, int(f), int(shared.get((t, f), 0))) for t, f in pairs], columns=["truth", "found", "shared"])
+
+
+@query("speaker_assignment")
+def speaker_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment of found to true speakers that shares the most time; a test case has a handful of each."""
+    cells = contingency(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("truth", "found", "shared"))).alias("cells"))
+    return cells.mapInPandas(_assigned, "truth string, found long, shared long")
+
+
+@query(
+    "plate_recall",
+    """WITH k AS (SELECT c_custkey AS id, upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS plate FROM customer), e AS (SELECT * FROM k WHERE id % 40 = 0), r AS (SELECT plate, id % 3 + 1 AS reads FROM k WHERE id % 3 <> 0),
+j AS (SELECT e.id, CAST(sum(r.reads) AS BIGINT) AS reads, min(levenshtein(e.plate, r.plate)) AS d FROM e JOIN r ON levenshtein(e.plate, r.plate) <= 1 GROUP BY e.id)
+SELECT e.id, coalesce(reads, 0) AS reads, coalesce(reads >= 2, false) AS found FROM e LEFT JOIN j ON j.id = e.id""",
+)
+def plate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected plates that were read at least twice, one edit allowed; reads that may match share a variant."""
+    k = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), plate_key(F.col("c_name")).alias("plate"))
+    expected = k.where("id % 40 = 0").withColumn("variant", _variants("plate"))
+    reads = k.where("id % 3 <> 0").select(F.col("plate").alias("said"), (F.col("id") % 3 + 1).alias("reads"), F.col("id").alias("read_id")).withColumn("variant", _variants("said"))
+    near = expected.join(reads, "variant").where(F.levenshtein("plate", "said") <= 1).select("id", "read_id", "reads").distinct().groupBy("id").agg(F.sum("reads").alias("reads"))
+    return k.where("id % 40 = 0").select("id").join(near, "id", "left").select("id", F.coalesce("reads", F.lit(0)).cast("long").alias("reads"), F.coalesce(F.col("reads") >= 2, F.lit(False)).alias("found"))
+
+
+@query(
+    "graph_assertions",
+    f"""WITH {SIGHTINGS_SQL}, p AS (SELECT subject, string_agg(device, '>' ORDER BY start_ns, event_id) AS path, count(*) AS n FROM s WHERE event_id % 10 < 5 GROUP BY subject),
+h AS (SELECT subject, arg_min(hour, (-n, hour)) AS peak FROM (SELECT subject, (start_ns // 3600000000000) % 24 AS hour, count(*) AS n FROM s GROUP BY ALL) GROUP BY subject)
+SELECT p.subject, regexp_matches(path, 'signup.*error.*purchase') AS subsequence, CAST(peak AS INTEGER) AS peak_hour, n BETWEEN 10 AND 40 AS in_count FROM p JOIN h USING (subject)""",
+)
+def graph_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per subject: whether its devices hold an ordered subsequence, its peak hour, and a count within bounds."""
+    s, want = sightings(spark, sf_dir), F.array(*(F.lit(x) for x in ("signup", "error", "purchase")))
+    path = s.where("event_id % 10 < 5").groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_ns", "event_id", "device"))), lambda r: r["device"]).alias("path"), F.count(F.lit(1)).alias("n"))
+    met = F.aggregate("path", F.lit(0), lambda i, d: F.when(F.get(want, i) == d, i + 1).otherwise(i))
+    hours = s.groupBy("subject", F.expr("(start_ns div 3600000000000) % 24").cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    peak = hours.groupBy("subject").agg(F.min_by("hour", F.struct((-F.col("n")).alias("n"), "hour")).alias("peak_hour"))
+    return path.join(peak, "subject").select("subject", (met == 3).alias("subsequence"), "peak_hour", F.col("n").between(10, 40).alias("in_count"))

@@ -138,7 +138,8 @@ def first_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stitched(v: DataFrame, gap: int) -> DataFrame:
     """Journeys of each subject: hops follow while one arrives within ``gap`` of the last hop's departure; a stay at the
-    same device extends the hop. A fold over one subject's visits, which no other subject's touch."""
+    same device extends the hop. A subject is cut where a visit begins more than ``gap`` after the end of all before it, which
+    ends a journey for certain, and only the visits between two such cuts are folded as one group."""
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         made: list[list[list]] = []
@@ -152,7 +153,10 @@ def stitched(v: DataFrame, gap: int) -> DataFrame:
         kept = [j for j in made if len({h[0] for h in j}) > 1]
         return pd.DataFrame([(key[0], j[0][1], j[-1][2], [h[0] for h in j]) for j in kept], columns=["subject", "start_ns", "end_ns", "devices"])
 
-    return v.groupBy("subject").applyInPandas(fold, "subject long, start_ns long, end_ns long, devices array<string>")
+    w = W.partitionBy("subject").orderBy("start_ns", "end_ns", "device")
+    behind = F.max("end_ns").over(w.rowsBetween(W.unboundedPreceding, -1))
+    cut = v.withColumn("sure", F.coalesce(F.col("start_ns") - behind > gap, F.lit(True)).cast("long")).withColumn("run", F.sum("sure").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("sure")
+    return cut.groupBy("subject", "run").applyInPandas(fold, "subject long, start_ns long, end_ns long, devices array<string>")
 
 
 @query("journeys")
