@@ -299,6 +299,57 @@ def test_components_like_union_find(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_language_model_like_plain_loops(spark, table):
+    """The weights against a loop over single coordinates, the temperature against a search, ids and languages unseen."""
+    rows = [(langid.weighted(langid.counts_of(t), np.ones(1 << langid.BITS, np.float32)), y) for t, y in [("one of the many", 0), ("der und die das", 1), ("the other one", 0), ("das ist die und", 1)]]
+    sparse = [(at, x, y) for (at, x), y in rows]
+    w, b = langid._follow_the_leader(sparse, 1 << langid.BITS, 2, 2)
+    z, n = defaultdict(float), defaultdict(float)
+    order = np.random.default_rng(7)
+    leader = lambda i, c: 0.0 if abs(z[i, c]) <= langid.L1 else -(z[i, c] - np.sign(z[i, c]) * langid.L1) / ((langid.BETA + n[i, c] ** 0.5) / langid.ALPHA + langid.L2)
+    for _ in range(2):
+        for k in order.permutation(len(sparse)):
+            at, x, y = sparse[k]
+            pairs = [*zip(at.tolist(), x.tolist(), strict=True), (1 << langid.BITS, 1.0)]
+            said = [sum(v * leader(i, c) for i, v in pairs) for c in (0, 1)]
+            e = np.exp(np.array(said) - max(said))
+            p = e / e.sum()
+            held = {(i, c): leader(i, c) for i, _ in pairs for c in (0, 1)}
+            for i, v in pairs:
+                for c in (0, 1):
+                    g = v * (p[c] - (c == y))
+                    sigma = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / langid.ALPHA
+                    z[i, c] += g - sigma * held[i, c]
+                    n[i, c] += g * g
+    assert all(abs(w[i, c] - leader(i, c)) < 1e-5 for at, *_ in sparse for i in at.tolist() for c in (0, 1))
+    assert all(abs(b[c] - leader(1 << langid.BITS, c)) < 1e-6 for c in (0, 1))
+    draw = np.random.default_rng(3)
+    logits, ys = draw.normal(size=(200, 3)) * 4, draw.integers(0, 3, 200)
+    loss = lambda t: -np.mean([np.log(np.exp(r[y] / t) / np.exp(r / t).sum()) for r, y in zip(logits, ys, strict=True)])
+    best = min(np.geomspace(0.05, 5, 60), key=loss)
+    assert abs(langid._temperature(logits, ys) - best) < 1e-9
+    model = langid.fit(table)
+    again = langid.fit(table.unionByName(table.where("crc32(string(doc_id)) % 4 = 2").selectExpr("doc_id", "text", "'xx' as lang", "source", "n_chars")))
+    assert model.langs == again.langs and np.allclose(model.weights, again.weights)
+
+
+def test_quality_vote_like_plain_neighbours(spark, table):
+    model = quality.fit(table, spark.read.parquet(f"{SF}/labels.parquet").unionByName(spark.read.parquet(f"{SF}/labels.parquet")))
+    texts = [r.text for r in table.limit(30).collect()] + ["", "x"]
+    got = {(r.text or ""): r.quality_score for r in quality.score(docs(spark, list(enumerate(texts))), model).collect()}
+    for t in texts:
+        at, x = quality.weighted(quality.counts_of(t or ""), model.idf)
+        v = np.zeros(model.basis.shape[1])
+        for i, value in zip(at.tolist(), x.tolist(), strict=True):
+            v += value * model.basis[i].astype(float)
+        v /= max(np.linalg.norm(v), 1e-12)
+        near = sorted(((float(v @ o), float(y)) for o, y in zip(model.voters, model.labels, strict=True)), reverse=True)
+        kth = near[min(quality.NEIGHBOURS, len(near)) - 1][0]
+        if sum(c > kth - 1e-4 for c, _ in near) == min(quality.NEIGHBOURS, len(near)):  # no tie for the last voice
+            votes = [(np.exp(quality.SHARPNESS * (c - 1)), y) for c, y in near[: quality.NEIGHBOURS]]
+            assert abs(got[t or ""] - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-3
+
+
 def test_quality_held_out(spark, table):
     found = queries.QUERIES["op6_quality"](spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     held = found[found.held_out]
