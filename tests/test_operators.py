@@ -85,3 +85,33 @@ def test_text(spark):
     assert get(text.packed_paragraphs(F.lit("aa\nbb\ncccc"), 6)) == ["aa\n\nbb", "cccc"]
     assert get(text.label_of_reply(F.lit("It is Positive."), ["positive", "negative"])) == "positive"
     assert abs(get(text.trigram_similarity(text.trigrams(F.lit("word")), text.trigrams(F.lit("two words")))) - 4 / 11) < 1e-9
+
+
+def test_days_rebuilt_alone_give_the_sessions_of_the_whole_history(spark):
+    import random
+
+    from tracewright.plans.catalogues import rebuilt
+
+    rng, day, gap = random.Random(4), 86_400 * 10**9, 3_600 * 10**9
+    points = sorted((k, rng.randrange(0, 5 * day)) for k in ("a", "b") for _ in range(120)) + [("a", 2 * day - 1), ("a", 2 * day), ("a", 2 * day + gap), ("a", 2 * day + gap)]
+    wanted, last = {}, {}
+    for k, t in sorted(points):
+        wanted[k, t // day] = wanted.get((k, t // day), 0) + (k not in last or t - last[k] > gap)
+        last[k] = t
+    got = {}
+    for r in rebuilt(spark.createDataFrame(points, "device string, start_ns bigint"), "device", gap).collect():
+        got[r["device"], r["day"]] = got.get((r["device"], r["day"]), 0) + r["first"]
+    assert got == wanted
+
+
+def test_a_rule_draft_tells_its_first_fault(spark):
+    from tracewright.plans.catalogues import rule_fault
+
+    hook = [("webhook", None)]
+    drafts = [
+        ("", "loud", 0, 9, [], 0, [], "name"), ("r", "loud", -1, 9, [], 0, [], "severity"), ("r", "info", 0, 1440, [9], 0, [], "minutes"), ("r", "info", 5, None, [9], 0, [], "one end"),
+        ("r", "info", 5, 5, [9], 0, [], "no width"), ("r", "info", None, None, [0, 7], -1, [], "days"), ("r", "info", 9, 5, [6], -1, hook, "cooldown"), ("r", "info", 9, 5, [], 0, [("fax", None)], "channel"),
+        ("r", "info", 9, 5, [], 0, hook, "url"), ("r", "critical", 9, 5, [], 0, [("webhook", "https://a"), ("feed", None)], None),
+    ]
+    d = spark.createDataFrame(drafts, "n string, s string, a int, b int, d array<int>, c int, ch array<struct<kind: string, url: string>>, wanted string")
+    assert [r.fault for r in d.select(rule_fault(*(d[c] for c in ("n", "s", "a", "b", "d", "c", "ch"))).alias("fault")).collect()] == [x[-1] for x in drafts]
