@@ -115,3 +115,20 @@ def test_a_rule_draft_tells_its_first_fault(spark):
     ]
     d = spark.createDataFrame(drafts, "n string, s string, a int, b int, d array<int>, c int, ch array<struct<kind: string, url: string>>, wanted string")
     assert [r.fault for r in d.select(rule_fault(*(d[c] for c in ("n", "s", "a", "b", "d", "c", "ch"))).alias("fault")).collect()] == [x[-1] for x in drafts]
+
+
+def test_interleaved_pairs_are_threads_of_their_own(spark):
+    from tracewright.operators.threading import thread_conversations
+
+    s = 10**9
+    said = [("a", "the red car"), ("c", "soup with salt"), ("b", "red car the"), ("d", "salt soup with"), ("a", "the car"), (None, "hm"), ("c", "salt soup"), ("b", "red car"), ("d", "with soup"), (None, None)]
+    rows = [(1, k, w, t, 4 * k * s, (4 * k + 3) * s) for k, (w, t) in enumerate(said)]
+    # Three hundred seconds of silence are still the same block, one nanosecond more is not.
+    end = rows[-1][5]
+    rows += [(1, 10, "e", "soup", end + 300 * s, end + 301 * s), (1, 11, "a", "red car", end + 601 * s + 1, end + 602 * s), (2, 12, None, "hm", 0, s)]
+    df = spark.createDataFrame(rows, "device bigint, turn bigint, speaker string, text string, start_ns bigint, end_ns bigint")
+    got = {r["turn"]: (r["block"], r["thread"]) for r in thread_conversations(df, "device", "turn").collect()}
+    first = got[0][0]
+    assert {k: v[1] for k, v in got.items()} == {0: "a", 1: "c", 2: "a", 3: "c", 4: "a", 5: "a", 6: "c", 7: "a", 8: "c", 9: "c", 10: "e", 11: "a", 12: ""}
+    assert all(got[k][0] == first for k in range(11)) and got[11][0] != first
+    assert not thread_conversations(df.limit(0), "device", "turn").collect()
