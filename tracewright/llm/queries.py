@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup, langid, licenses, mixing, order_minhash, packing, pii, quality, vector_graph, wordpiece
+from tracewright.llm import divergence, exact_dedup, langid, licenses, mixing, order_minhash, packing, pii, quality, vector_graph, wordpiece
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op9_licenses": licenses.OP9_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }
