@@ -82,7 +82,7 @@ def document_sketch(texts: DataFrame, least: int = LEAST_DOCS, bits: int = BITS)
         yield from _slices(sketch)
 
     def _slices(sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = min(SLICE, size)
+        step = min(SLICE, 1 << bits)
         for k in np.flatnonzero(sketch.reshape(-1, step).any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sketch[k * step : (k + 1) * step].tobytes()], pa.binary())], names=["slice", "cells"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import divergence, exact_dedup, langid, licenses, mixing, order_minhash, packing, pii, quality, vector_graph, wordpiece
+from tracewright.llm import divergence, exact_dedup, hard_negatives, langid, licenses, mixing, order_minhash, packing, pii, quality, top_k, vector_graph, wordpiece
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_top_k": top_k.op13_top_k,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op9_licenses": licenses.OP9_SQL,
     "op11_source_divergence": divergence.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_top_k": top_k.OP13_SQL,
 }
