@@ -113,12 +113,13 @@ def _counted(sketch, least: int, bits: int) -> Callable[[Iterator[pa.RecordBatch
 
         def sent() -> Iterator[pa.RecordBatch]:
             for (lang, source), own in n.items():
-                terms = list(own)
+                terms, counts = list(own), np.fromiter(own.values(), np.int64, len(own))
                 possible = np.flatnonzero(sketch.value[_cells(lang, terms, bits)].min(axis=1) >= least)
                 for k in range(0, len(possible), 1 << 16):
-                    there = [terms[i] for i in possible[k : k + (1 << 16)]]
+                    chosen = possible[k : k + (1 << 16)]
+                    there = [terms[i] for i in chosen]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(there)), pa.array([source] * len(there)), pa.array(there, pa.binary()), pa.array([own[t] for t in there], pa.int64()), pa.array([docs[lang, source][t] for t in there], pa.int64())],
+                        [pa.array([lang] * len(there)), pa.array([source] * len(there)), pa.array(there, pa.binary()), pa.array(counts[chosen]), pa.array([docs[lang, source][t] for t in there], pa.int64())],
                         names=["lang", "source", "term", "n", "docs"],
                     )
             n.clear()
@@ -144,12 +145,14 @@ def kept_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """``lang, source, term, n, lang_n``: occurrences of each kept term in each source of a language that has it, and in all of it.
 
     A term is kept by a language if at least ``least`` of its documents hold it. The texts are read twice: for the
-    sketch, then for the exact counts of the terms that may reach ``least``, which alone are shuffled. Counts are summed by
-    (lang, source, term) and then by (lang, term), each time in part before the shuffle, so no frequent term meets in one task."""
+    sketch, then for the exact counts of the terms that may reach ``least``, which alone are shuffled. Tasks send their
+    own sums by (lang, source, term), so another partial sum on the JVM's side would only copy them; these are added,
+    then added by (lang, term), in part before that shuffle. So no frequent term meets in one task."""
     texts = _texts(docs, text_col, lang_col, source_col)
     sketch = docs.sparkSession.sparkContext.broadcast(document_sketch(texts, least, bits))
     counted = texts.mapInArrow(_counted(sketch, least, bits), "lang string, source string, term binary, n long, docs long")
-    counts = written(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    key = ["lang", "source", "term"]
+    counts = written(counted.repartition(*key).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     sketch.destroy()
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
     return written(counts.drop("docs").join(kept, ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n", "lang_n"))
