@@ -117,18 +117,35 @@ def test_a_rule_draft_tells_its_first_fault(spark):
     assert [r.fault for r in d.select(rule_fault(*(d[c] for c in ("n", "s", "a", "b", "d", "c", "ch"))).alias("fault")).collect()] == [x[-1] for x in drafts]
 
 
-def test_interleaved_pairs_are_threads_of_their_own(spark):
-    from tracewright.operators.threading import thread_conversations
-
-    s = 10**9
-    said = [("a", "the red car"), ("c", "soup with salt"), ("b", "red car the"), ("d", "salt soup with"), ("a", "the car"), (None, "hm"), ("c", "salt soup"), ("b", "red car"), ("d", "with soup"), (None, None)]
-    rows = [(1, k, w, t, 4 * k * s, (4 * k + 3) * s) for k, (w, t) in enumerate(said)]
-    # Three hundred seconds of silence are still the same block, one nanosecond more is not.
-    end = rows[-1][5]
-    rows += [(1, 10, "e", "soup", end + 300 * s, end + 301 * s), (1, 11, "a", "red car", end + 601 * s + 1, end + 602 * s), (2, 12, None, "hm", 0, s)]
-    df = spark.createDataFrame(rows, "device bigint, turn bigint, speaker string, text string, start_ns bigint, end_ns bigint")
-    got = {r["turn"]: (r["block"], r["thread"]) for r in thread_conversations(df, "device", "turn").collect()}
-    first = got[0][0]
-    assert {k: v[1] for k, v in got.items()} == {0: "a", 1: "c", 2: "a", 3: "c", 4: "a", 5: "a", 6: "c", 7: "a", 8: "c", 9: "c", 10: "e", 11: "a", 12: ""}
-    assert all(got[k][0] == first for k in range(11)) and got[11][0] != first
-    assert not thread_conversations(df.limit(0), "device", "turn").collect()
+def test_spans_of_random_streams_like_a_fold(spark):
+    """Steps back, jumps, marked gaps and changes of status, with the two literal cases of a scrub bar."""
+    import random
+
+    from tracewright.operators.timelines import status_intervals, timeline_spans
+
+    draw, rows = random.Random(8), []
+    for stream in range(40):
+        at = 0
+        for k in range(draw.choice([1, 2, 30, 80])):
+            length = draw.choice([0, 1, 5, 20])
+            at += draw.choice([0, length, 1, -1, -30, 40, 6])
+            rows.append((stream, stream % 3, k, at, length, draw.random() < 0.05, draw.choice(["done", "done", "done", "error", None]), draw.choice([None, f"e{k}"])))
+            at += length
+    rows += [(90, 0, 0, 0, 10, False, "done", None), (90, 0, 1, 10, 10, False, "done", None), (90, 0, 2, 20, 10, True, "done", None)]
+    rows += [(91, 0, 0, 0, 30, False, "done", None), (92, 0, 0, 10, 10, False, "done", None)]
+
+    def folded(by_status):
+        spans = []
+        for r in sorted(rows):
+            last = spans[-1] if spans else None
+            if last and last[0][:2] == r[:2] and not r[5] and abs(r[3] - last[1]) <= r[4] and not (by_status and last[0][6] != r[6]):
+                last[1], last[2], last[3] = max(last[1], r[3] + r[4]), last[2] + 1, r[7] or last[3]
+            else:
+                spans.append([r, r[3] + r[4], 1, r[7]])
+        return sorted(((r[0], r[1], r[3], end, n) + ((r[6], error) if by_status else ()) for r, end, n, error in spans), key=repr)
+
+    df = spark.createDataFrame(rows, "stream int, session int, n int, start_ns long, duration_ns long, gap_before boolean, status string, last_error string").repartition(5)
+    assert sorted(map(tuple, timeline_spans(df, "stream", "session", "n").collect()), key=repr) == folded(False)
+    assert sorted(map(tuple, status_intervals(df, "stream", "session", "n").collect()), key=repr) == folded(True)
+    assert [r for r in folded(False) if r[0] >= 90] == [(90, 0, 0, 20, 2), (90, 0, 20, 30, 1), (91, 0, 0, 30, 1), (92, 0, 10, 20, 1)]
+    assert not timeline_spans(df.limit(0), "stream", "session", "n").collect()

@@ -1,69 +1,67 @@
 """Timeline and status spans: sequential folds over the segments of one stream and session.
 
-A step backwards or a marked gap opens a span whose end may lie before earlier ones, so these are not windows over a
-running maximum. But where a gap is marked, or a row starts further than its length behind all that went before, a span
-ends for certain: streams are cut there by windows, and only what was recorded without such a break is folded as one group.
+A segment goes on with the span before unless a gap is marked or it starts further from the span's end, on either side,
+than it is long. Windows find where a span ends for certain: at a marked gap, or where a row starts further than its
+length behind all that went before. What lies between two such breaks is one span if each row starts within its length
+of the end so far, and that is settled by windows too. Only runs with a row further off, mostly a step back, are folded row
+by row, since the span after it may end before the one in front; many runs go through one call, which holds one end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
-SPAN = "start_ns long, end_ns long, segments long"
-
-
-def _fold(rows: pd.DataFrame, sequence: str, breaks: Callable[[object, object], bool]) -> list[list]:
-    """Lists of consecutive rows; a row breaks at a gap, outside the span's end give or take its own length, or if ``breaks``."""
-    spans: list[list] = []
-    end = 0
-    for r in rows.sort_values([sequence, "start_ns"], kind="stable").itertuples(index=False):
-        far = not spans or r.gap_before or abs(r.start_ns - end) > r.duration_ns or breaks(spans[-1][-1], r)
-        if far:
-            spans.append([r])
-            end = r.start_ns + r.duration_ns
-        else:
-            spans[-1].append(r)
-            end = max(end, r.start_ns + r.duration_ns)
-    return spans
-
-
-def _ends(span: list) -> tuple[int, int, int]:
-    return span[0].start_ns, max(r.start_ns + r.duration_ns for r in span), len(span)
-
-
-def _runs(kept: DataFrame, stream: str, session: str, sequence: str, changes: Column | None = None) -> DataFrame:
-    """Adds ``run``: rows between two certain breaks of a stream's session."""
-    w = W.partitionBy(stream, session).orderBy(sequence, "start_ns")
-    behind = F.max(F.col("start_ns") + F.col("duration_ns")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    sure = F.col("gap_before") | behind.isNull() | (F.col("start_ns") - behind > F.col("duration_ns"))
-    if changes is not None:
-        sure = sure | F.coalesce(changes, F.lit(False))
-    return kept.withColumn("sure", sure.cast("long")).withColumn("run", F.sum("sure").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("sure")
+from pyspark.sql import types as T
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``span`` to rows sorted by run, whose last columns are ``run``, the start and the duration."""
+    run, end, span = None, 0, 0
+    for batch in batches:
+        out = []
+        for key, start, length in zip(zip(*(batch.column(c).to_pylist() for c in ("stream", "session", "run")), strict=True), batch.column("start_ns").to_pylist(), batch.column("duration_ns").to_pylist(), strict=True):
+            if key != run:
+                run, end, span = key, start + length, 0
+            elif abs(start - end) > length:
+                end, span = start + length, span + 1
+            else:
+                end = max(end, start + length)
+            out.append(span)
+        yield batch.append_column("span", pa.array(out, pa.int64()))
+
+
+def _spans(segments: DataFrame, stream: str, session: str, sequence: str, changed: Column, *more: Column) -> DataFrame:
+    """Spans and ``more`` aggregates of their rows, numbered by ``place``; a row with ``changed`` begins a span."""
+    rows = segments.withColumnsRenamed({stream: "stream", session: "session"})
+    order = W.partitionBy("stream", "session").orderBy(sequence, "start_ns")
+    end = F.col("start_ns") + F.col("duration_ns")
+    behind = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
+    sure = F.col("gap_before") | changed | behind.isNull() | (F.col("start_ns") - behind > F.col("duration_ns"))
+    runs = rows.withColumns({"place": F.row_number().over(order), "sure": sure.cast("long")}).withColumn("run", F.sum("sure").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    own = W.partitionBy("stream", "session", "run")
+    inner = F.max(end).over(own.orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    far = F.coalesce(F.abs(F.col("start_ns") - inner) > F.col("duration_ns"), F.lit(False))
+    runs = runs.withColumn("far", far).withColumn("folded", F.max("far").over(own)).drop("sure", "far")
+    kind = T.StructType([*runs.schema.fields, T.StructField("span", T.LongType())])
+    sorted_runs = runs.where("folded").repartition("stream", "session", "run").sortWithinPartitions("stream", "session", "run", "place")
+    numbered = runs.where("not folded").withColumn("span", F.lit(0).cast("long")).unionByName(sorted_runs.mapInArrow(_numbered, kind))
+    ends = F.min_by("start_ns", "place").alias("start_ns"), F.max(end).alias("end_ns"), F.count(F.lit(1)).alias("segments")
+    return numbered.groupBy("stream", "session", "run", "span").agg(*ends, *more).drop("run", "span")
 
 
 def timeline_spans(segments: DataFrame, stream: str, session: str, sequence: str) -> DataFrame:
     """Spans of contiguous segments: ``stream, session, start_ns, end_ns, segments``."""
-
-    def spans(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key[:2], *_ends(s)) for s in _fold(rows, sequence, lambda a, b: False)], columns=["stream", "session", "start_ns", "end_ns", "segments"])
-
-    kept = segments.select(stream, session, sequence, "start_ns", "duration_ns", "gap_before")
-    return _runs(kept, stream, session, sequence).groupBy(stream, session, "run").applyInPandas(spans, f"stream long, session long, {SPAN}")
+    return _spans(segments.select(stream, session, sequence, "start_ns", "duration_ns", "gap_before"), stream, session, sequence, F.lit(False))
 
 
 def status_intervals(segments: DataFrame, stream: str, session: str, sequence: str) -> DataFrame:
     """As timeline spans, but a change of status breaks too; ``last_error`` is the latest of the run."""
-
-    def spans(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        made = _fold(rows, sequence, lambda a, b: a.status != b.status)
-        out = [(*key[:2], *_ends(s), s[0].status, next((r.last_error for r in reversed(s) if isinstance(r.last_error, str)), None)) for s in made]
-        return pd.DataFrame(out, columns=["stream", "session", "start_ns", "end_ns", "segments", "status", "last_error"])
-
     kept = segments.select(stream, session, sequence, "start_ns", "duration_ns", "gap_before", "status", "last_error")
-    changes = ~F.col("status").eqNullSafe(F.lag("status").over(W.partitionBy(stream, session).orderBy(sequence, "start_ns")))
-    return _runs(kept, stream, session, sequence, changes).groupBy(stream, session, "run").applyInPandas(spans, f"stream long, session long, {SPAN}, status string, last_error string")
+    order = W.partitionBy(stream, session).orderBy(sequence, "start_ns")
+    kept = kept.withColumn("changed", ~F.col("status").eqNullSafe(F.lag("status").over(order)))
+    latest = F.max_by("last_error", F.when(F.col("last_error").isNotNull(), F.col("place")))
+    return _spans(kept, stream, session, sequence, F.col("changed"), F.min_by("status", "place").alias("status"), latest.alias("last_error"))

@@ -228,12 +228,28 @@ def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).withColumn("place", place)
 
 
-@query("timeline")
+#: The fold of each stream's rows in order: a row goes on with the span before, or begins one, numbered by its place.
+_FOLD = """p AS (SELECT *, row_number() OVER (PARTITION BY device, media_type ORDER BY start_ns, session, sequence, part, bytes) AS place FROM g),
+q AS (SELECT {columns}),
+f AS (SELECT *, start_ns + duration_ns AS reach, place AS span FROM q WHERE place = (SELECT min(place) FROM q AS o WHERE o.device = q.device AND o.media_type = q.media_type)
+  UNION ALL SELECT n.*, CASE WHEN ({breaks}) OR abs(n.start_ns - f.reach) > n.duration_ns THEN n.start_ns + n.duration_ns ELSE greatest(f.reach, n.start_ns + n.duration_ns) END,
+  CASE WHEN ({breaks}) OR abs(n.start_ns - f.reach) > n.duration_ns THEN n.place ELSE f.span END FROM f JOIN q AS n ON n.device = f.device AND n.media_type = f.media_type AND n.place = f.place + 1)"""
+
+
+@query(
+    "timeline",
+    f"""WITH RECURSIVE {SEGMENTS_SQL}, {_FOLD.format(columns="device, media_type, place, start_ns, duration_ns, session % 4 = 0 AS gap FROM p", breaks="n.gap")}
+SELECT media_type AS stream, device AS session, arg_min(start_ns, place) AS start_ns, max(start_ns + duration_ns) AS end_ns, count(*) AS segments FROM f GROUP BY media_type, device, span""",
+)
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline_spans(_streams(spark, sf_dir).withColumn("gap_before", F.col("session") % 4 == 0), "media_type", "device", "place")
 
 
-@query("status_runs")
+@query(
+    "status_runs",
+    f"""WITH RECURSIVE {SEGMENTS_SQL}, {_ORDERS_SQL}, {_FOLD.format(columns="device, media_type, row_number() OVER (PARTITION BY device, media_type ORDER BY place) AS place, start_ns, duration_ns, status, CASE WHEN status = 'error' THEN concat('e', attempts) END AS err FROM p JOIN o ON o.segment = p.session", breaks="n.status IS DISTINCT FROM f.status")}
+SELECT media_type AS stream, device AS session, arg_min(start_ns, place) AS start_ns, max(start_ns + duration_ns) AS end_ns, count(*) AS segments, arg_min(status, place) AS status, arg_max(err, place) FILTER (WHERE err IS NOT NULL) AS last_error FROM f GROUP BY media_type, device, span""",
+)
 def status_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir).select(F.col("segment").alias("session"), "status", F.when(F.col("status") == "error", F.concat(F.lit("e"), F.col("attempts"))).alias("last_error"))
     g = _streams(spark, sf_dir).join(o, "session").withColumn("gap_before", F.lit(False))
