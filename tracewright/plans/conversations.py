@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import plain, truncated
 from tracewright.functions.timeq import SECOND
 from tracewright.operators.intervals import number_runs
-from tracewright.operators.threading import thread_conversations
+from tracewright.operators.threading import conversation_rows, thread_conversations
 from tracewright.registry import query
-from tracewright.sources.driver_tables import TURNS_SQL, turns
+from tracewright.sources.driver_tables import TURNS_SQL, read, turns
 
 GAP = 2 * SECOND
 TARGET = "assistant"
@@ -196,6 +196,28 @@ def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", truncated(F.col("text"), 40).alias("short"), plain(F.col("text")).alias("plain"))
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two conversations at a time heard by one device, in turn: ``device, id, speaker, start_ns, end_ns, embedding, prior``.
+
+    Pairs of turns alternate, with a long silence after every sixth; some speakers are unknown, some sentences off the topic or
+    without a vector, and some conversations share an id from before."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    start = (F.expr("turn div 2") * 24 + turn % 2 * 5 + conv % 2 * 12 + F.expr("turn div 6") * 400) * SECOND
+    vec = F.when(turn % 7 == 5, None).when(turn % 5 == 3, (conv + turn + 250) % 500).otherwise(conv % 500)
+    said = read(spark, sf_dir, "conversations").select(
+        F.expr("conv_id div 2").alias("device"), (conv * 1000 + turn).alias("id"), F.when((conv * 7 + turn) % 9 != 4, F.concat_ws("-", "role", "conv_id")).alias("speaker"),
+        start.alias("start_ns"), (start + 4 * SECOND).alias("end_ns"), vec.alias("vec_id"), F.when(conv % 3 != 0, F.concat(F.lit("p"), F.expr("conv_id div 4"))).alias("prior"),
+    )
+    return said.join(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+
+
 @query("threads")
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thread_conversations(turns(spark, sf_dir), "conv_id", "turn")
+    """The conversation and turn of every sentence; a new id is that of the device and the first sentence."""
+    return thread_conversations(sentences(spark, sf_dir))
+
+
+@query("thread_catalogue")
+def thread_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sentences(spark, sf_dir)
+    return conversation_rows(s, thread_conversations(s))
