@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -84,11 +86,61 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> Data
     return found.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("k") <= k).select("a", "b", "distance", "k")
 
 
+def _summed(table: pa.Table, keys: list[str]) -> pa.Table:
+    """One row for each key of the table, in the order of their first rows: ``keys, n, total``."""
+    at = table.select(keys).to_pandas(integer_object_nulls=True).groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    codes, first = np.unique(at, return_index=True)
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], codes)
+    x = np.asarray(table.column("total").combine_chunks().flatten(), float).reshape(len(table), -1)
+    n = np.asarray(table.column("n"), float)
+    return table.select(keys).take(pa.array(first)).append_column("n", pa.array(np.add.reduceat(n[order], starts))).append_column("total", pa.array(list(np.add.reduceat(x[order], starts, axis=0)), pa.list_(pa.float64())))
+
+
+def vector_sums(df: DataFrame, keys: list[str], vec: str, weight: Column | None = None) -> DataFrame:
+    """``keys, n, total``: the weights of each key's vectors and their weighted sum; null vectors don't count.
+
+    Vectors are added as arrays: in each Arrow batch before the shuffle, then by sorted runs of the key, so that a task holds
+    a batch and one sum, however many vectors a key has. Vectors of different lengths are added apart, and of a key's
+    sums that of the most weight (then the longer one) is returned."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    rows = df.where(F.col(vec).isNotNull()).select(*keys, F.size(vec).alias("length"), w.alias("n"), F.transform(doubles(F.col(vec)), lambda x: x * w).alias("total"))
+    by = [*keys, "length"]
+
+    def whole(batch: pa.RecordBatch) -> pa.Table:
+        """Batches hold vectors of several lengths; those of one length are summed as a matrix."""
+        t = pa.Table.from_batches([batch])
+        lengths = np.asarray(t.column("length"))
+        return pa.concat_tables([_summed(t.filter(pa.array(lengths == k)), by) for k in np.unique(lengths)])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from whole(batch).cast(batch.schema).to_batches()
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = whole((t if held is None else pa.concat_tables([held, t])).combine_chunks().to_batches()[0]).cast(batch.schema)
+            held = t.slice(len(t) - 1)
+            yield from t.slice(0, len(t) - 1).to_batches()
+        if held is not None:
+            yield from held.to_batches()
+
+    parts = rows.mapInArrow(partial, rows.schema).repartition(*by).sortWithinPartitions(*by).mapInArrow(final, rows.schema)
+    best = F.max_by(F.struct("n", "total"), F.struct("n", "length"))
+    return parts.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.n", "best.total")
+
+
 def centroids(df: DataFrame, key: str, vec: str, weight: Column | None = None) -> DataFrame:
     """The mean of each key's vectors, of unit length: ``key, n, centroid``."""
-    w = F.lit(1.0) if weight is None else weight
-    parts = df.select(key, F.posexplode(doubles(F.col(vec))).alias("i", "x"), w.alias("w")).groupBy(key, "i").agg((F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1.0))).alias("x"), F.count(F.lit(1)).alias("n"))
-    return parts.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean")).select(key, "n", normalized(F.col("mean")).alias("centroid"))
+    sums = vector_sums(df, [key], vec, weight)
+    counts = df.where(F.col(vec).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    mean = F.transform("total", lambda x: x / F.greatest(F.col("n"), F.lit(1.0)))
+    return sums.join(counts, key).select(key, F.col("rows").alias("n"), normalized(mean).alias("centroid"))
 
 
 def vote(neighbours: DataFrame, near: float, majority: float = 0.6) -> DataFrame:
