@@ -28,6 +28,8 @@ SMALL = 16
 REMEMBERED = 4_000_000
 #: Shingles that are known as frequent when the rarest of a text are sought.
 FREQUENT = 65_536
+#: Rarer shingles before one that are looked at to tell whether a pair has met.
+BEFORE = 8
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -241,8 +243,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(own: DataFrame) -> DataFrame:
-    """For each text of ``own(id, class, text)`` the rarest of its n shingles, so many that two texts which share 0.8 of
-    theirs share one: ``two, id, n, class, at``, the last being the shingle's place in the order, from 1.
+    """For each text of ``own(id, class, text)`` the rarest of its n shingles, the rarest first, so many that two texts which
+    share 0.8 of theirs share one: ``id, n, class, rarest``.
 
     Any order common to all texts is right; this one puts the FREQUENT most repeated shingles last."""
     counts = own.mapInArrow(_repeated, "two bigint, times bigint").groupBy("two").agg(F.sum("times").alias("times"))
@@ -252,13 +254,12 @@ def _rarest(own: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for text in batch.column(2).to_pylist():
                 tokens = sorted(_tokens(text).tolist(), key=lambda t: (held.value.get(t, 0), t))
-                n = len(tokens)
-                out += [(t, i, n, c, k + 1) for k, t in enumerate(tokens[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["two", "id", "n", "class", "at"])
+                out.append((len(tokens), tokens[: len(tokens) - int(np.ceil(SIMILAR * len(tokens) - 1e-9)) + 1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in out], pa.int64()), batch.column(1), pa.array([r[1] for r in out], pa.list_(pa.int64()))], names=["id", "n", "class", "rarest"])
 
-    return own.mapInArrow(rows, "two bigint, id bigint, n bigint, class bigint, at bigint")
+    return own.mapInArrow(rows, "id bigint, n bigint, class bigint, rarest array<bigint>")
 
 
 def _close_lengths(a: str, b: str):
@@ -317,16 +318,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsettled = classed.where(F.col("class") != F.col("middle")).select("key").distinct()
     own = written(classed.join(unsettled, "key", "left_semi").select("id", "class").distinct())
     own = written(texts.select(F.col("row").alias("id"), "text").join(own, "id").select("id", "class", "text"))
-    finer = written(_rarest(own))
+    listed = written(_rarest(own))
+    before = F.expr(f"slice(rarest, greatest(1, at - {BEFORE}), least(at - 1, {BEFORE}))")
+    finer = listed.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("rarest")))).select("id", "n", "class", "at", F.expr("rarest[at - 1]").alias("two"), before.alias("before"))
     held = finer.groupBy("two", "class").agg(F.count(F.lit(1)).alias("held"))
     most = held.groupBy("two").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("held", "class")).alias("most")).where("classes > 1")
-    finer = written(finer.join(written(most.select("two", F.col("most.class").alias("most"))), "two"))
-    outside = finer.where(F.col("class") != F.col("most")).select("two", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "class", "at")))
-    rest = outside.join(finer, "two").where((F.col("a_class") != F.col("class")) & ((F.col("class") == F.col("most")) | (F.col("a_id") < F.col("id"))) & _close_lengths("a_n", "n"))
-    # What two texts can share at most: what their rarest shingles share, and all that comes after the last of these.
-    rest = rest.groupBy("a_id", "id").agg(F.count(F.lit(1)).alias("c"), F.max("a_at").alias("a_at"), F.max("at").alias("at"), F.first("a_n").alias("a_n"), F.first("n").alias("n"))
-    rest = rest.where(F.col("c") + F.least(F.col("a_n") - F.col("a_at"), F.col("n") - F.col("at")) >= (F.col("a_n") + F.col("n")) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    finer = finer.join(written(most.select("two", F.col("most.class").alias("most"))), "two")
+    outside = finer.where(F.col("class") != F.col("most")).select("two", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "class", "at", "before")))
+    # A pair need be met only at the first shingle that it shares: not where it shares one shortly before, nor where too
+    # few come after for a pair that shares none before.
+    least = (F.col("a_n") + F.col("n")) * (SIMILAR / (1 + SIMILAR)) - 1e-9
+    first = ~F.arrays_overlap("a_before", "before") & (1 + F.least(F.col("a_n") - F.col("a_at"), F.col("n") - F.col("at")) >= least)
+    rest = outside.join(finer, "two").where((F.col("a_class") != F.col("class")) & ((F.col("class") == F.col("most")) | (F.col("a_id") < F.col("id"))) & _close_lengths("a_n", "n") & first)
     rest = written(rest.select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b")).distinct())
+    # What two texts can share at most: what their rarest shingles share, and all that comes after the last of these.
+    both = rest.join(listed.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("rarest").alias("x")), "a").join(listed.select(F.col("id").alias("b"), "n", F.col("rarest").alias("y")), "b")
+    both = both.withColumn("shared", F.array_intersect("x", "y")).withColumn("last", F.element_at("shared", -1))
+    most_shared = F.size("shared") + F.least(F.col("a_n") - F.array_position("x", F.col("last")), F.col("n") - F.array_position("y", F.col("last")))
+    rest = both.where(most_shared >= least).select("a", "b")
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         linked = components(edges.unionByName(_verify(rest, texts)))
