@@ -1,6 +1,7 @@
 """The training-text operators against brute force, exact round trips and held-out rows, and their odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -392,6 +393,19 @@ def test_vectors_like_brute_force(spark):
     assert vector_graph.link_vectors(df.where("false")).count() == 0 and vector_graph.link_vectors(df.where("vec_id = 1000")).first().kept
 
 
+def test_vectors_of_several_lengths(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in draw.normal(size=2)]) for i in range(40)] + [(100 + i, [float(x) for x in draw.normal(size=3)]) for i in range(40)]
+    rows += [(3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (200, [1.0] * 5), (201, [2.0] * 5), (202, [1.0] * 7), (203, [1.0] * 7), (204, [1.0] * 9), (205, [])]
+    rows = [r for r in rows if r[0] not in (3, 4) or len(r[1]) == 3]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_graph.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = {i: [j for j, y in rows if i != j and len(x) == len(y) > 0 and np.dot(x, y) >= 0.9 * np.linalg.norm(x) * np.linalg.norm(y)] for i, x in rows}
+    group = {i: i for i in near}
+    for _ in near:
+        group = {i: min([group[i], *(group[j] for j in near[i])]) for i in near}
+    assert got == {i: (len(near[i]), group[i], group[i] == i) for i in near} and got[4][1] == 3
+
+
 def test_vectors_of_shards_over_the_limit(spark, monkeypatch):
     """Shards far over their limits are split by similarity, and large components are counted block by block."""
     for name, value in {"MOST_SHARDS": 2, "SHARD": 60, "MOST_IN_SHARD": 150, "BLOCK": 64, "DEALT": 500, "SPLIT_ROWS": 200}.items():
@@ -488,13 +502,39 @@ def lags(rows, shares):
     return worst
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.9999, "b": 0.0001}, {"a": 3.0, "b": 0.001, "c": 1.0}, {c: float(i + 1) ** 1.7 for i, c in enumerate("abcdefghijk")}])
-def test_schedule_stays_within_a_block_of_the_weights(spark, weights):
+def near_equal(n, low, high, last):
+    return {f"s{i:02}": low if i == 0 else last if i == n - 1 else high[i % 2] for i in range(n)}
+
+
+MIXES = [
+    ({"a": 0.9999, "b": 0.0001}, 25_000), ({"a": 3.0, "b": 0.001, "c": 1.0}, 25_000), ({c: float(i + 1) ** 1.7 for i, c in enumerate("abcdefghijk")}, 25_000),
+    (near_equal(20, 25.45, (25.9, 25.1), 27.55), 4_000), ({f"s{i:02}": 1 + 0.02 * math.sin(i) for i in range(40)}, 4_000),
+]
+
+
+@pytest.mark.parametrize("weights,slots", MIXES)
+def test_schedule_stays_within_a_block_of_the_weights(spark, weights, slots):
     shares = {s: w / sum(weights.values()) for s, w in weights.items()}
-    rows = spark.createDataFrame([(s, w, int(25_000 * shares[s]) + 1) for s, w in weights.items()], "source string, weight double, blocks long")
+    rows = spark.createDataFrame([(s, w, int(slots * shares[s]) + 1) for s, w in weights.items()], "source string, weight double, blocks long")
     got = mixing.schedule(rows).collect()
-    assert len({r.slot for r in got}) == len(got) == len({(r.source, r.block) for r in got}) == sum(int(25_000 * w) + 1 for w in shares.values())
-    assert lags(got, shares) < 1
+    assert len({r.slot for r in got}) == len(got) == len({(r.source, r.block) for r in got}) == sum(int(slots * w) + 1 for w in shares.values())
+    assert all(r.released <= r.slot < r.due for r in got) and lags(got, shares) < 1
+
+
+def test_schedules_of_random_mixes(spark):
+    """Short rounds, so that many ends of rounds have to be joined."""
+    draw = random.Random(9)
+    for k in range(12):
+        n = draw.choice([2, 3, 8, 20, 40])
+        of = [lambda: draw.random() + 0.05, lambda: draw.random() ** 3 + 0.02, lambda: 1 + 0.05 * draw.random(), lambda: 2.0 ** -draw.randrange(6)][k % 4]
+        weights = {f"s{i:02}": of() for i in range(n)}
+        shares = {s: w / sum(weights.values()) for s, w in weights.items()}
+        rows = spark.createDataFrame([(s, w, int(700 * shares[s]) + 1) for s, w in weights.items()], "source string, weight double, blocks long")
+        got = mixing.schedule(rows, slots=16).collect()
+        assert sorted((r.source, r.block) for r in got) == sorted((s, b) for s, w in shares.items() for b in range(int(700 * w) + 1))
+        assert len({r.slot for r in got}) == len(got) and all(r.released <= r.slot < r.due for r in got) and lags(got, shares) < 1 + 1e-9, weights  # shares are rounded to grains
+        for r in got:
+            assert r.block / shares[r.source] - 1 - 1e-6 <= r.slot <= (r.block + 1) / shares[r.source] + 1e-6
 
 
 def test_mixing_places_every_row(spark):

@@ -58,9 +58,12 @@ def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     the released block with the earliest deadline goes first. So that slots can be settled in parallel, time is cut into
     rounds, long enough for each source to have a block in each. At a round's ends the blocks done of each
     source are its share of the time rounded up or down, all sources together exactly the time (running sums of the shares are
-    rounded and subtracted); in between the round's blocks are scheduled by their true releases and deadlines. So
-    every source is less than a block away from its weight at all times, however long the run: nothing is repeated from
-    a rounded period.
+    rounded and subtracted); in between the round's blocks are scheduled by their true releases and deadlines. Where several
+    sources enter a round nearly a block behind, or have to be ahead at its end, that may be impossible: then a block is
+    placed outside its window. Such a round is joined with the two beside it and settled anew without the ends between, until
+    every block is within its window; were all rounds joined, that would be plain earliest-deadline-first from the start,
+    for which the windows are known to suffice. So every source is less than a block away from its weight at all
+    times, however long the run: nothing is repeated from a rounded period. (Weights are rounded to about 2^-40 of all.)
 
     A null, negative or tiny weight counts as LEAST of all. A round is one row that holds its sources, so the number of
     sources has to fit a task; there may be any number of blocks and rounds.
@@ -83,12 +86,48 @@ def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     summed = lambda time, q: f"cast(((2 * {wide(time)} * {wide(q)}) + {wide('grain')}) div (2 * {wide('grain')}) as bigint)"
     done = lambda time: F.expr(f"least(blocks, {summed(time, '(before + q)')} - {summed(time, 'before')})")
     rounds = rounds.withColumns({"first": done("round * length"), "next": done("(round + 1) * length")}).where("next > first")
+    rounds = written(rounds.select("source", "round", "first", "next", "q", "grain", "length"))
+    end = rounds.agg(F.max("round")).first()[0]
+    groups = written(rounds.select(F.col("round").alias("start")).distinct().withColumn("stop", F.col("start")))
+    done, todo = None, rounds.withColumns({"start": F.col("round"), "stop": F.col("round")})
+    while True:
+        placed = written(_placed(todo, end))
+        done = placed if done is None else done.unionByName(placed)
+        missed = placed.where("slot >= due or slot < released").select("start", "stop").distinct()
+        wider = written(_joined(missed, groups))
+        if wider.isEmpty():
+            return done.drop("start", "stop")
+        # The rounds of each joined group, and all groups that it takes the place of.
+        inside = written(wider.withColumn("round", F.explode(F.sequence("start", "stop"))))
+        groups = written(groups.join(inside.select(F.col("round").alias("start")), "start", "left_anti").unionByName(wider))
+        done = written(done.join(inside.select(F.col("round").alias("start")), "start", "left_anti"))
+        todo = rounds.join(inside, "round")
+
+
+def _placed(rounds: DataFrame, end: int | None) -> DataFrame:
+    """``start, stop, source, block, slot, released, due`` of the blocks of groups of rounds, each group settled in one row. After
+    the last round nothing has to be done by its end."""
+    wide = lambda x: f"cast({x} as decimal(20, 0))"
+    by = ["start", "stop", "length", "grain"]
+    own = rounds.groupBy(*by, "source", "q").agg(F.min("first").alias("first"), F.max("next").alias("next"))
     at = f"{wide('first')} * {wide('grain')}"
-    own = F.struct("source", "first", (F.col("next") - F.col("first")).alias("c"), F.expr(f"cast({at} div {wide('q')} as bigint) - round * length").alias("a"), F.expr(f"cast({at} % {wide('q')} as bigint)").alias("r"), "q")
-    plan = rounds.groupBy("round", "length", "grain").agg(F.array_sort(F.collect_list(own)).alias("s"), F.sum(F.col("next") - F.col("first")).alias("total"))
-    plan = plan.select("round", "length", "s", F.explode(F.expr(_ROUND)).alias("o"))
-    shift = F.col("round") * F.col("length")
-    return plan.select(F.expr("s[o.k].source").alias("source"), F.expr("s[o.k].first + o.j").alias("block"), *((F.col(f"o.{c}") + shift).alias(c) for c in ("slot", "released", "due")))
+    row = F.struct("source", "first", (F.col("next") - F.col("first")).alias("c"), F.expr(f"cast({at} div {wide('q')} as bigint) - start * length").alias("a"), F.expr(f"cast({at} % {wide('q')} as bigint)").alias("r"), "q")
+    plan = own.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("s"), F.sum(F.col("next") - F.col("first")).alias("total")).withColumn("shift", F.col("start") * F.col("length"))
+    # From here on a group has the length of its rounds.
+    plan = plan.withColumn("length", F.col("length") * (F.col("stop") - F.col("start") + F.when(F.col("stop") == F.lit(end), 2).otherwise(1)))
+    plan = plan.select("start", "stop", "shift", "s", F.explode(F.expr(_ROUND)).alias("o"))
+    return plan.select("start", "stop", F.expr("s[o.k].source").alias("source"), F.expr("s[o.k].first + o.j").alias("block"), *((F.col(f"o.{c}") + F.col("shift")).alias(c) for c in ("slot", "released", "due")))
+
+
+def _joined(missed: DataFrame, groups: DataFrame) -> DataFrame:
+    """``start, stop`` of the groups that ``missed`` and their neighbours make; overlapping ones are one."""
+    before = groups.select(F.col("start").alias("low"), (F.col("stop") + 1).alias("start"))
+    after = groups.select(F.col("stop").alias("high"), (F.col("start") - 1).alias("stop"))
+    wide = missed.join(before, "start", "left").join(after, "stop", "left").select(F.coalesce("low", "start").alias("start"), F.coalesce("high", "stop").alias("stop"))
+    order = W.partitionBy(F.lit(0)).orderBy("start", "stop")  # two numbers for each round that missed
+    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    parted = wide.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return parted.groupBy("island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, slots: int = SLOTS, temperature: float = TEMPERATURE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ SHARD, OVERLAP, MOST_SHARDS = 1_000, 3, 4_096
 CENTRE_ROWS, CENTRE_ROUNDS = 20_000, 6
 #: A shard beyond this many vectors is split by centres of its own, fitted on about SPLIT_ROWS of its vectors, at most
 #: SPLIT of them, and so on; DEALT of its vectors are assigned at a time.
-MOST_IN_SHARD, SPLIT_ROWS, SPLIT, DEALT, LEVELS = 3_000, 2_048, 32, 20_000, 20
+MOST_IN_SHARD, SPLIT_ROWS, SPLIT, DEALT, STUCK = 3_000, 2_048, 32, 20_000, 8
 #: Vectors this close to the same centre are linked: their angle is at most twice theirs to it.
 SURE = float(np.cos(np.arccos(COSINE) / 2)) + 1e-8
 #: Neighbours from other regions are searched through if they are at least this close: two links reach no further.
@@ -229,13 +230,20 @@ def _split(spread: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``spread(id, vec, shard, at_home)`` with every shard of more than MOST_IN_SHARD vectors split by similarity, and
     links ``a, b`` that the centres prove, so that no dense shard falls apart.
 
-    What a level fits and assigns is bounded for each task, however large a shard; a vector's copies grow by two a level."""
-    whole, proved = None, []
-    for _ in range(LEVELS):
+    What a level fits and assigns is bounded for each task, however large a shard; a vector's copies grow by two a level.
+    There are as many levels as it takes; STUCK of them that leave the largest shard as it is end them with a warning."""
+    whole, proved, largest, stuck = None, [], None, 0
+    while True:
         sizes = spread.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
         big = written(sizes.where(F.col("held") > MOST_IN_SHARD))
-        if big.isEmpty():
+        held = big.agg(F.max("held")).first()[0]
+        if held is None:
             break
+        stuck = stuck + 1 if held == largest else 0
+        if stuck == STUCK:
+            warnings.warn(f"a shard of {held} vectors cannot be split", stacklevel=2)
+            break
+        largest = held
         rows = spread.join(big, "shard").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("held") / DEALT)))
         sample = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.lit(float(SPLIT_ROWS << 30)) / F.col("held"))
         fitted = written(sample.groupBy("shard").applyInArrow(_fitted, "shard bigint, centres array<array<double>>"))
@@ -316,23 +324,32 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     cosines as well. Components of the links found are then counted exactly, block by block, so ``n_links`` misses a
     link only if neither shards nor searches join two groups by a link.
 
-    Null, empty and zero vectors and those with a null or non-finite component link with nothing, nor do vectors of
-    another length than the most common. A null id gives a null component and is kept. Rows of equal ids count as
-    rows. Labels and other columns are ignored. No rows give no rows.
+    Vectors of different lengths do not link; each length is linked on its own, one after the other, so a table should have few
+    lengths. Null, empty and zero vectors and those with a null or non-finite component link with nothing. A null id
+    gives a null component and is kept. Rows of equal ids count as rows. Labels and other columns are ignored. No rows give no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.withColumn("vec", F.when(_usable(F.col("vec")) & F.col("vec_id").isNotNull(), F.col("vec")))
-    width = rows.where("vec is not null").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if width is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rows = rows.withColumn("vec", F.when(F.size("vec") == width["d"], F.col("vec")))
-    nodes = written(rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")))
+    nodes = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("length", F.size("vec"))
+    nodes = written(nodes)
+    lengths = nodes.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    many = [r["length"] for r in lengths.where("n > 1").orderBy("length").collect()]
+    result = nodes.where(~F.col("length").isin(many)).select("vec", (F.col("weight") - 1).alias("n_links"), F.col("id").alias("component_id"))
+    for length in many:
+        result = result.unionByName(_linked(nodes.where(F.col("length") == length).drop("length")))
+    out = rows.join(result, "vec", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(nodes: DataFrame) -> DataFrame:
+    """``vec, n_links, component_id`` of ``nodes(vec, id, weight)`` of one length."""
     n = nodes.count()
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
     sample = nodes.where(draw < CENTRE_ROWS / n).select("id", "vec").toArrow()
     sample = sample if sample.num_rows else nodes.orderBy("id").limit(1).select("id", "vec").toArrow()
     base = _unit(_matrix(sample.column("vec")))[np.argsort(np.asarray(sample.column("id")))]
-    centres = vectors.sparkSession.sparkContext.broadcast(_centres(base, min(MOST_SHARDS, -(-n // SHARD))))
+    centres = nodes.sparkSession.sparkContext.broadcast(_centres(base, min(MOST_SHARDS, -(-n // SHARD))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,10 +377,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     members = linked.join(own.select("id", "vec", "home"), "id").join(nodes.select("id", "weight"), "id")
     counted = _counted(members, n).groupBy("id").agg(F.sum("n").alias("n"))
     result = nodes.select("id", "vec", "weight").join(counted, "id", "left").join(linked, "id", "left")
-    result = written(result.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    out = rows.join(result, "vec", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return written(result.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")))
 
 
 def audit_recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50) -> float:
