@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.operators.scratch import written
@@ -92,3 +93,38 @@ def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
         paths = paths.groupBy("node").agg(F.min("path").alias("path")).join(out, "node", "left_anti")
         out = out.unionByName(paths)
     return out
+
+
+def named_clusters(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """``id, cluster, name``: single linkage of ``edges(a, b, distance)`` in which ``names(id, name)`` never mix.
+
+    As if the edges were taken in order of distance (then a, b) and each joined its two clusters unless they bear different
+    names. All of that need not be done in order. The nearest edge of a cluster without a name is taken for certain: up to
+    its turn nothing joins the cluster, and it may join whatever the other side has become. So is every edge between two
+    clusters of one name. Each round takes all of these at once, which leaves at most half of the clusters without a
+    name that can still be joined, and drops edges between different names; so rounds grow with the logarithm of the vertices.
+    Ids are any comparable values; a null or repeated edge, or one from an id to itself, changes nothing, and an id without
+    an edge is its own cluster. The cluster is its smallest id. A null name is no name; of several names of one id the least counts."""
+    left = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("ea"), F.greatest("a", "b").alias("eb"), "distance")
+    left = left.groupBy("ea", "eb").agg(F.min("distance").alias("distance")).withColumns({"a": F.col("ea"), "b": F.col("eb")})
+    given = names.groupBy("id").agg(F.min("name").alias("name"))
+    ids = left.select(F.col("ea").alias("id")).unionByName(left.select(F.col("eb").alias("id"))).unionByName(given.select("id")).distinct()
+    labels = written(ids.join(given, "id", "left").select("id", F.col("id").alias("cluster"), "name"))
+    called = labels.select("cluster", "name")
+    place = F.struct("distance", "ea", "eb")
+    while True:
+        a, b = (called.select(F.col("cluster").alias(c), F.col("name").alias(f"name_{c}")) for c in "ab")
+        left = left.join(a, "a").join(b, "b").where("name_a is null or name_b is null or name_a = name_b")
+        # Of the edges between two clusters only the nearest can be taken.
+        left = written(left.groupBy("a", "b", "name_a", "name_b").agg(F.min(place).alias("e")).select("a", "b", "name_a", "name_b", "e.*"))
+        if left.isEmpty():
+            return labels.join(labels.groupBy("cluster").agg(F.min("id").alias("least")), "cluster").select("id", F.col("least").alias("cluster"), "name")
+        free = left.where("name_a is null").select(F.col("a").alias("of"), "a", "b", place.alias("e")).unionByName(left.where("name_b is null").select(F.col("b").alias("of"), "a", "b", place.alias("e")))
+        taken = free.groupBy("of").agg(F.min_by(F.struct("a", "b"), "e").alias("t")).select("t.*").unionByName(left.where("name_a = name_b").select("a", "b"))
+        joined = components(taken).select(F.col("id").alias("cluster"), "component")
+        labels = labels.join(joined, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
+        labels = written(labels.select("id", "cluster", F.min("name").over(W.partitionBy("cluster")).alias("name")))
+        called = labels.groupBy("cluster").agg(F.min("name").alias("name"))
+        at = lambda c: joined.select(F.col("cluster").alias(c), F.col("component").alias(f"to_{c}"))  # noqa: E731, B023
+        moved = left.select("a", "b", "ea", "eb", "distance").join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), "ea", "eb", "distance")
+        left = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ea", "eb", "distance")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.operators.scratch import written
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -53,39 +55,121 @@ def kept_within_margin(df: DataFrame, margin: float) -> DataFrame:
 BLOCK = 4_096
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The k nearest ``rows(b, y)`` for each of ``queries(a, x)`` by unit vectors' cosine distance: ``a, b, distance, k``.
+def _matrix(t: pa.Table, c: str) -> np.ndarray:
+    return np.asarray(t.column(c).combine_chunks().flatten(), float).reshape(len(t), -1)
 
-    Exact: queries and rows are dealt into blocks, whose number grows with them, and each task multiplies one block of
-    queries with one of rows as matrices and keeps k for each query. So a task's memory is that of two blocks, and
-    only k rows of each query and block of rows are shuffled to be merged; ties go by ``b``."""
-    parts = max(1, -(-rows.count() // block))
-    asked_parts = max(1, -(-queries.count() // block))
-    dealt = rows.select(F.pmod(F.xxhash64("b"), F.lit(parts).cast("long")).alias("part"), "b", "y")
-    dealt = dealt.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked_parts - 1).cast("long"))))
-    asked = queries.select(F.pmod(F.xxhash64("a"), F.lit(asked_parts).cast("long")).alias("asked"), "a", "x")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+def _nearest(k: int | None, most: float | None, same: bool, earlier: bool):
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The pairs of two blocks: of each ``a`` the k nearest (all that are near enough, if k is None)."""
         a, b = np.asarray(left.column("a")), np.asarray(right.column("b"))
         if not len(a) or not len(b):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        matrix = lambda t, c: np.asarray(t.column(c).combine_chunks().flatten(), float).reshape(len(t), -1)
-        far = 1 - matrix(left, "x") @ matrix(right, "y").T
-        far[a[:, None] == b[None, :]] = np.inf
-        limit = np.partition(far, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-        row, column = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
-        order = np.lexsort((b[column], far[row, column], row))
-        row, column = row[order], column[order]
-        first = np.searchsorted(row, row)
-        kept = np.arange(len(row)) - first < k
-        row, column = row[kept], column[kept]
+        far = 1 - _matrix(left, "x") @ _matrix(right, "y").T
+        if same:
+            far[a[:, None] == b[None, :]] = np.inf
+        if earlier:
+            at, before = np.asarray(left.column("a_at"))[:, None], np.asarray(right.column("b_at"))[None, :]
+            far[(before > at) | ((before == at) & (b[None, :] >= a[:, None]))] = np.inf
+        if most is not None:
+            far[far > most] = np.inf
+        if k is None:
+            row, column = np.nonzero(np.isfinite(far))
+        else:
+            limit = np.partition(far, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+            row, column = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
+            order = np.lexsort((b[column], far[row, column], row))
+            row, column = row[order], column[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column = row[kept], column[kept]
         return pa.table({"a": pa.array(a[row], pa.int64()), "b": pa.array(b[column], pa.int64()), "distance": pa.array(far[row, column])})
 
-    found = asked.groupBy("asked", "part").cogroup(dealt.groupBy("asked", "part")).applyInArrow(nearest, "a long, b long, distance double")
+    return found
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("k") <= k).select("a", "b", "distance", "k")
 
 
+def knn(queries: DataFrame, rows: DataFrame, k: int | None, block: int = BLOCK, most: float | None = None, same: bool = True, earlier: bool = False) -> DataFrame:
+    """The k nearest ``rows(b, y)`` for each of ``queries(a, x)`` by unit vectors' cosine distance: ``a, b, distance, k``.
+
+    Exact: queries and rows are dealt into blocks, whose number grows with them, and each task multiplies one block of
+    queries with one of rows as matrices and keeps k for each query. So a task's memory is that of two blocks, and
+    only k rows of each query and block of rows are shuffled to be merged; ties go by ``b``.
+
+    At most ``most`` away; with ``same`` a and b are ids of one table, and a row is no neighbour of itself; with ``earlier`` only
+    rows before the query's by ``b_at`` and ``a_at`` (then by id) count. If k is None all that fit are returned, without ``k``."""
+    parts = max(1, -(-rows.count() // block))
+    asked_parts = max(1, -(-queries.count() // block))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts).cast("long")))
+    dealt = dealt.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked_parts - 1).cast("long"))))
+    asked = queries.withColumn("asked", F.pmod(F.xxhash64("a"), F.lit(asked_parts).cast("long")))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = asked.groupBy("asked", "part").cogroup(dealt.groupBy("asked", "part")).applyInArrow(_nearest(k, most, same, earlier), "a long, b long, distance double")
+    return found if k is None else _ranked(found, k)
+
+
+#: What angles are rounded by; a block is left out only if it is further than this beyond the bound.
+ANGLE_SLACK = 1e-6
+
+
+def pivot_blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``rows(b, y)`` with their ``pivot`` and ``part``, and the blocks ``pivot, part, n, radius`` with the pivot's vector ``centre``.
+
+    Pivots are as many rows as there are blocks, those of the least hash; a row belongs to the nearest, and what is near one
+    pivot is parted by hash if it is more than a block."""
+    n = rows.count()
+    pivots = written(rows.orderBy(F.xxhash64("b"), "b").limit(max(1, -(-n // block))).select(F.col("b").alias("pivot"), F.col("y").alias("centre")))
+    own = knn(rows.select(F.col("b").alias("a"), F.col("y").alias("x")), pivots.select(F.col("pivot").alias("b"), F.col("centre").alias("y")), 1, block, same=False)
+    own = own.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.acos(F.greatest(F.least(1 - F.col("distance"), F.lit(1.0)), F.lit(-1.0))).alias("angle"))
+    sizes = own.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
+    dealt = written(rows.join(own, "b").join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts"))
+    blocks = dealt.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).join(pivots, "pivot")
+    return dealt.drop("angle"), written(blocks)
+
+
+def pivot_pairs(queries: DataFrame, blocks: DataFrame, bound: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``a, pivot, part`` of the blocks that may hold a row within the angle ``bound(a, angle)`` of a query: the centre lies at most
+    the block's radius further off."""
+    centres = blocks.groupBy("pivot").agg(F.first("centre").alias("y"), F.max("radius").alias("radius"))
+    # The centres' radii are joined by key after the products, whose rows are one for each query and centre that may count.
+    near = knn(queries, centres.select(F.col("pivot").alias("b"), "y"), None, block, same=False)
+    angle = F.acos(F.greatest(F.least(1 - F.col("distance"), F.lit(1.0)), F.lit(-1.0)))
+    near = near.select("a", F.col("b").alias("pivot"), angle.alias("to_centre")).join(bound, "a").join(blocks.select("pivot", "part", "radius"), "pivot")
+    return near.where(F.col("to_centre") <= F.col("angle") + F.col("radius") + ANGLE_SLACK).select("a", "pivot", "part")
+
+
+def knn_by_pivots(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, multiplied: list[int] | None = None) -> DataFrame:
+    """As ``knn``, but a query meets only the blocks that can hold one of its k nearest.
+
+    Rows are dealt around pivots. A query's nearest block gives it a kth distance, and by the triangle inequality of
+    angles no block whose centre is further than that and its radius can better it. What is left is multiplied block by
+    block. ``multiplied`` takes the number of pairs that were multiplied in the two steps."""
+    if rows.count() <= block:
+        return knn(queries, rows, k, block)
+    dealt, blocks = pivot_blocks(rows, block)
+    centres = blocks.groupBy("pivot").agg(F.first("centre").alias("y")).select(F.col("pivot").alias("b"), "y")
+    first = knn(queries, centres, 1, block, same=False).select("a", F.col("b").alias("pivot")).join(blocks.select("pivot", "part"), "pivot")
+    first = written(first.select("a", "pivot", "part"))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """The k nearest of each query in the blocks that it is paired with; queries of one block go in groups."""
+        group = F.pmod(F.xxhash64("a"), F.col("groups"))
+        many = pairs.groupBy("pivot", "part").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("groups"))
+        asked = pairs.join(many, ["pivot", "part"]).withColumn("group", group).join(queries, "a").select("a", "x", F.col("pivot").alias("p"), F.col("part").alias("q"), F.col("group").alias("g"))
+        held = dealt.join(many, ["pivot", "part"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select("b", "y", F.col("pivot").alias("p"), F.col("part").alias("q"), F.col("group").alias("g"))
+        return asked.groupBy("p", "q", "g").cogroup(held.groupBy("p", "q", "g")).applyInArrow(_nearest(k, None, True, False), "a long, b long, distance double")
+
+    near = written(met(first))
+    kth = _ranked(near, k).where(F.col("k") == k).select("a", F.acos(F.greatest(1 - F.col("distance"), F.lit(-1.0))).alias("angle"))
+    bound = queries.select("a").join(kth, "a", "left").select("a", F.coalesce("angle", F.lit(np.pi)).alias("angle"))
+    rest = written(pivot_pairs(queries, blocks, bound, block).join(first, ["a", "pivot", "part"], "left_anti"))
+    if multiplied is not None:
+        multiplied += [pairs.join(blocks, ["pivot", "part"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for pairs in (first, rest)]
+    return _ranked(near.unionByName(met(rest)), k)
+
+
 def _summed(table: pa.Table, keys: list[str]) -> pa.Table:
     """One row for each key of the table, in the order of their first rows: ``keys, n, total``."""
     at = table.select(keys).to_pandas(integer_object_nulls=True).groupby(keys, dropna=False, sort=False).ngroup().to_numpy()

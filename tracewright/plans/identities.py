@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.operators.graphs import components
-from tracewright.operators.vectors import centroids, cosine_distance, doubles, kept_within_margin, knn, normalized, top_k, vote
+from tracewright.operators.vectors import centroids, cosine_distance, doubles, kept_within_margin, knn_by_pivots, normalized, top_k, vote
 from tracewright.registry import query
 from tracewright.sources.driver_tables import VECTORS_SQL, vectors
 
@@ -28,7 +28,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _units(spark, sf_dir)
-    found = knn(u.select(F.col("vec_id").alias("a"), F.col("unit").alias("x")), u.select(F.col("vec_id").alias("b"), F.col("unit").alias("y")), K)
+    found = knn_by_pivots(u.select(F.col("vec_id").alias("a"), F.col("unit").alias("x")), u.select(F.col("vec_id").alias("b"), F.col("unit").alias("y")), K)
     return found.join(u.select(F.col("vec_id").alias("a"), F.col("identity").alias("ia")), "a").join(u.select(F.col("vec_id").alias("b"), F.col("identity").alias("ib")), "b")
 
 
