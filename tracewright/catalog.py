@@ -2,6 +2,6 @@
 
 from tracewright.plans import alerts, attachments, catalogues, conversations, detections, entities, evaluation, footage, identities, intake, matching, presence, questions, relations, retrieval, sentiment, texts  # noqa: F401  they register their queries
 from tracewright.registry import ORACLE_SQL, QUERIES
-from tracewright.streaming import jobs  # noqa: F401
+from tracewright.streaming import drains, jobs  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

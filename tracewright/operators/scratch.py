@@ -36,6 +36,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for a job's output and checkpoint, below the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
+
+
 def _save(df: DataFrame, partition_by: tuple[str, ...] = ()) -> tuple[SparkSession, str]:
     place = df.sparkSession, f"{checkpoint_root(df.sparkSession)}/tracewright/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(place[1])
@@ -61,11 +66,16 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return place[0].read.schema(df.schema).parquet(place[1])
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _remove(tables: list[tuple[SparkSession, str]]) -> None:
     for spark, path in tables:
         try:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            remove_path(spark, path)
         except Exception:  # a table that cannot be removed now goes with the cluster's folder
             continue
 

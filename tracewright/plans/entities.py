@@ -142,19 +142,6 @@ def fresh_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(marks, "subject", "left").where(F.col("start_ns") > F.coalesce("mark", F.lit(0))).groupBy("subject").agg(F.count(F.lit(1)).alias("fresh"), F.max("start_ns").alias("watermark"))
 
 
-@query(
-    "journey_states",
-    f"""WITH {_VISITS_SQL}, j AS (SELECT subject, start_ns // (7 * {DAY}) AS journey, min(start_ns) AS start_ns, max(end_ns) AS end_ns, count(*) AS hops FROM vi GROUP BY ALL)
-SELECT subject, start_ns, end_ns, hops, CASE WHEN end_ns < (SELECT max(end_ns) FROM vi) - 3 * {HOUR} THEN 'closed' ELSE 'open' END AS status FROM j""",
-)
-def journey_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Journeys by first hop; one is closed once its tail is older than the gap and the grace."""
-    v = visits(spark, sf_dir)
-    j = v.groupBy("subject", F.expr(f"start_ns div {7 * DAY}").alias("journey")).agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count(F.lit(1)).alias("hops"))
-    now = v.agg(F.max("end_ns").alias("now"))  # one row
-    return j.join(F.broadcast(now), F.lit(True)).select("subject", "start_ns", "end_ns", "hops", F.when(F.col("end_ns") < F.col("now") - 3 * HOUR, "closed").otherwise("open").alias("status"))
-
-
 @query("roster_briefing", f"WITH {SIGHTINGS_SQL}, n AS (SELECT subject, count(*) AS n FROM s GROUP BY subject), x AS (SELECT *, CASE WHEN subject % 3 = 0 THEN 'Customer ' || subject END AS name FROM n) SELECT (SELECT string_agg(name, ', ' ORDER BY n DESC, name) FROM (SELECT * FROM x WHERE name IS NOT NULL ORDER BY n DESC, name LIMIT 5)) AS known, count(*) FILTER (WHERE name IS NULL) AS unnamed, (SELECT count(DISTINCT device) FROM s) AS devices, (SELECT max(start_ns) FROM s) AS last_ns FROM x")
 def roster_briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most seen by name, how many have none, how many devices, and the last activity."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators.scratch import folder, written
+from tracewright.operators.stores import drop_months, months_of, read_months, replace_keys, take_in, taken_in, verdicts, with_month, write_months
 from tracewright.registry import query
 from tracewright.sources.driver_tables import SEGMENTS_SQL, SIGHTINGS_SQL, read, segments, sightings
 
@@ -49,14 +51,13 @@ def metric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SEGMENTS_SQL} SELECT strftime(make_timestamp(start_ns // 1000), '%Y-%m') AS month, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, strftime(make_timestamp(start_ns // 1000), '%Y-%m') < '1998-03' AS dropped FROM g GROUP BY 1",
 )
 def month_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months of segments as a writer's ``partitionBy`` would cut them; retention drops whole months before the cut-off's."""
-    month = F.date_format(F.timestamp_micros(F.expr("start_ns div 1000")), "yyyy-MM")
-    return segments(spark, sf_dir).groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).withColumn("dropped", F.col("month") < "1998-03")
-
-
-def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` without the keys that ``new`` writes, and ``new``: writing again changes nothing."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    """Months of segments written as folders; retention drops the folders of whole months before the cut-off's."""
+    path, rows = f"{folder(spark)}/segments", with_month(segments(spark, sf_dir))
+    write_months(rows, path)
+    months = written(read_months(spark, path, rows.schema).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")))
+    gone = drop_months(spark, path, "1998-03")
+    assert not set(gone) & set(months_of(spark, path))
+    return months.withColumn("dropped", F.col("month").isin(gone))
 
 
 @query(
@@ -64,10 +65,43 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     f"WITH {SEGMENTS_SQL}, n AS (SELECT session, sequence, bytes * 2 AS bytes FROM g WHERE session % 5 = 0 AND sequence = 1) SELECT session, sequence, bytes FROM g WHERE session NOT IN (SELECT session FROM n) UNION ALL SELECT * FROM n",
 )
 def replaced_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions processed again, twice over: their rows are replaced as a whole."""
-    old = segments(spark, sf_dir).select("session", "sequence", "bytes")
-    new = old.where("session % 5 = 0 and sequence = 1").withColumn("bytes", F.col("bytes") * 2)
-    return replaced(replaced(old, new, "session"), new, "session")
+    """Sessions processed again, twice over: their stored rows are replaced as a whole."""
+    path, rows = f"{folder(spark)}/segments", with_month(segments(spark, sf_dir).select("session", "sequence", "bytes", "start_ns"))
+    write_months(rows, path)
+    new = rows.where("session % 5 = 0 and sequence = 1").withColumn("bytes", F.col("bytes") * 2)
+    replace_keys(new, path, "session")
+    replace_keys(new, path, "session")
+    return read_months(spark, path, rows.schema).select("session", "sequence", "bytes")
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts as files, and manifests of most of them, some with a wrong length or a wrong digest."""
+    n, content = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
+    name = F.concat(n.cast("string"), F.lit(".txt"))
+    d = read(spark, sf_dir, "documents")
+    sha = F.when(n % 17 == 0, F.sha2(F.concat(content, F.lit("!").cast("binary")), 256)).otherwise(F.upper(F.sha2(content, 256)))
+    told = F.octet_length(content) + F.when(n % 13 == 0, 1).otherwise(0)
+    return d.select(name.alias("name"), content.alias("content")), d.where("doc_id % 19 <> 0").select(name.alias("name"), sha.alias("sha256"), told.cast("long").alias("bytes"))
+
+
+_UPLOADS_SQL = """u AS (SELECT doc_id || '.txt' AS name, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, ''))) AS bytes,
+  CASE WHEN doc_id % 19 = 0 THEN 'no manifest' WHEN doc_id % 13 = 0 THEN 'length' WHEN doc_id % 17 = 0 THEN 'digest' ELSE 'ok' END AS verdict FROM documents)"""
+
+
+@query("verified_intake", f"WITH {_UPLOADS_SQL} SELECT name, verdict, sha256, CAST(bytes AS BIGINT) AS bytes FROM u")
+def verified_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(*_uploads(spark, sf_dir)).select("name", "verdict", "sha256", "bytes")
+
+
+@query("content_store", f"WITH {_UPLOADS_SQL} SELECT sha256, CAST(any_value(bytes) AS BIGINT) AS bytes, count(*) AS names, substr(sha256, 1, 2) AS shard FROM u WHERE verdict = 'ok' GROUP BY sha256")
+def content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds after half of the files have come, then all: each content once, with the number of its names."""
+    parts, manifests = _uploads(spark, sf_dir)
+    store = f"{folder(spark)}/store"
+    take_in(parts.where("length(name) % 2 = 0"), manifests, store)
+    take_in(parts, manifests, store)
+    names, blobs = taken_in(spark, store)
+    return blobs.select("sha256", "bytes", "shard").join(names.where("verdict = 'ok'").groupBy("sha256").agg(F.count(F.lit(1)).alias("names")), "sha256")
 
 
 @query(

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.functions.timeq import DAY, HOUR, MINUTE, civil_day
+from tracewright.functions.timeq import DAY, HOUR, MINUTE, SECOND, civil_day
+from tracewright.operators.edges import merged_edges, observed, renamed
 from tracewright.operators.graphs import neighbourhood, shortest_paths
-from tracewright.operators.intervals import band_join, overlap_join, prefixed
+from tracewright.operators.intervals import band_join, number_runs, overlap_join, prefixed
 from tracewright.plans.presence import _VISITS_SQL, visits
 from tracewright.registry import query
-from tracewright.sources.driver_tables import read
+from tracewright.sources.driver_tables import SIGHTINGS_SQL, read, sightings
 
 JOURNEY_GAP = 2 * HOUR
 
@@ -136,41 +136,57 @@ def first_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy(civil_day(F.col("moment")).alias("day")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def hops(v: DataFrame, gap: int, subject: str = "subject") -> DataFrame:
+    """Visits with their ``journey`` and ``stay`` (both numbered by subject): a journey goes on while a visit begins at most
+    ``gap`` after the end of the hop before, and visits to the same device in turn are one hop.
+
+    A hop's end is the latest of its visits, and a journey breaks only after it; so the running latest end of a stay at a
+    device is the hop's, also after a break, and windows settle it all."""
+    w = W.partitionBy(subject).orderBy("start_ns", "end_ns", "device")
+    moved = F.coalesce((F.lag("device").over(w) != F.col("device")).cast("long"), F.lit(1))
+    stays = number_runs(v.withColumn("moved", moved), [subject], "start_ns", "end_ns", "device", flag="moved", name="stay").drop("moved")
+    stays = stays.withColumn("reach", F.max("end_ns").over(W.partitionBy(subject, "stay").orderBy("start_ns", "end_ns").rowsBetween(W.unboundedPreceding, 0)))
+    cut = F.coalesce((F.col("start_ns") - F.lag("reach").over(w) > gap).cast("long"), F.lit(1))
+    return number_runs(stays.withColumn("cut", cut), [subject], "start_ns", "end_ns", "device", flag="cut", name="journey").drop("cut", "reach")
+
+
 def stitched(v: DataFrame, gap: int) -> DataFrame:
-    """Journeys of each subject: hops follow while one arrives within ``gap`` of the last hop's departure; a stay at the
-    same device extends the hop. A subject is cut where a visit begins more than ``gap`` after the end of all before it, which
-    ends a journey for certain, and only the visits between two such cuts are folded as one group."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        made: list[list[list]] = []
-        for r in rows.sort_values(["start_ns", "end_ns", "device"], kind="stable").itertuples(index=False):
-            if not made or r.start_ns - made[-1][-1][2] > gap:
-                made.append([[r.device, r.start_ns, r.end_ns]])
-            elif made[-1][-1][0] == r.device:
-                made[-1][-1][2] = max(made[-1][-1][2], r.end_ns)
-            else:
-                made[-1].append([r.device, r.start_ns, r.end_ns])
-        kept = [j for j in made if len({h[0] for h in j}) > 1]
-        return pd.DataFrame([(key[0], j[0][1], j[-1][2], [h[0] for h in j]) for j in kept], columns=["subject", "start_ns", "end_ns", "devices"])
-
-    w = W.partitionBy("subject").orderBy("start_ns", "end_ns", "device")
-    behind = F.max("end_ns").over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = v.withColumn("sure", F.coalesce(F.col("start_ns") - behind > gap, F.lit(True)).cast("long")).withColumn("run", F.sum("sure").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("sure")
-    return cut.groupBy("subject", "run").applyInPandas(fold, "subject long, start_ns long, end_ns long, devices array<string>")
-
-
-@query("journeys")
+    """``subject, start_ns, end_ns, devices`` of journeys to at least two devices, with a device for each hop."""
+    hop = hops(v, gap).groupBy("subject", "journey", "stay").agg(F.first("device").alias("device"), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+    ordered = F.array_sort(F.collect_list(F.struct("stay", "device")))
+    made = hop.groupBy("subject", "journey").agg(F.min("start_ns").alias("start_ns"), F.max_by("end_ns", "stay").alias("end_ns"), F.transform(ordered, lambda x: x["device"]).alias("devices"))
+    return made.where("size(devices) > 1").drop("journey")
+
+
+_HOPS_SQL = f"""{_VISITS_SQL}, mo AS (SELECT *, CASE WHEN lag(device) OVER w IS DISTINCT FROM device THEN 1 ELSE 0 END AS moved FROM vi WINDOW w AS (PARTITION BY subject ORDER BY start_ns, end_ns, device)),
+sy AS (SELECT *, sum(moved) OVER (PARTITION BY subject ORDER BY start_ns, end_ns, device) AS stay FROM mo),
+re AS (SELECT *, max(end_ns) OVER (PARTITION BY subject, stay ORDER BY start_ns, end_ns ROWS UNBOUNDED PRECEDING) AS reach FROM sy),
+cu AS (SELECT *, CASE WHEN start_ns - lag(reach) OVER w <= {JOURNEY_GAP} THEN 0 ELSE 1 END AS cut FROM re WINDOW w AS (PARTITION BY subject ORDER BY start_ns, end_ns, device)),
+jo AS (SELECT *, sum(cut) OVER (PARTITION BY subject ORDER BY start_ns, end_ns, device) AS journey FROM cu),
+ho AS (SELECT subject, journey, stay, any_value(device) AS device, min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM jo GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "journeys",
+    f"WITH {_HOPS_SQL} SELECT subject, min(start_ns) AS start_ns, arg_max(end_ns, stay) AS end_ns, string_agg(device, '>' ORDER BY stay) AS hops FROM ho GROUP BY subject, journey HAVING count(*) > 1",
+)
 def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = stitched(visits(spark, sf_dir).select("subject", "device", "start_ns", "end_ns"), JOURNEY_GAP)
     return j.select("subject", "start_ns", "end_ns", F.array_join("devices", ">").alias("hops"))
 
 
-@query("camera_adjacency")
+@query(
+    "camera_adjacency",
+    f"""WITH {_HOPS_SQL}, sp AS (SELECT lag(device) OVER w AS a, device AS b, start_ns - lag(end_ns) OVER w AS gap FROM ho WINDOW w AS (PARTITION BY subject, journey ORDER BY stay))
+SELECT a, b, count(*) AS n, min(gap) AS min_gap, max(gap) AS max_gap FROM sp WHERE a IS NOT NULL GROUP BY a, b""",
+)
 def camera_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a journey goes from one device straight to another."""
-    j = stitched(visits(spark, sf_dir).select("subject", "device", "start_ns", "end_ns"), JOURNEY_GAP)
-    steps = j.select(F.explode(F.arrays_zip(F.slice("devices", 1, F.size("devices") - 1).alias("a"), F.slice("devices", 2, F.size("devices")).alias("b"))).alias("s"))
-    return steps.select("s.*").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """How often a journey goes from one device straight to another, and the least and the most time between."""
+    hop = hops(visits(spark, sf_dir).select("subject", "device", "start_ns", "end_ns"), JOURNEY_GAP)
+    hop = hop.groupBy("subject", "journey", "stay").agg(F.first("device").alias("b"), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+    w = W.partitionBy("subject", "journey").orderBy("stay")
+    steps = hop.select(F.lag("b").over(w).alias("a"), "b", (F.col("start_ns") - F.lag("end_ns").over(w)).alias("gap")).where("a is not null")
+    return steps.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
 
 
 @query(
@@ -199,3 +215,63 @@ def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges after identities have been merged by threes: counts add up, the span is the union."""
     places = visits(spark, sf_dir).groupBy("subject", "device").agg(F.count(F.lit(1)).alias("n"), F.min("start_ns").alias("f"), F.max("end_ns").alias("l"))
     return places.groupBy((F.col("subject") - F.col("subject") % 3).alias("survivor"), "device").agg(F.sum("n").alias("observation_count"), F.min("f").alias("first_seen"), F.max("l").alias("last_seen"))
+
+
+def sighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sighting as an edge of its subject to the device; two of three tell a confidence, odd ones something more."""
+    k = F.get_json_object("props", "$.k")
+    more = F.create_map(F.lit("k"), k, F.lit("odd"), F.when(F.col("event_id") % 2 == 1, F.col("event_id").cast("string")))
+    confidence = F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") / 500, 4))
+    return observed(sightings(spark, sf_dir), F.lit("visits"), F.col("subject"), F.col("device"), F.col("event_id"), F.col("start_ns"), F.col("end_ns"), confidence, more)
+
+
+_EDGE_COLUMNS = """CAST(sum(n) AS BIGINT) AS n, min(start_ns) AS first_ns, max(end_ns) AS last_ns, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k <= 16) AS evidence,
+  arg_max(round(value / 500, 4), (start_ns, event_id)) FILTER (WHERE event_id % 3 <> 0) AS confidence, arg_max(json_extract_string(props, '$.k'), (start_ns, event_id)) AS meta_k, arg_max(CAST(event_id AS VARCHAR), (start_ns, event_id)) FILTER (WHERE event_id % 2 = 1) AS meta_odd"""
+
+
+def _told(edges: DataFrame) -> DataFrame:
+    evidence = F.array_join(F.transform("evidence", lambda s: s["event"].cast("string")), ",").alias("evidence")
+    return edges.select("src", "dst", "n", "first_ns", "last_ns", evidence, F.col("confidence.value").alias("confidence"), F.col("metadata")["k"]["value"].alias("meta_k"), F.col("metadata")["odd"]["value"].alias("meta_odd"))
+
+
+@query(
+    "edge_fold",
+    f"""WITH {SIGHTINGS_SQL}, o AS (SELECT *, 1 AS n, row_number() OVER (PARTITION BY subject, device ORDER BY start_ns DESC, event_id) AS k FROM s)
+SELECT CAST(subject AS VARCHAR) AS src, device AS dst, {_EDGE_COLUMNS} FROM o GROUP BY subject, device""",
+)
+def edge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of four folds of the sightings."""
+    s = sighted(spark, sf_dir)
+    part = F.pmod(F.col("first_ns"), F.lit(4))
+    parts = [merged_edges(s.where(part == k)) for k in range(4)]
+    return _told(merged_edges(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])))
+
+
+@query(
+    "edges_of_merged_subjects",
+    f"""WITH {SIGHTINGS_SQL}, o AS (SELECT *, 1 AS n, subject - subject % 3 AS survivor, row_number() OVER (PARTITION BY subject - subject % 3, device ORDER BY start_ns DESC, event_id) AS k FROM s)
+SELECT CAST(survivor AS VARCHAR) AS src, device AS dst, {_EDGE_COLUMNS} FROM o GROUP BY survivor, device""",
+)
+def edges_of_merged_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored edges after subjects have been merged by threes: each is renamed and what falls together is folded."""
+    edges = merged_edges(sighted(spark, sf_dir))
+    subjects = edges.select(F.col("src").alias("id")).distinct().withColumn("survivor", (F.col("id").cast("long") - F.col("id").cast("long") % 3).cast("string"))
+    return _told(merged_edges(renamed(edges, subjects)))
+
+
+#: A journey is closed when its last hop ended this long before the newest sighting.
+CLOSED_AFTER = JOURNEY_GAP + 90 * SECOND
+
+
+@query(
+    "journey_states",
+    f"""WITH {_HOPS_SQL}, jn AS (SELECT subject, min(start_ns) AS start_ns, arg_max(end_ns, stay) AS end_ns, count(*) AS hops FROM ho GROUP BY subject, journey HAVING count(*) > 1)
+SELECT subject, 'journey:' || subject || ':' || start_ns AS key, end_ns, hops, CASE WHEN end_ns < (SELECT max(start_ns) FROM vi) - {CLOSED_AFTER} THEN 'closed' ELSE 'open' END AS status FROM jn""",
+)
+def journey_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys by the key of their first hop, open while another hop may still follow the last one."""
+    v = visits(spark, sf_dir).select("subject", "device", "start_ns", "end_ns")
+    now = v.agg(F.max("start_ns").alias("now"))  # one row
+    key = F.concat_ws(":", F.lit("journey"), F.col("subject").cast("string"), F.col("start_ns").cast("string"))
+    status = F.when(F.col("end_ns") < F.col("now") - CLOSED_AFTER, "closed").otherwise("open")
+    return stitched(v, JOURNEY_GAP).join(F.broadcast(now), F.lit(True)).select("subject", key.alias("key"), "end_ns", F.size("devices").cast("long").alias("hops"), status.alias("status"))

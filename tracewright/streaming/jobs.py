@@ -6,8 +6,6 @@ Offsets and state live in the checkpoint of each job, which takes the place of h
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.functions.timeq import SECOND, floor_div, nanos
 from tracewright.plans.attachments import LATE_SQL, attached, late_rows
+from tracewright.operators.scratch import folder
 from tracewright.registry import query
 from tracewright.sources.driver_tables import SIGHTINGS_SQL
 
@@ -24,16 +23,6 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 BUCKET, COOLDOWN = 30 * SECOND, 3600 * SECOND
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder for a job's output and checkpoint, in the shared checkpoint folder; a local one for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tracewright-stream-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def arriving(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     parent, _, name = path.rpartition("/")
     s = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name).parquet(parent)
