@@ -2,77 +2,136 @@
 
 from __future__ import annotations
 
-import re
-from datetime import datetime, timedelta
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.timeq import DAY, HOUR, SECOND, civil_day, floor_div, nanos, weekday_monday
 from tracewright.registry import query
 from tracewright.sources.driver_tables import SIGHTINGS_SQL, read, sightings
 
-#: Object classes and other names of them, fixed values.
-CLASSES = ["person", "car", "bus", "bicycle", "dog", "bench"]
-ALIASES = {"people": "person", "auto": "car", "vehicle": "car", "bike": "bicycle", "puppy": "dog"}
-NOW = datetime(2024, 3, 14, 15, 30)
-
-
-def window_in_query(text: str, now: datetime) -> tuple[datetime, datetime] | None:
-    """The time window that a question names, on the asker's clock; None if it names none.
-
-    A number of minutes, hours or days goes first, then parts of the day, then days and weeks (from Monday)."""
-    said = text.lower()
-    if m := re.search(r"\b(?:last|past)\s+(\d+)?\s*(minute|hour|day)s?\b", said):
-        return now - timedelta(**{m[2] + "s": int(m[1] or 1)}), now
-    day = now.replace(hour=0, minute=0, second=0, microsecond=0)
-    hour = lambda h: day + timedelta(hours=h)
-    monday = day - timedelta(days=day.weekday())
-    for words, window in [
-        ("this morning", (hour(5), hour(12))), ("this afternoon", (hour(12), hour(17))), ("this evening", (hour(17), hour(22))), ("last night", (hour(-4), hour(4))),
-        ("yesterday", (hour(-24), day)), ("today", (day, now)), ("last week", (monday - timedelta(days=7), monday)), ("this week", (monday, now)),
-    ]:
-        if words in said:
-            return window
-    return None
-
-
-_ASKED = ["who came in the last 3 hours", "past 20 minutes", "what happened last night", "yesterday?", "this morning", "last week", "this week", "anything"]
-
-
-@query(
-    "time_windows",
-    """SELECT * FROM (VALUES (0, '2024-03-14 12:30:00', '2024-03-14 15:30:00'), (1, '2024-03-14 15:10:00', '2024-03-14 15:30:00'), (2, '2024-03-13 20:00:00', '2024-03-14 04:00:00'), (3, '2024-03-13 00:00:00', '2024-03-14 00:00:00'),
-(4, '2024-03-14 05:00:00', '2024-03-14 12:00:00'), (5, '2024-03-04 00:00:00', '2024-03-11 00:00:00'), (6, '2024-03-11 00:00:00', '2024-03-14 15:30:00'), (7, NULL, NULL)) x(asked, first, until)""",
-)
+#: Names of the object classes, fixed values.
+LABELS = """person, bicycle, car, motorcycle, airplane, bus, train, truck, boat, traffic light, fire hydrant, stop sign, parking meter, bench, bird, cat, dog,
+horse, sheep, cow, elephant, bear, zebra, giraffe, backpack, umbrella, handbag, tie, suitcase, frisbee, skis, snowboard, sports ball, kite, baseball bat,
+baseball glove, skateboard, surfboard, tennis racket, bottle, wine glass, cup, fork, knife, spoon, bowl, banana, apple, sandwich, orange, broccoli, carrot,
+hot dog, pizza, donut, cake, chair, couch, potted plant, bed, dining table, toilet, tv, laptop, mouse, remote, keyboard, cell phone, microwave, oven, toaster,
+sink, refrigerator, book, clock, vase, scissors, teddy bear, hair drier, toothbrush""".replace("\n", " ").split(", ")
+#: Other words for them, fixed values.
+ALIASES = {
+    "person": ["people", "persons", "human", "humans", "man", "woman", "men", "women", "guy", "guys", "somebody", "someone"],
+    "bus": ["buses"],
+    "knife": ["knives"],
+    "wine glass": ["wine glasses", "wineglass", "wineglasses"],
+    "tv": ["television", "televisions", "tvs", "tv set"],
+    "cell phone": ["phone", "phones", "cellphone", "cellphones", "cell phones", "mobile phone", "smartphone", "smartphones"],
+    "couch": ["sofa", "sofas", "couches"],
+    "laptop": ["laptops"],
+    "potted plant": ["plants", "potted plants"],
+}
+
+
+def question_window(text: Column, now_ns: Column, offset_s: Column) -> Column:
+    """The window ``after, before`` (nanoseconds) that a question names on the asker's clock; null if it names none.
+
+    The last or past number of minutes, hours or days (one if no number is said) goes first; then parts of today, the night
+    before, days, and weeks from Monday, the first of these phrases that the text holds."""
+    said, offset_s = F.lower(text), offset_s.cast("long")
+    words = F.filter(F.transform(F.split(said, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    form = r" (?:last|past) (?:0*([1-9][0-9]{0,4}|100000) )?(minutes?|mins?|hours?|hrs?|days?) "
+    unit = F.substring(F.regexp_extract(line, form, 2), 1, 1)
+    n = F.coalesce(F.nullif(F.regexp_extract(line, form, 1), F.lit("")), F.lit("1")).cast("long")
+    span = n * F.when(unit == "m", 60).when(unit == "h", 3600).otherwise(86_400) * SECOND
+    today = civil_day(now_ns, offset_s)
+    at = lambda day, hour: day * DAY + hour * HOUR - offset_s * SECOND
+    window = lambda a, b: F.struct(a.alias("after"), b.alias("before"))
+    monday = today - weekday_monday(now_ns, offset_s)
+    has = lambda *phrases: F.greatest(*(F.contains(said, F.lit(p)) for p in (*phrases, phrases[0])))
+    return (
+        F.when(unit != "", window(now_ns - span, now_ns)).when(has("this morning"), window(at(today, 0), at(today, 12))).when(has("this afternoon"), window(at(today, 12), at(today, 18)))
+        .when(has("this evening", "tonight"), window(at(today, 18), at(today, 24))).when(has("last night"), window(at(today, -4), at(today, 4))).when(has("yesterday"), window(at(today, -24), at(today, 0)))
+        .when(has("today"), window(at(today, 0), at(today, 24))).when(has("last week"), window(at(monday - 7, 0), at(monday, 0))).when(has("this week"), window(at(monday, 0), at(monday + 7, 0)))
+    )
+
+
+#: What the table's turns are made to ask, one after the other.
+_ASKED = [
+    "who came in the last 3 hours", "past 20 mins?", "what happened last night", "anything from yesterday?", "the plan this morning today", "last week's meeting", "this week", "anything", "in the last hour, please",
+    "when was the last time", "last 0 minutes", "tonight", "this afternoon", "deliveries in the past 2 days today", "today",
+]
+_ASKED_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _ASKED) + "]"
+_QUESTIONS_SQL = f"""q AS (SELECT conv_id, turn, text || ' ' || {_ASKED_SQL}[(conv_id * 7 + turn) % {len(_ASKED)} + 1] AS said, 1710430200 + conv_id * 9000 + turn * 400 AS now, (conv_id % 5 - 2) * 3600 AS off FROM conversations),
+p AS (SELECT *, lower(said) AS l, (now + off) // 86400 AS d, regexp_extract(' ' || array_to_string(list_filter([regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') FOR w IN regexp_split_to_array(lower(said), '\\s+')], lambda w: w <> ''), ' ') || ' ',
+  ' (?:last|past) (?:0*([1-9][0-9]{{0,4}}|100000) )?(minutes?|mins?|hours?|hrs?|days?) ', ['n', 'unit']) AS r FROM q),
+w AS (SELECT conv_id, turn, now, CASE WHEN r.unit <> '' THEN [now - CAST(CASE r.n WHEN '' THEN '1' ELSE r.n END AS BIGINT) * CASE r.unit[1] WHEN 'm' THEN 60 WHEN 'h' THEN 3600 ELSE 86400 END, now]
+  WHEN contains(l, 'this morning') THEN [d * 86400 - off, d * 86400 + 43200 - off] WHEN contains(l, 'this afternoon') THEN [d * 86400 + 43200 - off, d * 86400 + 64800 - off]
+  WHEN contains(l, 'this evening') OR contains(l, 'tonight') THEN [d * 86400 + 64800 - off, d * 86400 + 86400 - off] WHEN contains(l, 'last night') THEN [d * 86400 - 14400 - off, d * 86400 + 14400 - off]
+  WHEN contains(l, 'yesterday') THEN [d * 86400 - 86400 - off, d * 86400 - off] WHEN contains(l, 'today') THEN [d * 86400 - off, d * 86400 + 86400 - off]
+  WHEN contains(l, 'last week') THEN [(d - (d + 3) % 7 - 7) * 86400 - off, (d - (d + 3) % 7) * 86400 - off] WHEN contains(l, 'this week') THEN [(d - (d + 3) % 7) * 86400 - off, (d - (d + 3) % 7 + 7) * 86400 - off] END AS x FROM p)"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, window``: what each turn says, with a phrase about time, asked at some time on some clock."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    phrase = F.element_at(F.array(*(F.lit(x) for x in _ASKED)), ((conv * 7 + turn) % len(_ASKED) + 1).cast("int"))
+    now = (F.lit(1_710_430_200) + conv * 9_000 + turn * 400) * SECOND
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", question_window(F.concat("text", F.lit(" "), phrase), now, (conv % 5 - 2) * 3600).alias("window"))
+
+
+@query("time_windows", f"WITH {_QUESTIONS_SQL} SELECT conv_id, turn, CAST(x[1] AS BIGINT) * {SECOND} AS after_ns, CAST(x[2] AS BIGINT) * {SECOND} AS before_ns FROM w")
 def time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of fixed questions, as the driver puts them into a plan's literals."""
-    rows = [(i, *(map(str, w) if (w := window_in_query(q, NOW)) else (None, None))) for i, q in enumerate(_ASKED)]
-    return spark.createDataFrame(rows, "asked int, first string, until string")
+    return _questions(spark, sf_dir).select("conv_id", "turn", F.col("window.after").alias("after_ns"), F.col("window.before").alias("before_ns"))
 
 
 @query(
     "questions_counted",
-    f"WITH {SIGHTINGS_SQL} SELECT device, count(*) AS n FROM s WHERE start_ns >= epoch_us(TIMESTAMP '2024-03-04') * 1000 AND start_ns < epoch_us(TIMESTAMP '2024-03-11') * 1000 GROUP BY device",
+    f"""WITH {_QUESTIONS_SQL}, h AS (SELECT CAST(x[1] AS BIGINT) // 3600 AS a, CAST(x[2] AS BIGINT) // 3600 AS b, conv_id, turn FROM w WHERE x IS NOT NULL), s AS (SELECT (epoch_us(ts) // 3600000000) + 1680 AS hour, count(*) AS n FROM events GROUP BY 1)
+SELECT conv_id, turn, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM h LEFT JOIN s ON s.hour >= h.a AND s.hour < h.b GROUP BY conv_id, turn""",
 )
 def questions_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings of last week: the question's window reaches the scan as two literals."""
-    first, until = (int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000_000 for t in window_in_query("who was seen last week", NOW))
-    return sightings(spark, sf_dir).where((F.col("start_ns") >= first) & (F.col("start_ns") < until)).groupBy("device").agg(F.count(F.lit(1)).alias("n"))
+    """How many sightings (moved by ten weeks) lie in the whole hours of each question's window: two look-ups in running counts."""
+    asked = _questions(spark, sf_dir).where("window is not null").select("conv_id", "turn", floor_div(F.col("window.after"), HOUR).alias("a"), floor_div(F.col("window.before"), HOUR).alias("b"))
+    hours = sightings(spark, sf_dir).groupBy((floor_div(F.col("start_ns"), HOUR) + 1_680).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    # The hours that windows touch are few; each window reads its own by equal keys.
+    each = asked.withColumn("hour", F.explode(F.when(F.col("b") > F.col("a"), F.sequence("a", F.col("b") - 1)).otherwise(F.array("a")))).withColumn("inside", F.col("b") > F.col("a"))
+    found = each.join(hours, "hour", "left")
+    return found.groupBy("conv_id", "turn").agg(F.coalesce(F.sum(F.when(F.col("inside"), F.col("n"))), F.lit(0)).alias("n"))
+
+
+def humanized_time(at_ns: Column, now_ns: Column, offset_s: int) -> Column:
+    """A time as said at ``now`` on a clock ``offset_s`` ahead of UTC, by calendar days; a later day is "just now"."""
+    local = lambda ns: F.timestamp_seconds(floor_div(ns, SECOND) + offset_s)
+    days, day = civil_day(now_ns, offset_s) - civil_day(at_ns, offset_s), F.dayofmonth(local(at_ns))
+    clock = F.concat(F.lit(" at "), F.date_format(local(at_ns), "h:mm a"))
+    spelled = F.element_at(F.array(*(F.lit(x) for x in ("two", "three", "four", "five", "six"))), (days - 1).cast("int"))
+    ending = F.when((day % 100).between(11, 13), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+    date = F.concat(F.lit("on "), F.date_format(local(at_ns), "MMMM "), day.cast("string"), ending, F.when(F.year(local(at_ns)) != F.year(local(now_ns)), F.date_format(local(at_ns), ", yyyy")).otherwise(""))
+    said = F.when(days == 0, "today").when(days == 1, "yesterday").when(days < 7, F.concat(spelled, F.lit(" days ago"))).when(days < 14, F.concat(F.lit("last "), F.date_format(local(at_ns), "EEEE"))).otherwise(date)
+    return F.when(days < 0, "just now").otherwise(F.concat(said, clock))
+
+
+def humanized_duration(ns: Column) -> Column:
+    """Seconds below a minute, else whole minutes (half ones up), in hours and minutes from an hour."""
+    seconds = floor_div(F.greatest(ns, F.lit(0)), SECOND)
+    minutes = floor_div(seconds + 30, 60)
+    counted = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+    hours, rest = floor_div(minutes, 60), F.pmod(minutes, F.lit(60).cast("long"))
+    long = F.concat(counted(hours, "hour"), F.when(rest > 0, F.concat(F.lit(" "), counted(rest, "minute"))).otherwise(""))
+    return F.when(seconds < 60, counted(seconds, "second")).when(minutes < 60, counted(minutes, "minute")).otherwise(long)
 
 
 @query(
     "humanized_times",
-    """WITH e AS (SELECT event_id, ts, date_diff('day', CAST(ts AS DATE), (SELECT CAST(max(ts) AS DATE) FROM events)) AS d, CAST(round(value / 60) AS BIGINT) AS m FROM events WHERE event_id % 3 = 0)
-SELECT event_id, CASE d WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE CASE WHEN d < 7 THEN strftime(ts, '%A') ELSE strftime(ts, '%Y-%m-%d') END END || ' at ' || strftime(ts, '%H:%M') AS said, CASE WHEN m < 1 THEN 'under a minute' WHEN m = 1 THEN '1 minute' ELSE m || ' minutes' END AS lasted FROM e""",
+    """WITH m AS (SELECT max(ts) - INTERVAL 12 HOUR - INTERVAL 5 HOUR AS now FROM events), e AS (SELECT event_id, ts - INTERVAL 5 HOUR AS told, now, date_diff('day', CAST(ts - INTERVAL 5 HOUR AS DATE), CAST(now AS DATE)) AS d, CAST(trunc(value * value / 10) AS BIGINT) AS s FROM events, m),
+f AS (SELECT *, (s + 30) // 60 AS mi, day(told) AS dm FROM e)
+SELECT event_id, CASE WHEN d < 0 THEN 'just now' ELSE CASE WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN ['two', 'three', 'four', 'five', 'six'][d - 1] || ' days ago' WHEN d < 14 THEN 'last ' || dayname(told)
+  ELSE 'on ' || monthname(told) || ' ' || dm || CASE WHEN dm BETWEEN 11 AND 13 THEN 'th' WHEN dm % 10 = 1 THEN 'st' WHEN dm % 10 = 2 THEN 'nd' WHEN dm % 10 = 3 THEN 'rd' ELSE 'th' END || CASE WHEN year(told) <> year(now) THEN ', ' || year(told) ELSE '' END END || ' at ' || strftime(told, '%-I:%M %p') END AS said,
+CASE WHEN s < 60 THEN s || CASE WHEN s = 1 THEN ' second' ELSE ' seconds' END WHEN mi < 60 THEN mi || CASE WHEN mi = 1 THEN ' minute' ELSE ' minutes' END ELSE (mi // 60) || CASE WHEN mi // 60 = 1 THEN ' hour' ELSE ' hours' END || CASE WHEN mi % 60 = 0 THEN '' WHEN mi % 60 = 1 THEN ' 1 minute' ELSE ' ' || (mi % 60) || ' minutes' END END AS lasted FROM f""",
 )
 def humanized_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times by calendar days before the last event's, durations in whole minutes."""
-    e = read(spark, sf_dir, "events")
-    e = e.where("event_id % 3 = 0").join(F.broadcast(e.agg(F.max("ts").alias("now"))), F.lit(True))  # one row
-    d, m = F.datediff(F.to_date("now"), F.to_date("ts")), F.rint(F.col("value") / 60).cast("long")
-    day = F.when(d == 0, "today").when(d == 1, "yesterday").when(d < 7, F.date_format("ts", "EEEE")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    lasted = F.when(m < 1, "under a minute").when(m == 1, "1 minute").otherwise(F.concat(m.cast("string"), F.lit(" minutes")))
-    return e.select("event_id", F.concat(day, F.lit(" at "), F.date_format("ts", "HH:mm")).alias("said"), lasted.alias("lasted"))
+    """Every event as said twelve hours before the last one, five hours west of UTC, and how long it took."""
+    e = read(spark, sf_dir, "events").select("event_id", nanos(F.col("ts")).alias("at"), (F.col("value") * F.col("value") / 10).cast("long").alias("s"))
+    e = e.join(F.broadcast(e.agg((F.max("at") - 12 * HOUR).alias("now"))), F.lit(True))  # one row
+    return e.select("event_id", humanized_time(F.col("at"), F.col("now"), -5 * 3600).alias("said"), humanized_duration(F.col("s") * SECOND).alias("lasted"))
 
 
 @query("plate_tokens", "SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(upper(text), '[A-Z0-9]+'), lambda w: length(w) >= 4 AND regexp_matches(w, '[0-9]')))) AS tokens FROM documents WHERE text IS NOT NULL")
@@ -82,20 +141,40 @@ def plate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.array_distinct(found)).cast("long").alias("tokens"))
 
 
-def object_class(word):
-    """The class that a word names: itself, by another name, or by its plural; null if none. An article is left out."""
-    bare = F.trim(F.regexp_replace(F.lower(word), "^(a|an|the) +", ""))
-    known = lambda x: F.coalesce(F.when(x.isin(CLASSES), x), F.element_at(F.create_map(*(F.lit(y) for kv in ALIASES.items() for y in kv)), x))
-    return F.coalesce(known(bare), known(F.regexp_replace(bare, "es$", "")), known(F.regexp_replace(bare, "s$", "")))
+def object_label(phrase: Column) -> Column:
+    """The class that a phrase names: itself, by another word, or by its plural; null if none. One article is left out."""
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.lower(phrase)), r"[?.!,]+$", "")), "^(a|an|the) ", ""))
+    known = F.create_map(*(F.lit(x) for label in LABELS for x in (label, label)))
+    other = F.create_map(*(F.lit(x) for label, words in ALIASES.items() for w in words for x in (w, label)))
+    less = lambda end: F.when(F.endswith(bare, F.lit(end)), known[F.substring(bare, F.lit(1), F.length(bare) - len(end))])
+    return F.coalesce(known[bare], other[bare], less("es"), less("s"))
+
+
+def object_in_question(text: Column) -> Column:
+    """The first class that two words in turn name, else the first that one word names; null if none."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
+    first = lambda phrases: F.get(F.filter(F.transform(phrases, object_label), lambda x: x.isNotNull()), 0)
+    return F.coalesce(first(pairs), first(words))
+
+
+_OBJECTS = ["the cars", "a bus?", "buses", "People", "benches", "a wine glass or a cup", "an apple.", "no spaceship", "Scissors", "smartphones", "a dog at the stop sign", "teddy bears", "the skis"]
+_LABEL_ROWS = ", ".join(f"('{p}', '{label}', {k})" for label in LABELS for p, k in [(label, 0), *((w, 1) for w in ALIASES.get(label, []))])
 
 
 @query(
     "object_classes",
-    """SELECT * FROM (VALUES ('the cars', 'car'), ('a bus', 'bus'), ('buses', 'bus'), ('People', 'person'), ('benches', 'bench'), ('bikes', 'bicycle'), ('an apple', NULL), ('the puppy', 'dog')) x(said, class)""",
+    f"""WITH k AS (SELECT * FROM (VALUES {_LABEL_ROWS}) AS x(phrase, label, alias)), q AS (SELECT conv_id, turn, [w FOR w IN regexp_split_to_array(lower(text || ' did you see ' || {_OBJECTS!r}[(conv_id * 5 + turn) % {len(_OBJECTS)} + 1]), '[^\\p{{L}}\\p{{N}}]+') IF w <> ''] AS w FROM conversations),
+c AS (SELECT conv_id, turn, 0 AS kind, unnest(range(1, len(w))) AS i, w FROM q UNION ALL SELECT conv_id, turn, 1, unnest(range(1, len(w) + 1)), w FROM q),
+b AS (SELECT conv_id, turn, kind, i, trim(regexp_replace(CASE kind WHEN 0 THEN w[i] || ' ' || w[i + 1] ELSE w[i] END, '^(a|an|the) ', '')) AS p FROM c),
+l AS (SELECT b.*, coalesce(k.label, CASE WHEN p LIKE '%es' THEN e.label END, CASE WHEN p LIKE '%s' THEN s.label END) AS label FROM b LEFT JOIN k ON k.phrase = p LEFT JOIN k e ON e.alias = 0 AND e.phrase || 'es' = p LEFT JOIN k s ON s.alias = 0 AND s.phrase || 's' = p),
+f AS (SELECT conv_id, turn, arg_min(label, (kind, i)) AS class FROM l WHERE label IS NOT NULL GROUP BY conv_id, turn)
+SELECT q.conv_id, q.turn, f.class FROM q LEFT JOIN f ON f.conv_id = q.conv_id AND f.turn = q.turn""",
 )
 def object_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.createDataFrame([(x,) for x in ["the cars", "a bus", "buses", "People", "benches", "bikes", "an apple", "the puppy"]], "said string")
-    return said.select("said", object_class(F.col("said")).alias("class"))
+    """What each turn, with a question about things seen, asks for."""
+    phrase = F.element_at(F.array(*(F.lit(x) for x in _OBJECTS)), ((F.col("conv_id") * 5 + F.col("turn")) % len(_OBJECTS) + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", object_in_question(F.concat("text", F.lit(" did you see "), phrase)).alias("class"))
 
 
 @query(
@@ -111,6 +190,6 @@ def cleaned_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.btrim(t, F.lit(" \n")).cast("binary")).alias("cleaned"))
 
 
-@query("rounded_scores", f"WITH {SIGHTINGS_SQL} SELECT event_id, round(value / 7, 4) AS score FROM s WHERE event_id % 9 = 0")
+@query("rounded_scores", f"WITH {SIGHTINGS_SQL} SELECT event_id, round(value / 7, 4) AS score FROM s")
 def rounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sightings(spark, sf_dir).where("event_id % 9 = 0").select("event_id", F.round(F.col("value") / 7, 4).alias("score"))
+    return sightings(spark, sf_dir).select("event_id", F.round(F.col("value") / 7, 4).alias("score"))
