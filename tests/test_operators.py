@@ -149,3 +149,46 @@ def test_spans_of_random_streams_like_a_fold(spark):
     assert sorted(map(tuple, status_intervals(df, "stream", "session", "n").collect()), key=repr) == folded(True)
     assert [r for r in folded(False) if r[0] >= 90] == [(90, 0, 0, 20, 2), (90, 0, 20, 30, 1), (91, 0, 0, 30, 1), (92, 0, 10, 20, 1)]
     assert not timeline_spans(df.limit(0), "stream", "session", "n").collect()
+
+
+def test_named_clusters_like_edges_in_order(spark):
+    import random
+
+    from tracewright.operators.graphs import named_clusters
+
+    for seed, n, m, kinds, steps in [(1, 40, 60, 3, 5), (2, 200, 300, 30, 1000), (3, 300, 290, 2, 2), (4, 60, 500, 60, 50), (5, 80, 79, 4, 0)]:
+        draw = random.Random(seed)
+        edges = [(draw.randrange(n), draw.randrange(n), float(draw.randrange(steps))) for _ in range(m)] if steps else [(i, i + 1, float(i)) for i in range(m)]  # the last is one chain
+        names = [(i, f"n{draw.randrange(kinds)}") for i in range(n + 3) if draw.random() < 0.2]
+        root, name = list(range(n + 3)), {}
+        for i, x in names:
+            name[i] = min(x, name.get(i, x))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for _, a, b in sorted((d, min(a, b), max(a, b)) for a, b, d in edges):
+            x, y = sorted((find(a), find(b)))
+            if x != y and (name.get(x) is None or name.get(y) is None or name[x] == name[y]):
+                root[y] = x
+                if x in name or y in name:
+                    name[x] = name.get(x) or name[y]
+        wanted = {i: (find(i), name.get(find(i))) for i in {*(x for a, b, _ in edges if a != b for x in (a, b)), *(i for i, _ in names)}}
+        made = named_clusters(spark.createDataFrame([*edges, (None, 1, 0.0), *edges[:5]], "a int, b int, distance double"), spark.createDataFrame(names, "id int, name string"))
+        assert {r.id: (r.cluster, r.name) for r in made.collect()} == wanted
+    none = spark.createDataFrame([], "a int, b int, distance double")
+    assert not named_clusters(none, spark.createDataFrame([], "id int, name string")).collect()
+
+
+def test_quality_ladders(spark):
+    from tracewright.plans.detections import face_quality, plate_quality
+
+    c = F.col
+    plates = [(0.4, 0.9, 40.0, 7, "reject"), (0.9, 0.2, 40.0, 7, "reject"), (0.9, 0.9, 40.0, 3, "reject"), (0.9, 0.9, 10.0, 7, "reject"), (0.9, 0.6, 40.0, 7, "attach_only"), (0.9, 0.9, 40.0, 7, "mint"), (0.5, 0.8, 24.0, 4, "mint")]
+    df = spark.createDataFrame(plates, "det double, conf double, px double, len int, want string")
+    assert all(r.got == r.want for r in df.select("want", plate_quality(c("det"), c("conf"), c("px"), c("len"), (0.5, 0.4, 0.8, 24.0, 4)).alias("got")).collect())
+    faces = [(0.5, 200.0, 90.0, "reject"), (0.9, 50.0, 90.0, "reject"), (0.9, 200.0, 20.0, "reject"), (0.7, 200.0, 90.0, "attach_only"), (0.9, 100.0, 90.0, "attach_only"), (0.9, 200.0, 40.0, "attach_only"), (0.9, 120.0, 45.0, "mint")]
+    df = spark.createDataFrame(faces, "det double, px double, sharp double, want string")
+    assert all(r.got == r.want for r in df.select("want", face_quality(c("det"), c("px"), c("sharp"), (0.6, 80.0, 30.0)).alias("got")).collect())

@@ -8,8 +8,8 @@ import numpy as np
 
 from tracewright.catalog import QUERIES
 from tracewright.functions.timeq import HOUR, SECOND
-from tracewright.plans import alerts, detections, evaluation, footage, matching, presence, relations
-from tracewright.sources.driver_tables import read, sightings, vectors
+from tracewright.plans import alerts, detections, evaluation, footage, presence, relations
+from tracewright.sources.driver_tables import read, sightings
 from tracewright.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ def by(items, key):
 
 
 def test_journeys_and_adjacency(spark):
-    journeys, steps = [], Counter()
+    journeys, steps = [], defaultdict(list)
     for subject, own in by(presence.visits(spark, SF).collect(), lambda r: r.subject).items():
         made = []
         for r in sorted(own, key=lambda r: (r.start_ns, r.end_ns, r.device)):
@@ -40,9 +40,9 @@ def test_journeys_and_adjacency(spark):
         for j in made:
             if len({h[0] for h in j}) > 1:
                 journeys.append((subject, j[0][1], j[-1][2], ">".join(h[0] for h in j)))
-                steps.update((a[0], b[0]) for a, b in itertools.pairwise(j))
+                [steps[a[0], b[0]].append(b[1] - a[2]) for a, b in itertools.pairwise(j)]
     assert journeys and rows(spark, "journeys") == Counter(journeys)
-    assert rows(spark, "camera_adjacency") == Counter((a, b, n) for (a, b), n in steps.items())
+    assert rows(spark, "camera_adjacency") == Counter((*k, len(gaps), min(gaps), max(gaps)) for k, gaps in steps.items())
 
 
 def test_cooldowns(spark):
@@ -141,26 +141,36 @@ def test_boxes_levels_and_faces(spark):
                     level, calm = level - 1, 0
             levels[(k[0], k[2], level)] += 1
     assert rows(spark, "load_levels") == levels
-    faces = Counter()
-    unknown = vectors(spark, SF).where("identity is null").orderBy("vec_id").collect()
-    for segment, own in by(unknown, lambda r: r.vec_id // (7 * matching.SAME_SEGMENT)).items():
-        minted = []
-        for r in own:
-            x = np.array(r.embedding, float)
-            x /= np.linalg.norm(x)
-            near = min(((1 - float(x @ y), i) for i, y in minted), default=(2.0, -1))
-            if near[0] > matching.FACE:
-                minted.append((r.vec_id, x))
-            faces[(segment, r.vec_id, near[1] if near[0] <= matching.FACE else r.vec_id)] += 1
-    assert rows(spark, "face_assignments") == faces
 
 
 def test_speaker_assignment(spark):
-    cells = {(r.truth, r.found): r.shared for r in evaluation.contingency(spark, SF).collect()}
-    truths, founds = sorted({k[0] for k in cells}), sorted({k[1] for k in cells})
-    best = max(sum(cells.get((t, f), 0) for t, f in zip(truths, p, strict=False)) for p in itertools.permutations(founds, min(len(truths), len(founds)))) if len(truths) <= len(founds) else max(sum(cells.get((t, f), 0) for t, f in zip(p, founds, strict=False)) for p in itertools.permutations(truths, len(founds)))
-    got = QUERIES["speaker_assignment"](spark, SF).collect()
-    assert sum(r.shared for r in got) == best and len({r.truth for r in got}) == len({r.found for r in got}) == len(got)
+    weeks = defaultdict(Counter)
+    for r in sightings(spark, SF).collect():
+        weeks[r.start_ns // (7 * 24 * HOUR)][r.device, r.subject % 6] += r.end_ns - r.start_ns
+    got = by(QUERIES["speaker_assignment"](spark, SF).collect(), lambda r: r.week)
+    assert len(weeks) > 2 and set(got) == set(weeks)
+    for week, cells in weeks.items():
+        sides = sorted({k[0] for k in cells}), sorted({k[1] for k in cells})
+        few, many = sorted(sides, key=len)
+        shared = lambda a, b: cells.get((a, b) if few is sides[0] else (b, a), 0)  # noqa: B023, E731
+        best = max(sum(shared(a, b) for a, b in zip(few, p, strict=True)) for p in itertools.permutations(many, len(few)))
+        own = got[week]
+        assert sum(r.shared for r in own) == best and len({r.truth for r in own}) == len({r.found for r in own}) == len(own) == len(few)
+        assert all(cells.get((r.truth, r.found), 0) == r.shared for r in own)
+
+
+def test_best_assignment_of_many():
+    draw = np.random.default_rng(0)
+    for n, m in [(1, 1), (1, 5), (5, 1), (4, 6), (6, 4), (7, 7)]:
+        gain = draw.integers(0, 9, (n, m))
+        found = evaluation.best_assignment(gain)
+        small = gain if n <= m else gain.T
+        assert sum(gain[r, c] for r, c in found) == max(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(max(n, m)), min(n, m)))
+        assert len({r for r, _ in found}) == len({c for _, c in found}) == min(n, m)
+    planted = draw.permutation(60)
+    gain = draw.random((60, 60))
+    gain[np.arange(60), planted] += 5
+    assert sorted(evaluation.best_assignment(gain)) == [(i, int(j)) for i, j in enumerate(planted)]
 
 
 def test_recluster(spark):

@@ -9,29 +9,22 @@ by row, since the span after it may end before the one in front; many runs go th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.operators.folds import folded
+
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``span`` to rows sorted by run, whose last columns are ``run``, the start and the duration."""
-    run, end, span = None, 0, 0
-    for batch in batches:
-        out = []
-        for key, start, length in zip(zip(*(batch.column(c).to_pylist() for c in ("stream", "session", "run")), strict=True), batch.column("start_ns").to_pylist(), batch.column("duration_ns").to_pylist(), strict=True):
-            if key != run:
-                run, end, span = key, start + length, 0
-            elif abs(start - end) > length:
-                end, span = start + length, span + 1
-            else:
-                end = max(end, start + length)
-            out.append(span)
-        yield batch.append_column("span", pa.array(out, pa.int64()))
+def _step(state: tuple[int, int] | None, start: int, length: int) -> tuple[tuple[int, int], int]:
+    """The end and number of the span that a row belongs to."""
+    if state is None:
+        return (start + length, 0), 0
+    end, span = state
+    if abs(start - end) > length:
+        return (start + length, span + 1), span + 1
+    return (max(end, start + length), span), span
 
 
 def _spans(segments: DataFrame, stream: str, session: str, sequence: str, changed: Column, *more: Column) -> DataFrame:
@@ -46,9 +39,8 @@ def _spans(segments: DataFrame, stream: str, session: str, sequence: str, change
     inner = F.max(end).over(own.orderBy("place").rowsBetween(W.unboundedPreceding, -1))
     far = F.coalesce(F.abs(F.col("start_ns") - inner) > F.col("duration_ns"), F.lit(False))
     runs = runs.withColumn("far", far).withColumn("folded", F.max("far").over(own)).drop("sure", "far")
-    kind = T.StructType([*runs.schema.fields, T.StructField("span", T.LongType())])
-    sorted_runs = runs.where("folded").repartition("stream", "session", "run").sortWithinPartitions("stream", "session", "run", "place")
-    numbered = runs.where("not folded").withColumn("span", F.lit(0).cast("long")).unionByName(sorted_runs.mapInArrow(_numbered, kind))
+    split = folded(runs.where("folded"), ["stream", "session", "run"], ["place"], ["start_ns", "duration_ns"], "span", T.LongType(), _step)
+    numbered = runs.where("not folded").withColumn("span", F.lit(0).cast("long")).unionByName(split)
     ends = F.min_by("start_ns", "place").alias("start_ns"), F.max(end).alias("end_ns"), F.count(F.lit(1)).alias("segments")
     return numbered.groupBy("stream", "session", "run", "span").agg(*ends, *more).drop("run", "span")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions.text import severity_rank
 from tracewright.functions.timeq import HOUR, SECOND, floor_div, hour_of_day, weekday_sunday
+from tracewright.operators.folds import folded
 from tracewright.registry import query
 from tracewright.sources.driver_tables import SIGHTINGS_SQL, sightings
 
@@ -82,23 +83,28 @@ def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(events(spark, sf_dir), rules(spark)).select("rule", "event_id", "subject")
 
 
-@query("alert_cooldown")
-def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries after the cooldown of each rule and subject: a fold, since each delivery restarts the clock. After a
-    silence of the cooldown's length the next match is sent for certain, so matches are cut there and folded between."""
+def _cooled(last: int | None, start: int, cooldown: int) -> tuple[int, bool]:
+    """The time of the last delivery, and whether this match is one."""
+    return (start, True) if last is None or start - last >= cooldown * SECOND else (last, False)
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sent, last = [], None
-        for r in rows.sort_values(["start_ns", "event_id"]).itertuples(index=False):
-            if last is None or r.start_ns - last >= r.cooldown * SECOND:
-                sent.append((*key[:2], r.event_id))
-                last = r.start_ns
-        return pd.DataFrame(sent, columns=["rule", "subject", "event_id"])
 
+@query(
+    "alert_cooldown",
+    f"""WITH RECURSIVE {_MATCH_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY rule, subject ORDER BY start_ns, event_id) AS k FROM h),
+f AS (SELECT rule, subject, event_id, k, start_ns AS last, TRUE AS sent FROM n WHERE k = 1
+  UNION ALL SELECT n.rule, n.subject, n.event_id, n.k, CASE WHEN n.start_ns - f.last >= CAST(n.cooldown AS BIGINT) * {SECOND} THEN n.start_ns ELSE f.last END, n.start_ns - f.last >= CAST(n.cooldown AS BIGINT) * {SECOND}
+  FROM f JOIN n ON n.rule = f.rule AND n.subject = f.subject AND n.k = f.k + 1) SELECT rule, subject, event_id FROM f WHERE sent""",
+)
+def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries after the cooldown of each rule and subject: a fold, since each delivery restarts the clock. After a
+    silence of the cooldown's length the next match is sent for certain, so matches are cut there; only those that come
+    sooner make runs to be folded."""
     w = W.partitionBy("rule", "subject").orderBy("start_ns", "event_id")
     quiet = F.coalesce(F.col("start_ns") - F.lag("start_ns").over(w) >= F.col("cooldown").cast("long") * SECOND, F.lit(True)).cast("long")
     cut = matches(events(spark, sf_dir), rules(spark)).withColumn("quiet", quiet).withColumn("run", F.sum("quiet").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return cut.groupBy("rule", "subject", "run").applyInPandas(fold, "rule int, subject long, event_id long")
+    cut = cut.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("rule", "subject", "run")))
+    sent = folded(cut.where("n > 1"), ["rule", "subject", "run"], ["start_ns", "event_id"], ["start_ns", "cooldown"], "sent", T.BooleanType(), _cooled).where("sent")
+    return cut.where("n = 1").unionByName(sent.drop("sent")).select("rule", "subject", "event_id")
 
 
 @query("alert_first_of_day", f"WITH {_MATCH_SQL} SELECT rule, subject, start_ns // {24 * HOUR} AS day, arg_min(event_id, (start_ns, event_id)) AS event_id FROM h GROUP BY 1, 2, 3")

@@ -92,9 +92,9 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("session", "sequence", (F.col("start_ns") + F.coalesce(F.when(part % 4 != 0, part * 1_000_000), F.lit(0))).alias("at_ns"), label.alias("label"), kind.alias("kind"))
 
 
-@query("detection_instants", f"WITH {_FRAMES} SELECT * FROM d WHERE session % 5 = 0")
+@query("detection_instants", f"WITH {_FRAMES} SELECT * FROM d")
 def detection_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frames(spark, sf_dir).where("session % 5 = 0")
+    return _frames(spark, sf_dir)
 
 
 @query("frames", f"WITH {_FRAMES} SELECT session, at_ns, count(*) AS n, string_agg(kind || ':' || coalesce(label, '-'), ',' ORDER BY kind, coalesce(label, '-')) AS shown FROM d GROUP BY session, at_ns")
@@ -124,14 +124,35 @@ def hint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sightings(spark, sf_dir).select("event_id", decision.alias("decision"))
 
 
+#: Gates of faces (detector score, smaller side, sharpness) and of plates (detector score, reading confidence and that for a new plate, side, signs).
+FACE_GATES, PLATE_GATES = (0.2, 13.0, 8.0), (0.1, 0.3, 0.7, 12.0, 4)
+
+
+def face_quality(score, side, sharpness, gates=FACE_GATES):
+    """A face below a gate is rejected; one well above all of them may found an identity, the rest may only be attached."""
+    least_score, least_side, least_sharp = gates
+    sure = (score >= min(least_score + 0.2, 0.95)) & (side >= least_side * 1.5) & (sharpness >= least_sharp * 1.5)
+    return F.when((score < least_score) | (side < least_side) | (sharpness < least_sharp), "reject").when(sure, "mint").otherwise("attach_only")
+
+
+def plate_quality(score, confidence, side, signs, gates=PLATE_GATES):
+    """A read below a gate is rejected; one that is read with confidence may found a plate, the rest may only be attached."""
+    least_score, least_read, sure_read, least_side, least_signs = gates
+    poor = (score < least_score) | (confidence < least_read) | (side < least_side) | (signs < least_signs)
+    return F.when(poor, "reject").when(confidence >= sure_read, "mint").otherwise("attach_only")
+
+
 @query(
     "detection_quality",
-    f"""WITH {_BOX} SELECT frame, box, CASE WHEN least(w, h) < 12 OR score < 5000 THEN 'reject' WHEN least(w, h) < 18 OR score < 20000 THEN 'attach_only' ELSE 'mint' END AS quality FROM bx""",
+    f"""WITH {_BOX}, q AS (SELECT frame, box, score / 100000 AS score, least(w, h) AS side, (w * h) % 37 AS sharp, frame * 7 % 10 / 10 AS conf, frame % 9 AS signs FROM bx)
+SELECT frame, box, CASE WHEN score < 0.2 OR side < 13 OR sharp < 8 THEN 'reject' WHEN score >= 0.4 AND side >= 19.5 AND sharp >= 12 THEN 'mint' ELSE 'attach_only' END AS face,
+  CASE WHEN score < 0.1 OR conf < 0.3 OR side < 12 OR signs < 4 THEN 'reject' WHEN conf >= 0.7 THEN 'mint' ELSE 'attach_only' END AS plate FROM q""",
 )
 def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ladder of the smaller side and the score."""
-    side, score = F.least("w", "h"), F.col("score")
-    return boxes(spark, sf_dir).select("frame", "box", F.when((side < 12) | (score < 5000), "reject").when((side < 18) | (score < 20000), "attach_only").otherwise("mint").alias("quality"))
+    """Each box by both ladders."""
+    score, side, sharp = F.col("score") / 100_000, F.least("w", "h"), (F.col("w") * F.col("h")) % 37
+    plate = plate_quality(score, F.col("frame") * 7 % 10 / 10, side, F.col("frame") % 9)
+    return boxes(spark, sf_dir).select("frame", "box", face_quality(score, side, sharp).alias("face"), plate.alias("plate"))
 
 
 @query(

@@ -84,24 +84,24 @@ def lane_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(b).select(F.lit("both").alias("kind"), "subject").unionByName(a.subtract(b).select(F.lit("only_error").alias("kind"), "subject"))
 
 
-@query("names_of_ids", f"WITH {SIGHTINGS_SQL} SELECT event_id, c_name AS name FROM s LEFT JOIN customer ON c_custkey = subject WHERE event_id % 4 = 0")
+@query("names_of_ids", f"WITH {SIGHTINGS_SQL} SELECT event_id, c_name AS name FROM s LEFT JOIN customer ON c_custkey = subject")
 def names_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by id; Spark broadcasts the names if they are few."""
     names = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_name").alias("name"))
-    return sightings(spark, sf_dir).where("event_id % 4 = 0").join(names, "subject", "left").select("event_id", "name")
+    return sightings(spark, sf_dir).join(names, "subject", "left").select("event_id", "name")
 
 
 @query(
     "enriched_sources",
     f"""WITH {SEGMENTS_SQL}, p AS (SELECT session, list(DISTINCT device ORDER BY device)[1:3] AS persons, list(DISTINCT part ORDER BY part)[1:3] AS objects, list(DISTINCT media_type ORDER BY media_type)[1:2] AS plates FROM g GROUP BY session)
-SELECT o_orderkey AS session, 'persons: ' || coalesce(array_to_string(persons, ', '), '') || '; objects: ' || coalesce(array_to_string(objects, ', '), '') || '; plates: ' || coalesce(array_to_string(plates, ', '), '') AS seen FROM orders LEFT JOIN p ON session = o_orderkey WHERE o_orderkey % 3 = 0""",
+SELECT o_orderkey AS session, 'persons: ' || coalesce(array_to_string(persons, ', '), '') || '; objects: ' || coalesce(array_to_string(objects, ', '), '') || '; plates: ' || coalesce(array_to_string(plates, ', '), '') AS seen FROM orders LEFT JOIN p ON session = o_orderkey""",
 )
 def enriched_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was seen in each source's segment: at most three persons, three objects and two plates."""
     few = lambda c, k: F.slice(F.array_sort(F.collect_set(c)), 1, k).cast("array<string>").alias(c)
     seen = segments(spark, sf_dir).groupBy("session").agg(few("device", 3), few("part", 3), few("media_type", 2))
     listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
-    sources = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("session"))
+    sources = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session"))
     return sources.join(seen, "session", "left").select("session", F.concat(F.lit("persons: "), listed("device"), F.lit("; objects: "), listed("part"), F.lit("; plates: "), listed("media_type")).alias("seen"))
 
 
