@@ -480,6 +480,19 @@ def test_wrapped_licences_and_tags(spark):
     assert got == {1: ("MIT", 0), 2: ("GPL-3.0", 0), 3: ("AGPL-3.0", 0), 4: ("Apache-2.0 OR MIT", 0), 5: ("GPL-2.0-only WITH Classpath-exception-2.0", 0), 6: ("MIT", 0)}
 
 
+def test_more_licences(spark):
+    said = {
+        'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.': "MPL-2.0",
+        "Released under the ISC License.": "ISC", "Licensed under the Artistic License 2.0": "Artistic", "Dual licensed under the MIT and GPL licenses.": "GPL,MIT", "Licensed under the MIT or Apache License, Version 2.0": "Apache-2.0,MIT",
+        "Distributed under the University of Illinois/NCSA Open Source License.": "NCSA", "Licensed under the WTFPL": "WTFPL", "Licensed under 0BSD": "0BSD", "This is not licensed under the MIT license": "",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND.": "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears.": "ISC",
+        "It is no longer released under the GPL v2, but licensed under the MIT License": "",
+    }
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs(spark, list(enumerate(said)))).collect()}
+    assert got == dict(enumerate(said.values()))
+
+
 def test_licences_named_without_an_anchor(spark):
     said = {
         "Released under the GPL v3": "gpl3Ref", "Distributed under the LGPL": "lgplRef", "Available under GNU GPL version 2.": "gpl2Ref", "Covered under AGPL v3": "agpl3Ref",

@@ -23,6 +23,9 @@ WRAPPED = 40
 #: letters and digits with single spaces between). The first pattern that matches names the sentence.
 SENTENCES = [
     ("spdxTag", r".*spdx licen[cs]e identifier .*"),
+    ("negated", r"(.* )?(not|never|no longer) (be )?(licensed|released|distributed|available|covered) under .*"),
+    ("dualMitGpl", r"(.* )?(dual )?licensed under (the )?(terms of )?(the )?(mit (license )?(and|or) (the )?(gnu )?gpl|(gnu )?gpl (license )?(and|or) (the )?mit)( (version |v)?[23])?( licen[cs]es?)?"),
+    ("dualMitApache2", r"(.* )?(dual )?licensed under (the )?(terms of )?((both )?(the )?mit (license )?(and|or) (the )?apache (license )?(version )?2 0|(both )?(the )?apache (license )?(version )?2 0 (license )?(and|or) (the )?mit)( licen[cs]es?)?"),
     ("apache2Ref", r"(.* )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?apache (software )?license(,)? (version )?2( 0)?( the license)?"),
     ("apacheLimits", r"you may not use this (file|work|software) except in compliance with the license"),
     ("apacheCopy", r"you may obtain a copy of the license at.*"),
@@ -32,7 +35,13 @@ SENTENCES = [
     ("mitTitle", r"(the )?mit license( mit)?"),
     ("mitGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software.*"),
     ("mitNotice", r"the above copyright notice and this permission notice.* shall be included in all copies or substantial portions of the software"),
-    ("iscGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("iscGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that.*"),
+    ("zeroBsdGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("iscRef", r"(.* )?(licensed|released|distributed|available|covered) under (the )?(terms of )?(the )?isc license"),
+    ("zeroBsdRef", r"(.* )?(licensed|released|distributed|available|covered) under (the )?(terms of )?(the )?(0bsd|0 clause bsd|zero clause bsd)( license)?"),
+    ("artisticRef", r"(.* )?under (the )?(terms of )?(the )?(perl )?artistic license( (version )?2 0)?( .*)?"),
+    ("ncsaRef", r"(.* )?under (the )?(terms of )?(the )?(university of illinois )?ncsa open source license( .*)?"),
+    ("wtfplRef", r"(.* )?under (the )?(terms of )?(the )?(wtfpl|do what the fuck you want to public license)( .*)?"),
     ("asIsNoWarranty", r"the software is provided as is without warranty of any kind.*"),
     ("noLiability", r"in no event shall the (authors or copyright holders|copyright (holder|owner)s? or contributors|author) be liable.*"),
     ("bsdRef", r"(.* )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?(new |simplified |modified |[234] clause )*bsd( [234] clause)? license"),
@@ -56,7 +65,7 @@ SENTENCES = [
     ("apacheTitle", r"apache license( version 2 0)?( january 2004)?"),
     ("gplHope", r"(.* )?distributed in the hope that it will be useful but without any warranty.*"),
     ("gplCopy", r"you should have received a copy of the gnu (affero |lesser )?general public license.*"),
-    ("mplRef", r"(.* )?subject to the terms of the mozilla public license v(ersion)? ?( )?2 0"),
+    ("mplRef", r"(.* )?subject to the terms of the mozilla public license v(ersion)? ?( )?2 0( if a copy of the mpl was not distributed with this file.*)?"),
     ("mplName", r"(.* )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?mozilla public license (version |v )?2 0"),
     ("ccByNcNd", r"(.* )?licensed under (a |the )?(creative commons|cc) (attribution noncommercial noderiv(ative)?s|by nc nd) [1-4] [05]( international)?( license)?"),
     ("ccByNcSa", r"(.* )?licensed under (a |the )?(creative commons|cc) (attribution noncommercial sharealike|by nc sa) [1-4] [05]( international)?( license)?"),
@@ -78,6 +87,9 @@ RULES = [
     ("MIT", ["mitGrant", "mitNotice", "asIsNoWarranty"]),
     ("MIT", ["mitGrant", "mitNotice"]),
     ("ISC", ["iscGrant", "asIsNoWarranty"]),
+    ("ISC", ["iscGrant"]),
+    ("0BSD", ["zeroBsdGrant", "asIsNoWarranty"]),
+    ("0BSD", ["zeroBsdGrant"]),
     ("BSD-3-Clause", ["bsdGrant", "bsdSource", "bsdBinary", "bsdNoEndorse", "bsdAsIs"]),
     ("BSD-3-Clause", ["bsdGrant", "bsdSource", "bsdBinary", "bsdNoEndorse"]),
     ("BSD-2-Clause", ["bsdGrant", "bsdSource", "bsdBinary", "bsdAsIs"]),
@@ -88,6 +100,13 @@ RULES = [
     ("Apache-2.0", ["apacheLimits", "apacheCopy", "apacheAsIs"]),
     ("Apache-2.0", ["apache2Ref"]),
     ("Apache-2.0", ["apacheTitle"]),
+    ("GPL==MIT", ["dualMitGpl"]),  # two licences
+    ("Apache-2.0==MIT", ["dualMitApache2"]),
+    ("ISC", ["iscRef"]),
+    ("0BSD", ["zeroBsdRef"]),
+    ("Artistic", ["artisticRef"]),
+    ("NCSA", ["ncsaRef"]),
+    ("WTFPL", ["wtfplRef"]),
     ("MIT", ["mitRef"]),
     ("MIT", ["mitTitle"]),
     ("BSD", ["bsdRef"]),
@@ -132,7 +151,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.when(F.lower(text).rlike(FILTER.replace(" ", "[^a-z0-9]+")), text).otherwise("").alias("text"))
-    lines = F.split(F.regexp_replace("text", r"([.!?])[ \t\r]+", "$1\n"), "\n")
+    # The stop of a "v." before a number ends no sentence.
+    lines = F.split(F.regexp_replace(F.regexp_replace("text", r"([Vv])\.[ \t]*([0-9])", "$1 $2"), r"([.!?])[ \t\r]+", "$1\n"), "\n")
 
     def named(s, last: int):
         out = F.lit(None).cast("string")
@@ -166,7 +186,7 @@ def _sql() -> str:
     case = lambda last: f"CASE WHEN NOT regexp_matches(s, '{FILTER}') THEN NULL " + " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SENTENCES[:last]) + " END"
     return f"""
 WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{FILTER.replace(" ", "[^a-z0-9]+")}') THEN text ELSE '' END AS text FROM documents),
-w AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)),
+w AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(regexp_replace(text, '([Vv])\\.[ \\t]*([0-9])', '\\1 \\2', 'g'), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)),
   lambda s: {{'s': trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), 'e': CASE WHEN regexp_matches(s, '[.!?:;][ \\t\\r]*$') OR length(s) < {WRAPPED} THEN chr(10) ELSE ' ' END}}) AS plain FROM t),
 o AS (SELECT doc_id, text, list_transform(plain, lambda x: x.s) AS s, list_transform(plain, lambda x: x.s || x.e) AS x FROM w),
 n AS (SELECT doc_id, text, x, list_transform(s, lambda s: {case(-1)}) AS own FROM o),
