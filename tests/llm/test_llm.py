@@ -578,3 +578,44 @@ def test_pipeline_stages(spark, table):
     assert got == {r.doc_id for r in kept.select("doc_id").collect()}
     assert len({re.sub(r"\s", "", r.text) for r in kept.collect()}) == kept.count()
     assert corpus_pipeline.STAGES[0][1](spark, docs(spark, [(1, None), (2, "12")]).select(table.columns), SF).count() == 0
+
+
+def test_pipeline_like_brute_force(spark, table):
+    """What language ID keeps, then equal texts, all pairs of texts and every token counted plainly."""
+    kept = corpus_pipeline.STAGES[0][1](spark, table, SF).collect()
+    groups = defaultdict(list)
+    for r in kept:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r.text or "")].append(r)
+    kept = sorted((min(own, key=lambda r: (-len(r.text or ""), r.doc_id)) for own in groups.values()), key=lambda r: r.doc_id)
+    read = []
+    for r in kept:
+        hashed = order_minhash.words(r.text or "")
+        read.append((hashed, np.sort(order_minhash.labelled(order_minhash.shingles(hashed)))))
+    root = list(range(len(kept)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(read):
+        for j in range(i):
+            if order_minhash.near(a, read[j][0], x, read[j][1]):
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
+    kept = [r for i, r in enumerate(kept) if find(i) == i]
+    encoder = WordIds(packing.default_tokenizer()).tokenizer
+    want = {r.doc_id: len(encoder.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in kept}
+    pieces, ends = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert r.doc_tokens == want[r.doc_id]
+        pieces[r.doc_id].append((r.start, r.length))
+        ends[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(want)
+    for own, total in [*((pieces[i], want[i]) for i in want), *((own, sum(n for _, n in own)) for own in ends.values())]:
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at == total
+    assert all(sum(n for _, n in own) <= packing.SEQUENCE for own in ends.values())
