@@ -60,7 +60,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mix), ("packing", pack)]
 
-#: Language ID and packing have no SQL; the tests compare the stages with brute force.
+#: Language ID and packing have no SQL; a test follows what language ID keeps through the other stages by brute force.
 ORACLE_SQL = None
 
 
