@@ -64,7 +64,7 @@ def crowd(seed, n, m, dim=6, centres=8, spread=0.5):
 
 
 @pytest.mark.parametrize("seed,n,m,first,at_once,listed,rules", [
-    (1, 250, 60, 4_096, 200_000, None, Minting()), (2, 60, 0, 20, 0, 2, Minting(neighbours=4)), (3, 200, 30, 50, 300, 3, Minting(neighbours=3, ceiling=0.3, match=0.2, attach=0.35)), (4, 1, 0, 10, 0, None, Minting()),
+    (1, 250, 60, 4_096, 200_000, None, Minting()), (2, 36, 0, 12, 0, 2, Minting(neighbours=4)), (3, 200, 30, 50, 300, 3, Minting(neighbours=3, ceiling=0.3, match=0.2, attach=0.35)), (4, 1, 0, 10, 0, None, Minting()),
 ])
 def test_match_or_mint_like_one_after_the_other(spark, seed, n, m, first, at_once, listed, rules):
     new, known = crowd(seed, n, m)
