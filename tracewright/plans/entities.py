@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.timeq import DAY, HOUR
+from tracewright.operators.meetings import least_of, shared_cells
+from tracewright.operators.scratch import written
 from tracewright.plans.presence import _VISITS_SQL, visits
 from tracewright.plans.relations import _GRAPH_SQL, customer_graph
 from tracewright.registry import query
@@ -19,11 +25,43 @@ _BIND = f"""{SIGHTINGS_SQL}, q AS (SELECT subject, device, start_ns // (12 * {HO
 n AS (SELECT subject, count(*) AS n FROM q GROUP BY subject), b AS (SELECT voice, face, shared, CASE WHEN shared >= 3 THEN round(shared / n.n, 4) END AS confidence, CASE shared % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'proposed' ELSE 'rejected' END AS status FROM o JOIN n ON n.subject = voice)"""
 
 
-def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = sightings(spark, sf_dir).select("subject", "device", F.expr(f"start_ns div {12 * HOUR}").alias("cell")).distinct()
-    a, b = q.where("subject % 2 = 1").withColumnRenamed("subject", "voice"), q.where("subject % 2 = 0").withColumnRenamed("subject", "face")
-    o = a.join(b, ["device", "cell"]).groupBy("voice", "face").agg(F.count(F.lit(1)).alias("shared"))
-    o = o.join(q.groupBy(F.col("subject").alias("voice")).agg(F.count(F.lit(1)).alias("n")), "voice")
+def _pairs_kept(keep: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None) -> Callable[..., dict]:
+    def fold(x: np.ndarray, y: np.ndarray, n: np.ndarray, shared: np.ndarray) -> dict:
+        i, j = np.nonzero(shared)
+        made = x[i], y[j], n[i], shared[i, j].astype(np.int64)
+        at = slice(None) if keep is None else keep(*made)
+        return dict(zip(("voice", "face", "n", "shared"), (c[at] for c in made), strict=True))
+
+    return fold
+
+
+def _confidence(shared: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """As ``bindings`` has it, -1 for none: half up by the decimal digits of the share."""
+    both, at = np.unique(np.stack([shared, n]), axis=1, return_inverse=True)
+    told = [float(Decimal(repr(int(s) / int(k))).quantize(Decimal("0.0001"), ROUND_HALF_UP)) if s >= 3 else -1.0 for s, k in both.T]
+    return np.array(told)[at.reshape(-1)]
+
+
+def _surest(most: int) -> Callable[..., np.ndarray]:
+    """The ``most`` proposed pairs that come first; what is first of all is first in its block."""
+
+    def keep(voice: np.ndarray, face: np.ndarray, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(shared % 3 == 1)
+        sure = _confidence(shared[at], n[at])
+        if len(at) > most:
+            near = sure >= np.partition(sure, len(at) - most)[len(at) - most]
+            at, sure = at[near], sure[near]
+        return at[np.lexsort((face[at], voice[at], -sure))[:most]]
+
+    return keep
+
+
+def bindings(spark: SparkSession, sf_dir: str, keep: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """All bindings, or of each few voices and block of faces the rows that ``keep(voice, face, n, shared)`` tells.
+
+    Pairs are counted in blocks of voices and faces and not shuffled."""
+    q = written(sightings(spark, sf_dir).select("subject", "device", F.expr(f"start_ns div {12 * HOUR}").alias("cell")).dropna().distinct())
+    o = shared_cells(q.where("subject % 2 = 1"), q.where("subject % 2 = 0"), _pairs_kept(keep), "voice long, face long, n long, shared long")
     status = F.when(F.col("shared") % 3 == 0, "confirmed").when(F.col("shared") % 3 == 1, "proposed").otherwise("rejected")
     return o.select("voice", "face", "shared", F.when(F.col("shared") >= 3, F.round(F.col("shared") / F.col("n"), 4)).alias("confidence"), status.alias("status"))
 
@@ -31,21 +69,23 @@ def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("binding_queue", f"WITH {_BIND} SELECT voice, face, confidence FROM b WHERE status = 'proposed' ORDER BY confidence DESC NULLS LAST, voice, face LIMIT 50")
 def binding_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What waits to be confirmed, the surest first."""
-    return bindings(spark, sf_dir).where("status = 'proposed'").orderBy(F.desc_nulls_last("confidence"), "voice", "face").limit(50).select("voice", "face", "confidence")
+    return bindings(spark, sf_dir, _surest(50)).where("status = 'proposed'").orderBy(F.desc_nulls_last("confidence"), "voice", "face").limit(50).select("voice", "face", "confidence")
 
 
 @query("bound_faces", f"WITH {_BIND} SELECT voice, arg_max(face, (coalesce(confidence, -1), -face)) AS face FROM b WHERE status = 'confirmed' GROUP BY voice")
 def bound_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The confirmed face of each voice, the surest if there are several."""
+    """The confirmed face of each voice, the surest if there are several; of as sure ones the first is kept in each block."""
     best = F.max_by("face", F.struct(F.coalesce("confidence", F.lit(-1.0)).alias("c"), (-F.col("face")).alias("f")))
-    return bindings(spark, sf_dir).where("status = 'confirmed'").groupBy("voice").agg(best.alias("face"))
+    first = bindings(spark, sf_dir, lambda voice, face, n, shared: least_of(1, voice, face, shared))
+    return first.where("status = 'confirmed'").groupBy("voice").agg(best.alias("face"))
 
 
 @query("owner_seed", f"WITH {_BIND} SELECT voice, face, confidence, shared FROM b WHERE status = 'confirmed' AND voice <> 1 UNION ALL SELECT 1, 0, 1.0, 0")
 def owner_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confirmed edges with the owner's, which is given and was never observed."""
     own = spark.createDataFrame([(1, 0, 1.0, 0)], "voice long, face long, confidence double, shared long")
-    return bindings(spark, sf_dir).where("status = 'confirmed' and voice <> 1").select("voice", "face", "confidence", "shared").unionByName(own)
+    confirmed = bindings(spark, sf_dir, lambda voice, face, n, shared: shared % 3 == 0)
+    return confirmed.where("status = 'confirmed' and voice <> 1").select("voice", "face", "confidence", "shared").unionByName(own)
 
 
 @query("entity_page", f"WITH {_GRAPH_SQL} SELECT split_part(b, ':', 1) AS kind, count(*) AS edges, string_agg(b, ',' ORDER BY b) AS nodes FROM bo WHERE a = 'nation:3' GROUP BY 1")
