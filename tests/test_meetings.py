@@ -80,7 +80,7 @@ def test_spans_swept_like_all_pairs(spark, earliest, reach):
 
 
 #: Queries of pairs, of which no join may make a row for each.
-PAIRED = ["bound_faces", "owner_seed"]
+PAIRED = ["bound_faces", "owner_seed", "binding_queue"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
