@@ -80,7 +80,7 @@ def test_spans_swept_like_all_pairs(spark, earliest, reach):
 
 
 #: Queries of pairs, of which no join may make a row for each.
-PAIRED = ["bound_faces", "owner_seed", "binding_queue", "co_present", "binding_confidence", "conversed_with", "first_time_pairs", "nearest_span", "late_attach", "unknown_clusters", "arrived_with_vehicle"]
+PAIRED = ["bound_faces", "owner_seed", "binding_queue", "co_present", "binding_confidence", "conversed_with", "first_time_pairs", "nearest_span", "late_attach", "unknown_clusters", "arrived_with_vehicle", "new_vehicle"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
