@@ -152,3 +152,14 @@ def test_healed_segments_like_edges_in_order(spark):
             if y in name:
                 name[x] = name[y]
     assert Counter(map(tuple, QUERIES["healed_segments"](spark, SF).collect())) == Counter((x, find(x), name.get(find(x))) for x in root)
+
+
+def test_keys_of_several_members_bring_few_sets_together(spark):
+    """Sets of twelve of forty members share single rare ones all the time, but hardly three of their rarest six."""
+    draw = random.Random(4)
+    rows = [(i, draw.sample(range(40), 12)) for i in range(300)]
+    rows += [(1_000 + i, [*items[:11], 99]) for i, items in rows[:40]]
+    got = similar_sets(spark.createDataFrame(rows, "id long, items array<long>"), 0.7)
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and len({*x} & {*y}) >= 0.7 * len({*x} | {*y})}
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) >= 40
+    assert "transform" in got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[1]

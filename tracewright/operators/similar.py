@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Members that a set's key joins; a set makes fewer keys of longer prefixes with fewer.
+TOGETHER = ((5, 3), (9, 2))
+
+
+def _subsets(prefix: Column, level: Column) -> Column:
+    """All choices of ``level`` members of an ordered array, in its order."""
+    after = lambda i: F.slice(prefix, i + 2, F.size(prefix))
+    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(after(i), lambda y: F.array(x, y))))
+    triples = F.flatten(F.transform(prefix, lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.array(x, y, z))))))
+    return F.when(level == 3, triples).when(level == 2, pairs).otherwise(F.transform(prefix, lambda x: F.array(x)))
+
+
 def similar_sets(rows: DataFrame, least: float) -> DataFrame:
     """``a, b, similarity`` (a < b) of ``rows(id, items)`` whose shared members are at least ``least`` of all of both.
 
-    Two such sets share a member among the rarest few of each: of n members, the first n - ceil(least * n) + 1 in the
-    order of how rare they are. Only these are joined, so frequent members bring no pairs together, and what is
-    found is compared in full."""
+    Of two such sets with n members each shares t = ceil(least * n) or more with the other. In the order of how rare
+    members are, the first l shared ones lie among the first n - t + l of each, so both have a key of l members in common.
+    Keys of up to three members bring few sets together that are not alike, where single ones bring all that share a member;
+    each set makes keys of the lengths that sets of the sizes near its own make. What is found is compared in full."""
+    most = lambda n: F.ceil(n * least - 1e-9)
+
+    def level(n: Column) -> Column:
+        free, found = n - most(n), F.lit(1)
+        for spare, members in reversed(TOGETHER):
+            found = F.when(free <= spare, members).otherwise(found)
+        return F.greatest(F.least(found, most(n)), F.lit(1)).cast("int")
+
     keyed = rows.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
     rarity = keyed.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
-    order = W.partitionBy("id").orderBy("f", "item")
-    first = keyed.join(rarity, "item").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    a, b = (first.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), "item") for s in "ab")
-    near = a.join(b, "item").where("a < b").where((F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9)).select("a", "b").distinct()
+    ordered = keyed.join(rarity, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("ordered"))
+    n = F.col("n")
+    levels = F.array_distinct(F.transform(F.sequence(F.greatest(most(n), F.lit(1)), F.greatest(F.floor(n / least + 1e-9), F.lit(1))), level))
+    first = ordered.select("id", "n", F.transform("ordered", lambda r: r["item"]).alias("ordered"), F.explode(levels).alias("level"))
+    first = first.withColumn("prefix", F.slice("ordered", F.lit(1), (n - most(n) + F.col("level")).cast("int")))
+    # Keys that fall together by their hash are told apart below, where sets are compared.
+    first = first.select("id", "n", F.explode(F.transform(_subsets(F.col("prefix"), F.col("level")), lambda k: F.xxhash64(k))).alias("key"))
+    a, b = (first.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), "key") for s in "ab")
+    near = a.join(b, "key").where("a < b").where((F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9)).select("a", "b").distinct()
     x, y = (rows.select(F.col("id").alias(s), F.col("items").alias(f"items_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     sized = near.join(x, "a").join(y, "b").withColumn("shared", shared)
