@@ -53,6 +53,15 @@ def kept_within_margin(df: DataFrame, margin: float) -> DataFrame:
 
 #: Vectors in a block of the products of all queries and rows.
 BLOCK = 4_096
+#: Vectors in a block at most where each is copied for every block, and about as many blocks as give all tasks work.
+LARGE, SPREAD = 32_768, 6
+#: Products that a task has at once.
+PRODUCTS = 4_000_000
+
+
+def block_size(n: int) -> int:
+    """Blocks of n vectors: as few as there is work for, since what is shuffled grows with the square of their number."""
+    return max(BLOCK, min(LARGE, -(-n // SPREAD)))
 
 
 def _matrix(t: pa.Table, c: str) -> np.ndarray:
@@ -60,17 +69,13 @@ def _matrix(t: pa.Table, c: str) -> np.ndarray:
 
 
 def _nearest(k: int | None, most: float | None, same: bool, earlier: bool):
-    def found(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The pairs of two blocks: of each ``a`` the k nearest (all that are near enough, if k is None)."""
-        a, b = np.asarray(left.column("a")), np.asarray(right.column("b"))
-        if not len(a) or not len(b):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        far = 1 - _matrix(left, "x") @ _matrix(right, "y").T
+    def some(a: np.ndarray, x: np.ndarray, at: np.ndarray | None, b: np.ndarray, y: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        far = x @ y.T
+        np.subtract(1, far, out=far)
         if same:
             far[a[:, None] == b[None, :]] = np.inf
         if earlier:
-            at, before = np.asarray(left.column("a_at"))[:, None], np.asarray(right.column("b_at"))[None, :]
-            far[(before > at) | ((before == at) & (b[None, :] >= a[:, None]))] = np.inf
+            far[(before[None, :] > at[:, None]) | ((before[None, :] == at[:, None]) & (b[None, :] >= a[:, None]))] = np.inf
         if most is not None:
             far[far > most] = np.inf
         if k is None:
@@ -82,7 +87,19 @@ def _nearest(k: int | None, most: float | None, same: bool, earlier: bool):
             row, column = row[order], column[order]
             kept = np.arange(len(row)) - np.searchsorted(row, row) < k
             row, column = row[kept], column[kept]
-        return pa.table({"a": pa.array(a[row], pa.int64()), "b": pa.array(b[column], pa.int64()), "distance": pa.array(far[row, column])})
+        return a[row], b[column], far[row, column]
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The pairs of two blocks: of each ``a`` the k nearest (all that are near enough, if k is None), PRODUCTS at a time."""
+        a, b = np.asarray(left.column("a")), np.asarray(right.column("b"))
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        x, y = _matrix(left, "x"), _matrix(right, "y")
+        at, before = (np.asarray(left.column("a_at")), np.asarray(right.column("b_at"))) if earlier else (None, None)
+        step = max(1, PRODUCTS // len(b))
+        made = [some(a[i : i + step], x[i : i + step], at[i : i + step] if earlier else None, b, y, before) for i in range(0, len(a), step)]
+        one, two, far = (np.concatenate(c) for c in zip(*made, strict=True))
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64()), "distance": pa.array(far)})
 
     return found
 
@@ -140,13 +157,16 @@ def pivot_pairs(queries: DataFrame, blocks: DataFrame, bound: DataFrame, block:
     return near.where(F.col("to_centre") <= F.col("angle") + F.col("radius") + ANGLE_SLACK).select("a", "pivot", "part")
 
 
-def knn_by_pivots(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, multiplied: list[int] | None = None) -> DataFrame:
+def knn_by_pivots(queries: DataFrame, rows: DataFrame, k: int, block: int | None = None, multiplied: list[int] | None = None) -> DataFrame:
     """As ``knn``, but a query meets only the blocks that can hold one of its k nearest.
 
     Rows are dealt around pivots. A query's nearest block gives it a kth distance, and by the triangle inequality of
     angles no block whose centre is further than that and its radius can better it. What is left is multiplied block by
-    block. ``multiplied`` takes the number of pairs that were multiplied in the two steps."""
-    if rows.count() <= block:
+    block. A query is copied for each block that it meets, so blocks are large (``block_size``) unless ``block`` says otherwise.
+    ``multiplied`` takes the number of pairs that were multiplied in the two steps."""
+    n = rows.count()
+    block = block_size(n) if block is None else block
+    if n <= block:
         return knn(queries, rows, k, block)
     dealt, blocks = pivot_blocks(rows, block)
     centres = blocks.groupBy("pivot").agg(F.first("centre").alias("y")).select(F.col("pivot").alias("b"), "y")
