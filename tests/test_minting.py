@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,26 @@ def test_keys_of_several_members_bring_few_sets_together(spark):
     want = {(a, b) for a, x in rows for b, y in rows if a < b and len({*x} & {*y}) >= 0.7 * len({*x} | {*y})}
     assert {(r.a, r.b) for r in got.collect()} == want and len(want) >= 40
     assert "transform" in got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[1]
+
+
+def test_neighbours_are_found_by_pieces(spark, monkeypatch):
+    """Rows after the first piece are held against the kth so far; what cannot be compared hides nothing else."""
+    from tracewright.operators import vectors
+
+    assert -(-700_000 // vectors.block_size(700_000)) <= vectors.SPREAD  # what is copied grows with the vectors only
+    x = np.random.default_rng(5).normal(size=(90, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[40:50] = x[:10]
+    x[[7, 60]] = np.nan
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    monkeypatch.setattr(vectors, "QUERIES", 32)
+    a, b = (pa.table({"a" if s == "x" else "b": np.arange(90), s: list(x)}) for s in "xy")
+    for k, most in ((5, None), (5, 0.05), (200, None)):
+        far = 1 - x @ x.T
+        want = []
+        for i in range(90):
+            near = [j for j in range(90) if j != i and np.isfinite(far[i, j]) and (most is None or far[i, j] <= most)]
+            want += [(i, round(d, 9)) for d in sorted(far[i, near])[:k]]
+        got = vectors._nearest(k, most, True, False)(a, b).to_pylist()
+        assert sorted((r["a"], round(r["distance"], 9)) for r in got) == sorted(want)
+        assert all(abs(far[r["a"], r["b"]] - r["distance"]) < 1e-9 for r in got)

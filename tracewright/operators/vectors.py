@@ -32,8 +32,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    """The norm is bound by a lambda: as an expression it would be computed again for each component."""
+    made = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
+    return F.element_at(made, 1)
 
 
 def top_k(df: DataFrame, query: list[float], vec: str, key: str, k: int, most: float | None = None) -> DataFrame:
@@ -54,9 +55,9 @@ def kept_within_margin(df: DataFrame, margin: float) -> DataFrame:
 #: Vectors in a block of the products of all queries and rows.
 BLOCK = 4_096
 #: Vectors in a block at most where each is copied for every block, and about as many blocks as give all tasks work.
-LARGE, SPREAD = 32_768, 6
-#: Products that a task has at once.
-PRODUCTS = 4_000_000
+LARGE, SPREAD = 131_072, 8
+#: Queries and rows that a task multiplies at once.
+QUERIES, ROWS = 1_024, 2_048
 
 
 def block_size(n: int) -> int:
@@ -70,34 +71,50 @@ def _matrix(t: pa.Table, c: str) -> np.ndarray:
 
 def _nearest(k: int | None, most: float | None, same: bool, earlier: bool):
     def some(a: np.ndarray, x: np.ndarray, at: np.ndarray | None, b: np.ndarray, y: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        far = x @ y.T
-        np.subtract(1, far, out=far)
-        if same:
-            far[a[:, None] == b[None, :]] = np.inf
-        if earlier:
-            far[(before[None, :] > at[:, None]) | ((before[None, :] == at[:, None]) & (b[None, :] >= a[:, None]))] = np.inf
-        if most is not None:
-            far[far > most] = np.inf
-        if k is None:
-            row, column = np.nonzero(np.isfinite(far))
-        else:
-            limit = np.partition(far, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-            row, column = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
-            order = np.lexsort((b[column], far[row, column], row))
-            row, column = row[order], column[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, column = row[kept], column[kept]
-        return a[row], b[column], far[row, column]
+        """Of some queries the k nearest rows, ROWS at a time: what is no nearer than the k found so far is passed over."""
+        bound = np.full(len(a), np.inf if most is None else most)
+        row, other, near = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+        found = []
+        for low in range(0, len(b), ROWS):
+            ids = b[low : low + ROWS]
+            far = x @ y[low : low + ROWS].T
+            np.subtract(1, far, out=far)
+            if earlier:
+                then = before[low : low + ROWS]
+                far[(then[None, :] > at[:, None]) | ((then[None, :] == at[:, None]) & (ids[None, :] >= a[:, None]))] = np.inf
+            if k is not None and not low:
+                # The query itself may be one of these rows.
+                last = min(k + same, len(ids)) - 1
+                limit = np.partition(far, last, axis=1)[:, last]
+                limit[np.isnan(limit)] = np.inf
+                limit = np.minimum(bound, limit) if len(ids) >= k + same else bound
+            else:
+                limit = bound
+            i, j = np.nonzero(far <= limit[:, None])
+            d = far[i, j]
+            kept = np.isfinite(d) & (a[i] != ids[j]) if same else np.isfinite(d)
+            i, j, d = i[kept], j[kept], d[kept]
+            if k is None:
+                found.append((i, ids[j], d))
+            elif len(i):
+                row, other, near = np.concatenate([row, i]), np.concatenate([other, ids[j]]), np.concatenate([near, d])
+                order = np.lexsort((other, near, row))
+                row, other, near = row[order], other[order], near[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                bound[row[place == k - 1]] = near[place == k - 1]
+                row, other, near = row[place < k], other[place < k], near[place < k]
+        if k is None and found:
+            row, other, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        return a[row], other, near
 
     def found(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The pairs of two blocks: of each ``a`` the k nearest (all that are near enough, if k is None), PRODUCTS at a time."""
+        """The pairs of two blocks: of each ``a`` the k nearest (all that are near enough, if k is None), QUERIES at a time."""
         a, b = np.asarray(left.column("a")), np.asarray(right.column("b"))
         if not len(a) or not len(b):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         x, y = _matrix(left, "x"), _matrix(right, "y")
         at, before = (np.asarray(left.column("a_at")), np.asarray(right.column("b_at"))) if earlier else (None, None)
-        step = max(1, PRODUCTS // len(b))
-        made = [some(a[i : i + step], x[i : i + step], at[i : i + step] if earlier else None, b, y, before) for i in range(0, len(a), step)]
+        made = [some(a[i : i + QUERIES], x[i : i + QUERIES], at[i : i + QUERIES] if earlier else None, b, y, before) for i in range(0, len(a), QUERIES)]
         one, two, far = (np.concatenate(c) for c in zip(*made, strict=True))
         return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64()), "distance": pa.array(far)})
 
@@ -108,17 +125,18 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("k") <= k).select("a", "b", "distance", "k")
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int | None, block: int = BLOCK, most: float | None = None, same: bool = True, earlier: bool = False) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int | None, block: int | None = None, most: float | None = None, same: bool = True, earlier: bool = False) -> DataFrame:
     """The k nearest ``rows(b, y)`` for each of ``queries(a, x)`` by unit vectors' cosine distance: ``a, b, distance, k``.
 
-    Exact: queries and rows are dealt into blocks, whose number grows with them, and each task multiplies one block of
-    queries with one of rows as matrices and keeps k for each query. So a task's memory is that of two blocks, and
+    Exact: queries and rows are dealt into blocks, about SPREAD of each unless these are too large (``block_size``) or ``block``
+    says otherwise, and each task multiplies one block of queries with one of rows as matrices, a piece at a time, and keeps k
+    for each query. So a task's memory is that of two blocks, each vector is copied once for each block of the others, and
     only k rows of each query and block of rows are shuffled to be merged; ties go by ``b``.
 
     At most ``most`` away; with ``same`` a and b are ids of one table, and a row is no neighbour of itself; with ``earlier`` only
     rows before the query's by ``b_at`` and ``a_at`` (then by id) count. If k is None all that fit are returned, without ``k``."""
-    parts = max(1, -(-rows.count() // block))
-    asked_parts = max(1, -(-queries.count() // block))
+    n, n_asked = rows.count(), queries.count()
+    parts, asked_parts = (max(1, -(-m // (block or block_size(m)))) for m in (n, n_asked))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts).cast("long")))
     dealt = dealt.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked_parts - 1).cast("long"))))
     asked = queries.withColumn("asked", F.pmod(F.xxhash64("a"), F.lit(asked_parts).cast("long")))
