@@ -187,3 +187,20 @@ def test_neighbours_are_found_by_pieces(spark, monkeypatch):
         got = vectors._nearest(k, most, True, False)(a, b).to_pylist()
         assert sorted((r["a"], round(r["distance"], 9)) for r in got) == sorted(want)
         assert all(abs(far[r["a"], r["b"]] - r["distance"]) < 1e-9 for r in got)
+
+
+def test_edges_of_clusters_are_made_once(spark):
+    """The edges come from neighbours of all vectors, which are not to be found again for the ids and for the first round."""
+    from tracewright.operators.graphs import named_clusters
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.2), (4, 5, 0.3)], "a long, b long, distance double").mapInArrow(told, "a long, b long, distance double")
+    names = spark.createDataFrame([(1, "x"), (4, "y")], "id long, name string")
+    assert {(r.id, r.cluster, r.name) for r in named_clusters(edges, names).collect()} == {(1, 1, "x"), (2, 1, "x"), (3, 1, "x"), (4, 4, "y"), (5, 4, "y")}
+    assert seen.value == 3

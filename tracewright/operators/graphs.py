@@ -106,7 +106,8 @@ def named_clusters(edges: DataFrame, names: DataFrame) -> DataFrame:
     Ids are any comparable values; a null or repeated edge, or one from an id to itself, changes nothing, and an id without
     an edge is its own cluster. The cluster is its smallest id. A null name is no name; of several names of one id the least counts."""
     left = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("ea"), F.greatest("a", "b").alias("eb"), "distance")
-    left = left.groupBy("ea", "eb").agg(F.min("distance").alias("distance")).withColumns({"a": F.col("ea"), "b": F.col("eb")})
+    # Read for the ids and for each round, but made once.
+    left = written(left.groupBy("ea", "eb").agg(F.min("distance").alias("distance")).withColumns({"a": F.col("ea"), "b": F.col("eb")}))
     given = names.groupBy("id").agg(F.min("name").alias("name"))
     ids = left.select(F.col("ea").alias("id")).unionByName(left.select(F.col("eb").alias("id"))).unionByName(given.select("id")).distinct()
     labels = written(ids.join(given, "id", "left").select("id", F.col("id").alias("cluster"), "name"))
