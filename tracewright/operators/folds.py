@@ -10,6 +10,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows of a task, about, where it sorts or groups all that it holds.
+ROWS = 500_000
+
+
+def spread(rows: DataFrame, *keys: str, n: int | None = None, most: int | None = None) -> DataFrame:
+    """``rows`` dealt by ``keys`` into as many parts as their number (``n``, if it is known) asks for, so that a task's memory
+    does not grow with the table; a table that Spark's own number of parts suits is returned as it is."""
+    parts = -(-(rows.count() if n is None else n) // (most or ROWS))
+    return rows if parts <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(parts, *keys)
+
+
 def folded(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], name: str, kind: T.DataType, step: Callable) -> DataFrame:
     """Adds ``name``: the value of ``state, value = step(state, *inputs)`` over each key's rows in ``order``.
 

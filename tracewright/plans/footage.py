@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.timeq import DAY, HOUR, civil_day
+from tracewright.operators.folds import spread
 from tracewright.operators.intervals import clamped
 from tracewright.operators.timelines import status_intervals, timeline_spans
 from tracewright.registry import query
@@ -46,13 +47,19 @@ def footage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM supplier LEFT JOIN g ON s_suppkey = device GROUP BY s_suppkey""",
 )
 def device_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices without a segment appear with zeros."""
+    """Devices without a segment appear with zeros. Segments are counted by session, then by device, before they meet the devices."""
     devices = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device"))
-    has = lambda *kinds: F.coalesce(F.bool_or(F.col("media_type").isin(*kinds)), F.lit(False))
-    return devices.join(segments(spark, sf_dir), "device", "left").groupBy("device").agg(
-        F.count("session").alias("segments"), F.countDistinct("session").alias("sessions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"), has(1, 3).alias("has_audio"), has(2, 3).alias("has_video"),
+    of = lambda *kinds: F.bool_or(F.col("media_type").isin(*kinds))
+    g = segments(spark, sf_dir)
+    by_session = spread(g.select("device", "session", "bytes", "start_ns", "media_type"), "device", "session").groupBy("device", "session").agg(
+        F.count("session").alias("segments"), F.sum("bytes").alias("bytes"), F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"), of(1, 3).alias("has_audio"), of(2, 3).alias("has_video"),
+    )
+    by_device = by_session.groupBy("device").agg(
+        F.sum("segments").alias("segments"), F.count("session").alias("sessions"), F.sum("bytes").alias("bytes"),
+        F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.bool_or("has_audio").alias("has_audio"), F.bool_or("has_video").alias("has_video"),
     )
+    none = {"segments": F.lit(0), "sessions": F.lit(0), "bytes": F.lit(0), "has_audio": F.lit(False), "has_video": F.lit(False)}
+    return devices.dropDuplicates().join(by_device, "device", "left").withColumns({c: F.coalesce(c, zero) for c, zero in none.items()})
 
 
 @query(
