@@ -112,9 +112,11 @@ d AS (SELECT *, CASE WHEN k > 1 AND sha = sha1 THEN 'duplicate' WHEN k > 1 THEN
 SELECT verdict, count(*) AS n, count(*) FILTER (WHERE verdict = 'inserted' AND media_type IN (1, 3)) AS audio_lane, count(*) FILTER (WHERE verdict = 'inserted' AND media_type IN (2, 3)) AS vision_lane FROM d GROUP BY verdict""",
 )
 def segment_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every segment arrives twice, the second of a session with other bytes; accepted ones enter their lanes."""
+    """Every segment arrives twice, the second of a session with other bytes; accepted ones enter their lanes.
+
+    Digests go through both shuffles, as bytes, which have the order of their hexadecimal texts at half the length."""
     g = segments(spark, sf_dir).withColumn("id", F.concat_ws("-", "session", "sequence"))
-    sha = lambda extra: F.sha2(F.concat_ws("|", "part", F.col("bytes") + extra), 256)
+    sha = lambda extra: F.unhex(F.sha2(F.concat_ws("|", "part", F.col("bytes") + extra), 256))
     twice = g.withColumns({"sha": sha(0), "arrival": F.lit(0)}).unionByName(g.withColumns({"sha": sha((F.col("sequence") == 2).cast("long")), "arrival": F.lit(1)}))
     told = ingest_verdicts(twice, "id", "sha", ["part", "sequence"], ["arrival", "start_ns", "id", "sha"])
     lane = lambda *kinds: F.count_if((F.col("verdict") == "inserted") & F.col("media_type").isin(*kinds))
