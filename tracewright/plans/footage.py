@@ -234,7 +234,7 @@ def speaker_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A device's segments of a media type as one stream, in the order of their starts."""
     place = F.row_number().over(W.partitionBy("device", "media_type").orderBy("start_ns", "session", "sequence", "part", "bytes"))
-    return segments(spark, sf_dir).withColumn("place", place)
+    return spread(segments(spark, sf_dir), "device", "media_type").withColumn("place", place)
 
 
 #: The fold of each stream's rows in order: a row goes on with the span before, or begins one, numbered by its place.
