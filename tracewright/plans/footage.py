@@ -261,8 +261,9 @@ SELECT media_type AS stream, device AS session, arg_min(start_ns, place) AS star
 )
 def status_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir).select(F.col("segment").alias("session"), "status", F.when(F.col("status") == "error", F.concat(F.lit("e"), F.col("attempts"))).alias("last_error"))
-    g = _streams(spark, sf_dir).join(o, "session").withColumn("gap_before", F.lit(False))
-    return status_intervals(g, "media_type", "device", "place")
+    n = segments(spark, sf_dir).count()
+    g = spread(_streams(spark, sf_dir), "session", n=n).join(o, "session").withColumn("gap_before", F.lit(False))
+    return status_intervals(spread(g, "media_type", "device", n=n), "media_type", "device", "place")
 
 
 @query("empty_devices", "SELECT c_custkey AS device FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
