@@ -194,3 +194,24 @@ def test_longest_buckets_go_first(spark):
 @pytest.mark.parametrize("name", ["op11_source_divergence", "op12_hard_negatives", "op13_top_k"])
 def test_more_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, "/root/testdata/sf0.01"), queries.ORACLE_SQL[name], "/root/testdata/sf0.01")
+
+
+def test_pii_trees_see_all_candidates(spark, monkeypatch):
+    """The weights of what the trees are fitted on add up to all candidates that are not held back."""
+    from pyspark.sql import functions as F
+
+    from tracewright.llm import pii
+
+    n, seen = 24_000, []
+
+    class Told(pii.GBTClassifier):
+        def fit(self, rows):
+            seen.append(rows.agg(F.sum("weight")).first()[0])
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Told)
+    match = F.when(F.col("id") % 2 == 0, F.concat(F.lit("aB3"), F.sha2(F.col("id").cast("string"), 256))).otherwise(F.lit("plain"))
+    before = F.concat(F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "password: ").otherwise(" is "))
+    rows = pii._described(spark.range(n).select(F.lit("token").alias("generator"), match.alias("match"), before.alias("before"), F.lit(" ").alias("after")))
+    held = rows.where(F.pmod(F.xxhash64("before", "match"), F.lit(5)) == 0).count()
+    assert pii.fit(rows) is not None and seen == [n - held] * 2 and held > 0

@@ -40,8 +40,8 @@ CANDIDATES = {
 BECOMES = {"named": "secret", "token": "secret", "number": "phone", "disguised": "email"}
 CONTEXT = 24
 
-#: Expected number of candidates that the trees are fitted on, chosen by a hash of the span, and the trees' shape.
-TRAIN_ROWS, TREES, DEPTH = 20_000, 12, 3
+#: The trees' shape.
+TREES, DEPTH = 12, 3
 #: A kind's threshold is the least score whose held-back candidates at or above it are right this often.
 PRECISION = 0.95
 #: Matches whose places are summed in one go.
@@ -182,24 +182,26 @@ def _described(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"valid": valid.cast("double"), "announced": announced.cast("double")})
 
 
-def fit(described: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[GBTClassificationModel, GBTClassificationModel, dict[str, float]] | None:
+def fit(described: DataFrame) -> tuple[GBTClassificationModel, GBTClassificationModel, dict[str, float]] | None:
     """Trees over the format that know the candidates announced by their context, trees over the context that know the
     valid forms, and a threshold of their mean score for each generator; None if a view shows one label only.
 
-    No tree sees what its label was made of. A fifth of the sample is held back for the thresholds: there a candidate is
-    right if both views say so and wrong if neither does. A kind that reaches PRECISION at no score adds nothing."""
-    draw = F.pmod(F.xxhash64("match", "before"), F.lit(1 << 30)) / (1 << 30)
-    n = described.count()
+    No tree sees what its label was made of. A fifth of all candidates is held back for the thresholds: there a candidate is
+    right if both views say so and wrong if neither does. A kind that reaches PRECISION at no score adds nothing. The trees
+    are fitted on all others; candidates with the same features are one row, whose weight is their number."""
+    held_back = F.pmod(F.xxhash64("before", "match"), F.lit(5)) == 0
     columns = [*FORMAT, *CONTEXT_VIEW, *GENERATORS, "generator", "valid", "announced"]
-    sample = written(described.where(draw < train_rows / max(1, n)).select(*columns, (F.pmod(F.xxhash64("before", "match"), F.lit(5)) == 0).alias("held")))
-    used = sample.where("not held")
+    counted = written(described.groupBy(*columns, held_back.alias("held")).agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    used = counted.where("not held")
     if used.select("valid").distinct().count() < 2 or used.select("announced").distinct().count() < 2:
         return None
     models = []
     for view, label in ((FORMAT, "announced"), (CONTEXT_VIEW, "valid")):
-        rows = VectorAssembler(inputCols=[*view, *GENERATORS], outputCol="features").transform(used).withColumn("label", F.col(label))
-        models.append(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=2).fit(rows.coalesce(2)))
-    held = _scored(sample.where("held and valid = announced"), *models).groupBy("generator", F.round("score", 3).alias("score")).agg(F.sum("valid").alias("right"), F.count(F.lit(1)).alias("n"))
+        seen = written(used.groupBy(*view, *GENERATORS, label).agg(F.sum("weight").alias("weight")))
+        rows = VectorAssembler(inputCols=[*view, *GENERATORS], outputCol="features").transform(seen).withColumn("label", F.col(label))
+        models.append(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=2, weightCol="weight").fit(rows))
+    scored = _scored(counted.where("held and valid = announced"), *models).groupBy("generator", F.round("score", 3).alias("score"))
+    held = scored.agg(F.sum(F.col("valid") * F.col("weight")).alias("right"), F.sum("weight").alias("n"))
     thresholds, sums = dict.fromkeys(CANDIDATES, 2.0), {g: [0.0, 0] for g in CANDIDATES}
     for r in held.orderBy("generator", F.desc("score")).collect():
         own = sums[r["generator"]]
