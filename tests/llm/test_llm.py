@@ -619,3 +619,24 @@ def test_pipeline_like_brute_force(spark, table):
             at += n
         assert at == total
     assert all(sum(n for _, n in own) <= packing.SEQUENCE for own in ends.values())
+
+
+def test_word_ids_by_parts(monkeypatch):
+    """Ids are the tokenizer's own, also of odd signs; plain words don't go through it, and the cache stays bounded."""
+    from tracewright.llm import bpe_ids
+
+    monkeypatch.setattr(bpe_ids, "MOST_WORDS", 50)
+    monkeypatch.setattr(bpe_ids, "LATEST_WORDS", 50)
+    words = WordIds(packing.default_tokenizer())
+    signs = [*map(chr, range(0x20, 0x260)), *"̀̇ΣσK一 \U0001f600", "'s", "'LL", "''", "don't", "Été", " ", " ", " "]
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 25))) for _ in range(2_000)]
+    for k in range(0, len(texts), 100):
+        for text, ids in zip(texts[k : k + 100], words.of(texts[k : k + 100]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    asked = []
+    monkeypatch.setattr(words, "_encode", lambda texts: iter([asked.append(t) or b"" for t in texts]))
+    list(words.of(["Strange wordings, l'été $$$ 12.5!"]))
+    assert not asked
+    list(words.of([]))
+    assert len(words.words) <= 100
