@@ -204,3 +204,16 @@ def test_edges_of_clusters_are_made_once(spark):
     names = spark.createDataFrame([(1, "x"), (4, "y")], "id long, name string")
     assert {(r.id, r.cluster, r.name) for r in named_clusters(edges, names).collect()} == {(1, 1, "x"), (2, 1, "x"), (3, 1, "x"), (4, 4, "y"), (5, 4, "y")}
     assert seen.value == 3
+
+
+def test_similar_sets_broadcast_no_keys(spark):
+    """Sets meet by a shuffle of their keys, and of those that share a key by chance hardly any is compared in full."""
+    draw = random.Random(8)
+    sets = {i: sorted(draw.sample(range(40), 14)) for i in range(300)}
+    for i in range(0, 300, 10):
+        sets[i + 1000] = sorted({*sets[i][1:], 99})
+    found = similar_sets(spark.createDataFrame(list(sets.items()), "id long, items array<long>"), 0.7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "bit_count" in plan
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.7 * len({*sets[a]} | {*sets[b]}) - 1e-9}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) >= 30

@@ -99,7 +99,7 @@ def plates_matched(reads: DataFrame, catalogue: DataFrame, at_once: int = SETTLE
     at = F.min(F.struct("place", "read_id"))
     new = reads.where("clean and plate is not null").join(catalogue, "plate", "left_anti").groupBy("plate").agg(at.alias("at")).select("plate", "at.*")
     texts = reads.select("plate").where("plate is not null").unionByName(catalogue.select("plate")).distinct().withColumn("items", trigrams(F.col("plate")))
-    pairs = similar_sets(texts.withColumnRenamed("plate", "id"), ALIKE)
+    pairs = similar_sets(written(texts.withColumnRenamed("plate", "id")), ALIKE)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     near = written(both.withColumnsRenamed({"a": "plate", "b": "other"}).withColumn("edits", F.levenshtein("plate", "other").cast("long")))
     seen = catalogue.select(F.col("plate").alias("other"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("long").alias("since"))
