@@ -217,3 +217,23 @@ def test_similar_sets_broadcast_no_keys(spark):
     assert "SortMergeJoin [key" in plan and "bit_count" in plan
     want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.7 * len({*sets[a]} | {*sets[b]}) - 1e-9}
     assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) >= 30
+
+
+def test_surest_bindings_are_told_before_they_are_listed():
+    from tracewright.plans.entities import _may_be_surest, _pairs_kept, _surest
+
+    draw = np.random.default_rng(4)
+    shared = draw.integers(0, 60, (80, 200)).astype(np.int32)
+    n, x, y = draw.integers(60, 90, 80), np.arange(80) * 2 + 1, np.arange(200) * 2
+    listed = []
+
+    def keep(voice, face, n, shared):
+        listed.append(len(voice))
+        return _surest(50)(voice, face, n, shared)
+
+    got = _pairs_kept(keep, _may_be_surest(50))(x, y, n, shared)
+    want = _pairs_kept(_surest(50))(x, y, n, shared)
+    assert all((got[c] == want[c]).all() for c in want) and len(got["voice"]) == 50
+    assert listed[0] < 0.05 * np.count_nonzero(shared)
+    few = np.where(shared > 57, shared, 1).astype(np.int32)
+    assert all((_pairs_kept(_surest(5_000), _may_be_surest(5_000))(x, y, n, few)[c] == _pairs_kept(_surest(5_000))(x, y, n, few)[c]).all() for c in want)

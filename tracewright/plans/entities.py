@@ -25,9 +25,13 @@ _BIND = f"""{SIGHTINGS_SQL}, q AS (SELECT subject, device, start_ns // (12 * {HO
 n AS (SELECT subject, count(*) AS n FROM q GROUP BY subject), b AS (SELECT voice, face, shared, CASE WHEN shared >= 3 THEN round(shared / n.n, 4) END AS confidence, CASE shared % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'proposed' ELSE 'rejected' END AS status FROM o JOIN n ON n.subject = voice)"""
 
 
-def _pairs_kept(keep: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None) -> Callable[..., dict]:
+Keep = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Which = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _pairs_kept(keep: Keep | None, which: Which | None = None) -> Callable[..., dict]:
     def fold(x: np.ndarray, y: np.ndarray, n: np.ndarray, shared: np.ndarray) -> dict:
-        i, j = np.nonzero(shared)
+        i, j = np.nonzero(shared if which is None else which(n, shared))
         made = x[i], y[j], n[i], shared[i, j].astype(np.int64)
         at = slice(None) if keep is None else keep(*made)
         return dict(zip(("voice", "face", "n", "shared"), (c[at] for c in made), strict=True))
@@ -56,12 +60,29 @@ def _surest(most: int) -> Callable[..., np.ndarray]:
     return keep
 
 
-def bindings(spark: SparkSession, sf_dir: str, keep: Callable[..., np.ndarray] | None = None) -> DataFrame:
-    """All bindings, or of each few voices and block of faces the rows that ``keep(voice, face, n, shared)`` tells.
+def _may_be_surest(most: int) -> Which:
+    """Flags the proposed pairs whose share, before it is rounded, does not rule out that they are among the ``most`` surest."""
+
+    def which(n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        proposed = shared % 3 == 1
+        told = proposed & (shared >= 3)
+        if np.count_nonzero(told) < most:
+            return proposed
+        share = np.where(told, shared / n[:, None].astype(np.float32), np.float32(-1))
+        limit = np.partition(share, share.size - most, axis=None)[share.size - most]
+        # Rounding to four digits moves two shares by at most 1e-4 towards each other.
+        return share >= limit - np.float32(2e-4)
+
+    return which
+
+
+def bindings(spark: SparkSession, sf_dir: str, keep: Keep | None = None, which: Which | None = None) -> DataFrame:
+    """All bindings, or of each few voices and block of faces the rows that ``keep(voice, face, n, shared)`` tells, of those
+    whose cell of the matrix of numbers ``which(n, shared)`` flags.
 
     Pairs are counted in blocks of voices and faces and not shuffled."""
     q = written(sightings(spark, sf_dir).select("subject", "device", F.expr(f"start_ns div {12 * HOUR}").alias("cell")).dropna().distinct())
-    o = shared_cells(q.where("subject % 2 = 1"), q.where("subject % 2 = 0"), _pairs_kept(keep), "voice long, face long, n long, shared long")
+    o = shared_cells(q.where("subject % 2 = 1"), q.where("subject % 2 = 0"), _pairs_kept(keep, which), "voice long, face long, n long, shared long")
     status = F.when(F.col("shared") % 3 == 0, "confirmed").when(F.col("shared") % 3 == 1, "proposed").otherwise("rejected")
     return o.select("voice", "face", "shared", F.when(F.col("shared") >= 3, F.round(F.col("shared") / F.col("n"), 4)).alias("confidence"), status.alias("status"))
 
@@ -69,7 +90,7 @@ def bindings(spark: SparkSession, sf_dir: str, keep: Callable[..., np.ndarray] |
 @query("binding_queue", f"WITH {_BIND} SELECT voice, face, confidence FROM b WHERE status = 'proposed' ORDER BY confidence DESC NULLS LAST, voice, face LIMIT 50")
 def binding_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What waits to be confirmed, the surest first."""
-    return bindings(spark, sf_dir, _surest(50)).where("status = 'proposed'").orderBy(F.desc_nulls_last("confidence"), "voice", "face").limit(50).select("voice", "face", "confidence")
+    return bindings(spark, sf_dir, _surest(50), _may_be_surest(50)).where("status = 'proposed'").orderBy(F.desc_nulls_last("confidence"), "voice", "face").limit(50).select("voice", "face", "confidence")
 
 
 @query("bound_faces", f"WITH {_BIND} SELECT voice, arg_max(face, (coalesce(confidence, -1), -face)) AS face FROM b WHERE status = 'confirmed' GROUP BY voice")
@@ -84,7 +105,7 @@ def bound_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owner_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confirmed edges with the owner's, which is given and was never observed."""
     own = spark.createDataFrame([(1, 0, 1.0, 0)], "voice long, face long, confidence double, shared long")
-    confirmed = bindings(spark, sf_dir, lambda voice, face, n, shared: shared % 3 == 0)
+    confirmed = bindings(spark, sf_dir, which=lambda n, shared: (shared > 0) & (shared % 3 == 0))
     return confirmed.where("status = 'confirmed' and voice <> 1").select("voice", "face", "confidence", "shared").unionByName(own)
 
 
