@@ -64,3 +64,12 @@ def test_labels(spark):
     asked = {"how many times did I see a car?": "car", "was the wine glass by the cup": "wine glass", "any cell-phones and dogs": "cell phone", "who ran the stop sign in a truck": "stop sign", "nothing here": None, "cat": "cat", "": None}
     df = spark.createDataFrame([(p,) for p in asked], "p string")
     assert [r.c for r in df.select(object_in_question(F.col("p")).alias("c")).collect()] == list(asked.values())
+
+
+def test_a_question_is_parted_once(spark):
+    """Not again for each of its words, and long ones are told all the same."""
+    words = [f"w{k}" for k in range(3_000)]
+    asked = {" ".join([*words, "the", "wine", "glasses", "or", "a", "bus"]): "wine glass", " ".join([*words, "traffic", "bus", "a"]): "bus", " ".join(words): None}
+    df = spark.createDataFrame([(p,) for p in asked], "p string").select(object_in_question(F.col("p")).alias("c"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.c for r in df.collect()] == list(asked.values())

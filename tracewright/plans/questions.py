@@ -141,21 +141,35 @@ def plate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.array_distinct(found)).cast("long").alias("tokens"))
 
 
+#: The class that each phrase names: itself, by another word, or by its plural. The words that begin a phrase of several.
+NAMED = {label: label for label in LABELS} | {w: label for label, words in ALIASES.items() for w in words if w not in LABELS}
+NAMED = {label + end: label for end in ("s", "es") for label in LABELS} | NAMED
+ARTICLES, BEGIN = ("a", "an", "the"), sorted({phrase.split(" ")[0] for phrase in NAMED if " " in phrase})
+
+
+def _classes() -> Column:
+    return F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+
+
 def object_label(phrase: Column) -> Column:
-    """The class that a phrase names: itself, by another word, or by its plural; null if none. One article is left out."""
+    """The class that a phrase names; null if none. One article is left out."""
     bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.lower(phrase)), r"[?.!,]+$", "")), "^(a|an|the) ", ""))
-    known = F.create_map(*(F.lit(x) for label in LABELS for x in (label, label)))
-    other = F.create_map(*(F.lit(x) for label, words in ALIASES.items() for w in words for x in (w, label)))
-    less = lambda end: F.when(F.endswith(bare, F.lit(end)), known[F.substring(bare, F.lit(1), F.length(bare) - len(end))])
-    return F.coalesce(known[bare], other[bare], less("es"), less("s"))
+    return _classes()[bare]
 
 
 def object_in_question(text: Column) -> Column:
-    """The first class that two words in turn name, else the first that one word names; null if none."""
+    """The first class that two words in turn name, else the first that one word names; null if none. One article is left out.
+
+    The words are bound by a lambda: as an expression the text would be parted again for each of its words. Phrases are told
+    by a set of all names, and only the first that names a class is looked up."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
-    first = lambda phrases: F.get(F.filter(F.transform(phrases, object_label), lambda x: x.isNotNull()), 0)
-    return F.coalesce(first(pairs), first(words))
+    first = lambda phrases: F.get(F.filter(phrases, lambda p: p.isin(*NAMED)), 0)
+
+    def pairs(ws: Column) -> Column:
+        following = lambda i: F.get(ws, i + 1)
+        return F.transform(ws, lambda w, i: F.when(w.isin(*ARTICLES), following(i)).when(w.isin(*BEGIN), F.concat(w, F.lit(" "), following(i))))
+
+    return F.get(F.transform(F.array(words), lambda ws: _classes()[F.coalesce(first(pairs(ws)), first(ws))]), 0)
 
 
 _OBJECTS = ["the cars", "a bus?", "buses", "People", "benches", "a wine glass or a cup", "an apple.", "no spaceship", "Scissors", "smartphones", "a dog at the stop sign", "teddy bears", "the skis"]
