@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tracewright.operators import graphs, threading
+from tracewright.operators.scratch import written
 from tracewright.operators.threading import Threading, conversation_rows, matched, thread_conversations
 from tracewright.operators.vectors import vector_sums
 from tracewright.plans.conversations import sentences
@@ -226,3 +228,21 @@ def test_vector_sums(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got.pop((7, "x")) == (2.0, [2.0, 4.0, 7.0]) and got.pop((9, "x")) == (2.0, [])
     assert got == {k: (n, list(v)) for k, (n, v) in want.items()}
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark, monkeypatch):
+    """Written tables look small by their files, so that joins would send them whole to the driver."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(threading, "written", kept)
+    monkeypatch.setattr(graphs, "written", kept)
+    monkeypatch.setattr(threading, "settled", lambda make: kept(make()))
+    s = written(sentences(spark, "/root/testdata/sf0.001"))
+    rows = threading.conversation_rows(s, threading.thread_conversations(s))
+    plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    assert rows.count() and any("SortMergeJoin" in p for p in plans)
+    assert [p for p in plans if "BroadcastExchange" in p] == []

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.operators.scratch import written
+from tracewright.operators.scratch import shuffled, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -57,18 +57,18 @@ def components(edges: DataFrame, at_once: int = SETTLED_AT_ONCE, rounds: list[in
         near = written(near.select("id", F.when(F.col("least") < rank(F.col("id")), F.col("least.b")).otherwise(F.col("id")).alias("to")))
         for _ in range(2):
             further = near.select(F.col("id").alias("mid"), F.col("to").alias("far"))
-            near = written(near.join(further, F.col("to") == F.col("mid")).select("id", F.col("far").alias("to")))
+            near = written(near.join(shuffled(further), F.col("to") == F.col("mid")).select("id", F.col("far").alias("to")))
         maps.append(near)
         ends_a, ends_b = near.select(F.col("id").alias("a"), F.col("to").alias("la")), near.select(F.col("id").alias("b"), F.col("to").alias("lb"))
-        moved = left.join(ends_a, "a").join(ends_b, "b").where("la <> lb")
+        moved = left.join(shuffled(ends_a), "a").join(shuffled(ends_b), "b").where("la <> lb")
         left = written(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
     labels = written(left.coalesce(1).groupBy(F.lit(0).alias("one")).applyInPandas(_settled, f"id {kind}, to {kind}"))
     for near in reversed(maps):
         onward = labels.select(F.col("id").alias("to"), F.col("to").alias("end"))
-        labels = written(near.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to")))
-    alone = edges.where("a = b").select(F.col("a").alias("id")).join(labels, "id", "left_anti")
+        labels = written(near.join(shuffled(onward), "to", "left").select("id", F.coalesce("end", "to").alias("to")))
+    alone = edges.where("a = b").select(F.col("a").alias("id")).join(shuffled(labels), "id", "left_anti")
     least = labels.groupBy("to").agg(F.min("id").alias("component"))
-    return labels.join(least, "to").select("id", "component").unionByName(alone.select("id", F.col("id").alias("component")))
+    return labels.join(shuffled(least), "to").select("id", "component").unionByName(alone.select("id", F.col("id").alias("component")))
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

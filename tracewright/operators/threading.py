@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.timeq import SECOND
 from tracewright.operators.graphs import components
 from tracewright.operators.intervals import flag_gaps, number_runs
-from tracewright.operators.scratch import settled, written
+from tracewright.operators.scratch import settled, shuffled, written
 from tracewright.operators.vectors import dot, doubles, normalized, vector_sums
 
 
@@ -60,7 +60,7 @@ def _utterances(sentences: DataFrame, rules: Threading) -> tuple[DataFrame, Data
     spans = merged.groupBy("device", "utterance").agg(F.first("speaker").alias("speaker"), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
     blocks = number_runs(flag_gaps(spans, ["device"], "start_ns", "end_ns", rules.block_gap, "utterance"), ["device"], "start_ns", "utterance", name="block").drop("is_new")
     means = vector_sums(merged, ["device", "utterance"], "embedding").select("device", "utterance", normalized(F.col("total")).alias("vec"))
-    return merged, written(blocks.join(means, ["device", "utterance"], "left"))
+    return merged, written(blocks.join(shuffled(means), ["device", "utterance"], "left"))
 
 
 def _ties(u: DataFrame, rules: Threading) -> DataFrame:
@@ -74,7 +74,7 @@ def _ties(u: DataFrame, rules: Threading) -> DataFrame:
     a, b = (said.select("device", "block", F.col("speaker").alias(k), F.col("n").alias(f"n_{k}"), F.col("total").alias(f"total_{k}")) for k in "ab")
     mean = _likeness(F.col("total_a"), F.col("total_b")) / (F.col("n_a") * F.col("n_b"))
     bonus = F.when(mean >= rules.attract, rules.topic).when(mean <= rules.repel, -rules.topic).otherwise(0.0)
-    topics = a.join(b, ["device", "block"]).where("a < b").select("device", "block", "a", "b", bonus.alias("weight"))
+    topics = a.join(shuffled(b), ["device", "block"]).where("a < b").select("device", "block", "a", "b", bonus.alias("weight"))
     weights = replies.unionByName(topics).groupBy("device", "block", "a", "b").agg(F.sum("weight").alias("weight"))
     return weights.where(F.col("weight") >= rules.tie).drop("weight")
 
@@ -84,7 +84,7 @@ def _groups(u: DataFrame, ties: DataFrame) -> DataFrame:
     name = lambda c: F.to_json(F.struct("device", "block", F.col(c)).cast("struct<d: string, b: string, s: string>"))
     linked = components(ties.select(name("a").alias("a"), name("b").alias("b"))).select(F.col("id").alias("who"), "component")
     known = u.where("speaker is not null").withColumn("who", name("speaker"))
-    known = known.join(linked, "who", "left").withColumn("component", F.coalesce("component", "who"))
+    known = known.join(shuffled(linked), "who", "left").withColumn("component", F.coalesce("component", "who"))
     return known.withColumn("group", F.min("utterance").over(W.partitionBy("component"))).drop("who", "component")
 
 
@@ -95,7 +95,7 @@ def _split_blocks(known: DataFrame, rules: Threading) -> DataFrame:
     of different groups be low enough."""
     spans = known.groupBy("device", "block", "group").agg(F.count(F.lit(1)).alias("size"), F.min("start_ns").alias("lo"), F.max("end_ns").alias("hi"))
     sums = vector_sums(known, ["device", "block", "group"], "vec")
-    groups = written(spans.join(sums, ["device", "block", "group"], "left"))
+    groups = written(spans.join(shuffled(sums), ["device", "block", "group"], "left"))
     order = W.partitionBy("device", "block").orderBy("group")
     others = F.greatest(F.max("lo").over(order.rowsBetween(W.unboundedPreceding, -1)), F.max("lo").over(order.rowsBetween(1, W.unboundedFollowing)))
     apart = F.lit(rules.by_topic_alone) | (others < F.col("hi"))
@@ -104,12 +104,12 @@ def _split_blocks(known: DataFrame, rules: Threading) -> DataFrame:
     # Similarities of all pairs of a block less those within its groups, each pair once.
     square = F.coalesce(dot(F.col("total"), F.col("total")), F.lit(0.0))
     inner = fits.groupBy("device", "block").agg(F.sum(square).alias("within"), F.sum("n").alias("all_n"), F.sum(F.col("n") * F.col("n")).alias("within_n"))
-    blocks = vector_sums(known.join(fits.select("device", "block").distinct(), ["device", "block"]), ["device", "block"], "vec").select("device", "block", F.col("total").alias("block_total"))
-    inner = inner.join(blocks, ["device", "block"], "left")
+    blocks = vector_sums(known.join(shuffled(fits.select("device", "block").distinct()), ["device", "block"]), ["device", "block"], "vec").select("device", "block", F.col("total").alias("block_total"))
+    inner = inner.join(shuffled(blocks), ["device", "block"], "left")
     pairs = F.coalesce((F.col("all_n") * F.col("all_n") - F.col("within_n")) / 2, F.lit(0.0))
     cross = (dot(F.col("block_total"), F.col("block_total")) - F.col("within")) / 2
     passed = inner.where((pairs == 0) | (cross / pairs <= rules.most_alike)).select("device", "block")
-    return fits.join(passed, ["device", "block"]).select("device", "block", "group", "n", "total")
+    return fits.join(shuffled(passed), ["device", "block"]).select("device", "block", "group", "n", "total")
 
 
 def _joined(key: tuple, orphans: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +137,7 @@ def _joined(key: tuple, orphans: pd.DataFrame, groups: pd.DataFrame) -> pd.DataF
 
 def _orphans(u: DataFrame, known: DataFrame, split: DataFrame, device_type: str) -> DataFrame:
     """``device, utterance, group`` of the unknown speakers' utterances in split blocks."""
-    names = split.select("device", "block", "group")
+    names = shuffled(split.select("device", "block", "group"))
     lost = u.where("speaker is null").join(names, ["device", "block"]).withColumn("lost", F.lit(True))
     own = known.join(names, ["device", "block", "group"]).withColumn("lost", F.lit(False))
     both = lost.unionByName(own)
@@ -147,7 +147,7 @@ def _orphans(u: DataFrame, known: DataFrame, split: DataFrame, device_type: str)
     far = lambda gap: F.when(gap.isNull(), float("inf")).otherwise(F.greatest(gap, F.lit(0)).cast("double"))
     gap = F.least(far(F.col("start_ns") - before), far(after - F.col("end_ns")))
     gaps = both.withColumn("gap", gap).where("lost").groupBy("device", "block", "utterance").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "gap"))), lambda x: x["gap"]).alias("gaps"))
-    asked = u.where("speaker is null").join(gaps, ["device", "block", "utterance"]).select("device", "block", "utterance", "start_ns", "end_ns", "vec", "gaps")
+    asked = u.where("speaker is null").join(shuffled(gaps), ["device", "block", "utterance"]).select("device", "block", "utterance", "start_ns", "end_ns", "vec", "gaps")
     return asked.groupBy("device", "block").cogroup(split.groupBy("device", "block")).applyInPandas(_joined_or_none, f"device {device_type}, utterance long, `group` long")
 
 
@@ -165,7 +165,7 @@ def matched(claims: DataFrame, left: list[str], right: list[str], *order: Column
         first = lambda side: F.row_number().over(W.partitionBy(*side).orderBy(*order)) == 1
         held = written(rest.withColumns({"first_left": first(left), "first_right": first(right)}).where("first_left and first_right").drop("first_left", "first_right"))
         out = held if out is None else out.unionByName(held)
-        rest = written(rest.join(held.select(*left), left, "left_anti").join(held.select(*right), right, "left_anti"))
+        rest = written(rest.join(shuffled(held.select(*left)), left, "left_anti").join(shuffled(held.select(*right)), right, "left_anti"))
     return rest if out is None else out
 
 
@@ -184,26 +184,26 @@ def _threaded(sentences: DataFrame, rules: Threading) -> DataFrame:
     s, u = _utterances(t, rules)
     known = written(_groups(u, _ties(u, rules)))
     split = written(_split_blocks(known, rules))
-    grouped = known.join(split.select("device", "block", "group"), ["device", "block", "group"]).select("device", "utterance", "group")
+    grouped = known.join(shuffled(split.select("device", "block", "group")), ["device", "block", "group"]).select("device", "utterance", "group")
     grouped = grouped.unionByName(_orphans(u, known, split, t.schema["device"].dataType.simpleString()))
     whole = F.min("utterance").over(W.partitionBy("device", "block"))
     # A conversation is known by the number of its first utterance, in its device; a block that isn't split is one.
-    cluster = u.select("device", "block", "utterance", whole.alias("whole")).join(grouped, ["device", "utterance"], "left").withColumn("cluster", F.min("utterance").over(W.partitionBy("device", F.coalesce("group", "whole"))))
-    members = written(s.drop("embedding").join(cluster.select("device", "utterance", "cluster"), ["device", "utterance"]))
+    cluster = u.select("device", "block", "utterance", whole.alias("whole")).join(shuffled(grouped), ["device", "utterance"], "left").withColumn("cluster", F.min("utterance").over(W.partitionBy("device", F.coalesce("group", "whole"))))
+    members = written(s.drop("embedding").join(shuffled(cluster.select("device", "utterance", "cluster")), ["device", "utterance"]))
     claims = members.where("prior is not null").groupBy("device", "cluster", "prior").agg(F.count(F.lit(1)).alias("n"))
     named = matched(claims, ["device", "cluster"], ["device", "prior"], F.desc("n"), F.col("prior"), F.col("cluster")).select("device", "cluster", F.col("prior").alias("inherited"))
     first = members.groupBy("device", "cluster").agg(F.min_by("id", F.struct("start_ns", "id")).alias("first"))
-    made = first.join(named, ["device", "cluster"], "left").select("device", "cluster", F.coalesce("inherited", F.concat_ws(":", F.col("device").cast("string"), F.col("first").cast("string"))).alias("conversation"), F.col("inherited").isNull().alias("minted"))
+    made = first.join(shuffled(named), ["device", "cluster"], "left").select("device", "cluster", F.coalesce("inherited", F.concat_ws(":", F.col("device").cast("string"), F.col("first").cast("string"))).alias("conversation"), F.col("inherited").isNull().alias("minted"))
     order = W.partitionBy("device", "cluster").orderBy("start_ns", "id")
     before = F.last("speaker", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     changed = F.coalesce((F.col("speaker") != before).cast("long"), F.lit(0))
     turns = number_runs(members.withColumn("changed", changed), ["device", "cluster"], "start_ns", "id", flag="changed", name="turn")
-    return turns.join(made, ["device", "cluster"]).select("device", "id", "conversation", "minted", "turn")
+    return turns.join(shuffled(made), ["device", "cluster"]).select("device", "id", "conversation", "minted", "turn")
 
 
 def conversation_rows(sentences: DataFrame, threaded: DataFrame) -> DataFrame:
     """The catalogue of threaded conversations: ``device, conversation, minted, start_ns, end_ns, speakers, sentences``."""
-    both = sentences.select("device", "id", "speaker", "start_ns", "end_ns").join(threaded, ["device", "id"])
+    both = sentences.select("device", "id", "speaker", "start_ns", "end_ns").join(shuffled(threaded), ["device", "id"])
     return both.groupBy("device", "conversation").agg(
         F.first("minted").alias("minted"), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.array_sort(F.collect_set("speaker")).alias("speakers"), F.count(F.lit(1)).alias("sentences"),
     )
