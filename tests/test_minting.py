@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.operators import vectors
 from tracewright.operators.minting import Minting, match_or_mint, minted_id
 from tracewright.operators.settling import settled_in_order
 from tracewright.operators.similar import similar_sets
@@ -237,3 +238,27 @@ def test_surest_bindings_are_told_before_they_are_listed():
     assert listed[0] < 0.05 * np.count_nonzero(shared)
     few = np.where(shared > 57, shared, 1).astype(np.int32)
     assert all((_pairs_kept(_surest(5_000), _may_be_surest(5_000))(x, y, n, few)[c] == _pairs_kept(_surest(5_000))(x, y, n, few)[c]).all() for c in want)
+
+
+@pytest.mark.parametrize("k, most, same, earlier", [(3, 0.55, True, False), (3, None, False, True), (None, 0.4, True, True), (400, None, True, False)])
+def test_rough_products_lose_no_neighbour(monkeypatch, k, most, same, earlier):
+    """Also of equal and of broken vectors, and those a hair apart; what is told is in double precision, and few pairs are made in it."""
+    made, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a: made.append(len(a[1])) or einsum(*a))
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 16))
+    x[100:130] = x[:30] + draw.normal(size=(30, 16)) * 1e-9
+    x[130:140] = x[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[200, 3], x[201] = np.nan, 0
+    at = draw.integers(0, 20, 300)
+    table = lambda c, d, e: pa.table({c: pa.array(range(300), pa.int64()), d: pa.array(list(x), pa.list_(pa.float64())), e: pa.array(at)})
+    found = vectors._nearest(k, most, same, earlier)(table("a", "x", "a_at"), table("b", "y", "b_at"))
+    got = {}
+    for a, b, d in zip(*(found.column(c).to_pylist() for c in ("a", "b", "distance")), strict=True):
+        got.setdefault(a, []).append((d, b))
+    for a in range(300):
+        fits = [(1 - float(x[a] @ x[b]), b) for b in range(300) if not (same and a == b) and (not earlier or (at[b], b) < (at[a], a))]
+        want = sorted(f for f in fits if np.isfinite(f[0]) and (most is None or f[0] <= most))[:k]
+        assert np.allclose(sorted(d for d, _ in got.get(a, [])), [d for d, _ in want], atol=1e-14, rtol=0)
+    assert k == 400 or 0 < sum(made) < 300 * 300 / 4

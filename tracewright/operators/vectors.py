@@ -56,8 +56,8 @@ def kept_within_margin(df: DataFrame, margin: float) -> DataFrame:
 BLOCK = 4_096
 #: Vectors in a block at most where each is copied for every block, and about as many blocks as give all tasks work.
 LARGE, SPREAD = 131_072, 8
-#: Queries and rows that a task multiplies at once.
-QUERIES, ROWS = 1_024, 2_048
+#: Queries and rows that a task multiplies at once, and the share of their pairs up to which each pair's product is made by itself.
+QUERIES, ROWS, FEW = 1_024, 2_048, 1 / 32
 
 
 def block_size(n: int) -> int:
@@ -71,27 +71,37 @@ def _matrix(t: pa.Table, c: str) -> np.ndarray:
 
 def _nearest(k: int | None, most: float | None, same: bool, earlier: bool):
     def some(a: np.ndarray, x: np.ndarray, at: np.ndarray | None, b: np.ndarray, y: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        """Of some queries the k nearest rows, ROWS at a time: what is no nearer than the k found so far is passed over."""
+        """Of some queries the k nearest rows, ROWS at a time: what is no nearer than the k found so far is passed over.
+
+        Products in single precision tell which pairs may count, up to the most that they may be off; only those are made in double."""
+        rough, longest = x.astype(np.float32), lambda v: float(np.sqrt(np.max(np.square(v).sum(1), initial=0, where=np.isfinite(v).all(1))))
+        size = longest(x)
         bound = np.full(len(a), np.inf if most is None else most)
         row, other, near = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
         found = []
         for low in range(0, len(b), ROWS):
             ids = b[low : low + ROWS]
-            far = x @ y[low : low + ROWS].T
-            np.subtract(1, far, out=far)
-            if earlier:
-                then = before[low : low + ROWS]
-                far[(then[None, :] > at[:, None]) | ((then[None, :] == at[:, None]) & (ids[None, :] >= a[:, None]))] = np.inf
-            if k is not None and not low:
+            some_y = y[low : low + ROWS]
+            like = rough @ some_y.astype(np.float32).T
+            off = (x.shape[1] + 4) * 6e-8 * size * longest(some_y)
+            later = lambda i, j: (before[low : low + ROWS][j] > at[i]) | ((before[low : low + ROWS][j] == at[i]) & (ids[j] >= a[i]))  # noqa: B023, E731
+            if k is not None and not low and len(ids) >= k + same:
+                like[np.isnan(like)] = -np.inf
+                if earlier:
+                    like[later(np.arange(len(a))[:, None], np.arange(len(ids))[None, :])] = -np.inf
                 # The query itself may be one of these rows.
-                last = min(k + same, len(ids)) - 1
-                limit = np.partition(far, last, axis=1)[:, last]
-                limit[np.isnan(limit)] = np.inf
-                limit = np.minimum(bound, limit) if len(ids) >= k + same else bound
+                limit = 1 - np.partition(like, len(ids) - k - same, axis=1)[:, len(ids) - k - same].astype(float) + off
+                limit = np.minimum(bound, limit)
             else:
                 limit = bound
-            i, j = np.nonzero(far <= limit[:, None])
-            d = far[i, j]
+            least = (1 - limit - off).astype(np.float32)
+            i, j = np.nonzero(like >= np.nextafter(least, np.float32(-np.inf))[:, None])
+            if len(i) > FEW * like.size:
+                d = (1 - x @ some_y.T)[i, j]
+            else:
+                d = 1 - np.einsum("ij,ij->i", x[i], some_y[j])
+            near_enough = (d <= limit[i]) & ~later(i, j) if earlier else d <= limit[i]
+            i, j, d = i[near_enough], j[near_enough], d[near_enough]
             kept = np.isfinite(d) & (a[i] != ids[j]) if same else np.isfinite(d)
             i, j, d = i[kept], j[kept], d[kept]
             if k is None:
